@@ -7,8 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.decontam import contamination
 from folioscope.llm.exact_dedup import exact_groups
+from folioscope.llm.hmm_lm import score_texts
+from folioscope.llm.language_id import identify
 from folioscope.llm.mixing import mix
+from folioscope.llm.simhash import as_hex, near_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +23,36 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents")).drop("cosine")
+
+
+def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents")).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, r: n + r["ends"] - r["starts"])
+    items = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
+    "op5_hmm_score": op5_hmm_score,
+    "op6_simhash": op6_simhash,
     "op8_source_mix": op8_source_mix,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE = {
@@ -78,5 +105,34 @@ SELECT d.doc_id, d.size, r.source_size, CAST(r.num AS DOUBLE) / CAST(r.den AS DO
                                      AND 2 * (r.num - r.base * r.source_size * r.den) >= r.den THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN repeats r ON d.source IS NOT DISTINCT FROM r.source
        JOIN cum c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h
+""",
+    "op9_decontamination": r"""
+WITH bench AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bench WHERE len(w) > 0)
+), places AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+), found AS (
+  SELECT d.r, d.i, p.n, p.item
+  FROM places d JOIN phrases p ON p.n = 10 AND d.i + 9 <= len(d.w) AND array_to_string(d.w[d.i : d.i + 9], ' ') = p.p
+  UNION ALL
+  SELECT d.r, d.i, p.n, p.item
+  FROM places d JOIN (SELECT * FROM phrases WHERE n < 10) p ON d.i + p.n - 1 <= len(d.w) AND array_to_string(d.w[d.i : d.i + p.n - 1], ' ') = p.p
+), hits AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.r = d.r LEFT JOIN items t ON t.r = d.r
 """,
 }

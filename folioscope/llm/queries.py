@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm import quality, toxicity
 from folioscope.llm.decontam import contamination
 from folioscope.llm.exact_dedup import exact_groups
 from folioscope.llm.hmm_lm import score_texts
+from folioscope.llm.html_extract import extract
 from folioscope.llm.language_id import identify
 from folioscope.llm.mixing import mix
 from folioscope.llm.simhash import as_hex, near_groups
@@ -27,6 +29,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).drop("cosine")
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents")).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,8 +63,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_quality_mil": op3_quality_mil,
+    "op4_toxicity_pu": op4_toxicity_pu,
     "op5_hmm_score": op5_hmm_score,
     "op6_simhash": op6_simhash,
+    "op7_html_extract": op7_html_extract,
     "op8_source_mix": op8_source_mix,
     "op9_decontamination": op9_decontamination,
 }

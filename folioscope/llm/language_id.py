@@ -9,7 +9,6 @@ What all prototypes have in common tells nothing about the language; their mean
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +23,19 @@ NO_LANGUAGE = "und"
 TABLE = 1 << 22
 
 
-@lru_cache(1 << 16)
+_KNOWN: dict = {}
+
+
 def _letter(code: int, dims: int) -> np.ndarray:
-    return np.random.default_rng([SEED, code]).integers(0, 2, dims, np.int8) * 2 - 1
+    if (code, dims) not in _KNOWN:
+        _KNOWN[code, dims] = np.random.default_rng([SEED, code]).integers(0, 2, dims, np.int8) * 2 - 1
+    return _KNOWN[code, dims]
 
 
-@lru_cache(1)
 def _bmp_letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    if "bmp" not in _KNOWN:
+        _KNOWN["bmp"] = np.array([chr(c).isalpha() for c in range(0x10000)])
+    return _KNOWN["bmp"]
 
 
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

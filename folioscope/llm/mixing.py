@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import WORD, Scratch
@@ -41,7 +41,12 @@ def share_out(sizes: Sequence[int], weights: Sequence[int], total: int, cap: int
     return out
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Callable[[int], Sequence[int]] = cycling_weights, share: Fraction = Fraction(1), cap: int = 3, seed: str = "mix") -> DataFrame:
+def _hash(df: DataFrame, id_col: str, seed: str) -> Column:
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(df[id_col].cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **terms) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
     Sizes are counts of words. Sources in code point order, null last, get ``weights``; together
@@ -50,13 +55,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     where several rows share one doc_id: they have one hash and are taken together). Null texts
     have size 0; a null doc_id hashes as the empty text. Ties can't arise between different hashes.
     An empty table gives an empty result; other columns are ignored. Reruns agree."""
+    sized, plan = _plan(df, id_col, text_col, source_col, seed, **terms)
+    copies = F.col("base") + (F.col("hash") <= F.col("threshold")).cast("int")
+    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **terms) -> DataFrame:
+    """The rows of df that the mix takes, with ``copies`` (1 to cap) as one more column; all other columns stay."""
+    _, plan = _plan(df, id_col, text_col, source_col, seed, **terms)
+    plan = plan.select(F.col("s").alias("__s"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold"))
+    rows = df.join(plan, df[source_col].cast("string").eqNullSafe(F.col("__s")))
+    rows = rows.withColumn("copies", F.col("__base") + (_hash(rows, id_col, seed) <= F.col("__threshold")).cast("int"))
+    return rows.filter("copies > 0").drop("__s", "__base", "__threshold")
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: Callable[[int], Sequence[int]] = cycling_weights, share: Fraction = Fraction(1), cap: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Sizes by row, and one row per source: s, source_size, target, base (times that each document is taken), threshold (hashes up to it are taken once more)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "mixing")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(df[id_col].cast("string"), F.lit(""))).cast("binary"))
     sized = df.select(
         df[id_col].alias("doc_id"), df[source_col].cast("string").alias("source"),
-        F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+        F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _hash(df, id_col, seed).alias("hash"),
     )
     sized = scratch.save(sized, "sizes")
 
@@ -99,8 +118,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 state[i] = (found[i]["cum"], found[i]["bucket"])
 
     plan = spark.createDataFrame([(per[i][0], sizes[i], float(targets[i]), int(base[i]), threshold[i]) for i in range(len(per))], "s string, source_size long, target double, base int, threshold long")
-    copies = F.col("base") + (F.col("hash") <= F.col("threshold")).cast("int")
-    return sized.join(_sent(plan, len(per)), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sized, _sent(plan, len(per))
 
 
 def _sent(df: DataFrame, n: int) -> DataFrame:

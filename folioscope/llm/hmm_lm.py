@@ -27,7 +27,7 @@ from folioscope.llm.shared import Scratch, crc_mod, text_batches, text_bytes
 #: Words with an emission of their own, classes of all others, hidden states, words whose counts tasks hold, Baum-Welch rounds.
 FREQUENT, CLASSES, STATES, COUNTED, ROUNDS = 8192, 4096, 12, 131_072, 3
 #: While training, longer texts are cut into runs of so many tokens (all are used); scores never are.
-TRAIN_RUN = 8192
+TRAIN_RUN = 256
 #: Pseudo-counts a state gets, spread as the corpus is.
 PRIOR = 200.0
 END = b""
@@ -43,21 +43,33 @@ def class_of(word: bytes, classes: int) -> int:
     return crc32(word[:2] + b"|" + word[-2:]) % classes
 
 
-class Symbols(dict):
-    """Symbol of a word; words outside the table get their class, remembered for a while."""
+class Dictionary(dict):
+    """Place of each counted word (the most frequent first), and the symbol of any word."""
 
-    def __init__(self, frequent: list[bytes], classes: int):
-        super().__init__(zip(frequent, range(len(frequent)), strict=True))
-        self.base, self.classes, self.fixed = len(frequent), classes, frequent
+    def __init__(self, words: list[bytes], frequent: int, classes: int):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.frequent, self.classes = frequent, classes
+        self.symbol_at = np.array([*range(frequent), *(frequent + class_of(w, classes) for w in words[frequent:])], np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(zip(self.fixed, range(self.base), strict=True))
-        self[word] = out = self.base + class_of(word, self.classes)
+    def places(self, tokens: list[list[bytes]], total: int) -> np.ndarray:
+        """-1 for words that aren't counted."""
+        return np.fromiter((self.get(w, -1) for d in tokens for w in d), np.int32, total)
+
+    def symbols(self, places: np.ndarray, others: list[bytes]) -> np.ndarray:
+        """others: the words at places of -1, in order."""
+        out = np.empty(len(places), np.int32)
+        known = places >= 0
+        out[known] = self.symbol_at[places[known]]
+        out[~known] = [self.frequent + class_of(w, self.classes) for w in others]
         return out
 
 
+def words_at(tokens: list[list[bytes]], first: np.ndarray, where: np.ndarray) -> list[bytes]:
+    """The tokens at places counted through all texts."""
+    doc = np.searchsorted(first, where, side="right") - 1
+    return [tokens[d][j] for d, j in zip(doc.tolist(), (where - first[doc]).tolist(), strict=True)]
+
+
 @dataclass
 class Model:
     start: np.ndarray  # K
@@ -157,24 +169,38 @@ def first_model(words: list[bytes], counts: np.ndarray, mass: np.ndarray, freque
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _round(frequent: list[bytes], classes: int, model: Model):
-    small = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+def _encode(words: list[bytes], frequent: int, classes: int):
+    """Symbols of all texts, a row for each slice; long texts are cut into runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, states = Symbols(frequent, classes), len(small.start)
-        total = np.zeros((len(small.emit) + states + 2, states))
-        for batch in text_batches(batches, limit=2 << 20):
+        known = Dictionary(words, frequent, classes)
+        for batch in text_batches(batches):
             docs = [tokens_of(x) for x in text_bytes(batch.column(0))]
             sizes = np.array([len(d) for d in docs], np.int64)
-            ids = np.fromiter((s for d in docs for s in map(symbols.__getitem__, d)), np.int32, int(sizes.sum()))
+            places = known.places(docs, int(sizes.sum()))
+            symbols = known.symbols(places, words_at(docs, np.cumsum(sizes) - sizes, np.flatnonzero(places < 0)))
             pieces = -(-sizes // TRAIN_RUN)
             lengths = np.full(int(pieces.sum()), TRAIN_RUN, np.int64)
             lengths[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * TRAIN_RUN
-            start, moves, emissions, like = expected(ids, lengths, small)
-            total[: len(small.emit)] += emissions
-            total[len(small.emit) : -2] += moves
-            total[-2] += start
-            total[-1, 0] += like
+            yield pa.RecordBatch.from_arrays([pa.array([symbols.astype(np.uint16 if frequent + classes <= 1 << 16 else np.int32).tobytes()], pa.binary()), pa.array([lengths.astype(np.int32).tobytes()], pa.binary())], ["symbols", "lengths"])
+
+    return run
+
+
+def _round(model: Model):
+    small = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, states = small.emit.shape
+        total = np.zeros((n + states + 2, states))
+        for batch in batches:
+            for symbols, lengths in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.frombuffer(symbols.as_buffer(), np.uint16 if n <= 1 << 16 else np.int32)
+                start, moves, emissions, like = expected(ids, np.frombuffer(lengths.as_buffer(), np.int32).astype(np.int64), small)
+                total[:n] += emissions
+                total[n:-2] += moves
+                total[-2] += start
+                total[-1, 0] += like
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k].astype(np.float32), pa.float32()) for k in range(states))], ["row", *(f"c{k}" for k in range(states))])
 
@@ -182,21 +208,29 @@ def _round(frequent: list[bytes], classes: int, model: Model):
 
 
 def train(df: DataFrame, scratch: Scratch, frequent: int, classes: int, states: int, counted: int, rounds: int) -> tuple[DataFrame, list[bytes], np.ndarray, np.ndarray, int, int, Model, list[float]]:
-    """df: the training texts in column text. The words' counts (table), the dictionary and its counts, mass by symbol, N, V, the model and its log likelihoods."""
+    """df: the training texts in column text. The counts of words beyond the dictionary (table), the dictionary and its counts, mass by symbol, N, V, the model and its log likelihoods."""
     counts = df.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    top = counts.orderBy(F.desc("n"), "word").limit(counted).collect()
-    words, of = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    # the dictionary: words of the highest count buckets, as many as fit; so its size is bounded and no partition sends its own best ones
+    bucket = F.floor(F.log2(F.col("n")) * 32).cast("int")
+    left, cut = counted, 1 << 20
+    for r in counts.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():
+        if r["count"] > left:
+            break
+        left, cut = left - r["count"], r["b"]
+    top = sorted((-r["n"], bytes(r["word"])) for r in counts.filter(bucket >= cut).collect())
+    words, of = [w for _, w in top], np.array([-k for k, _ in top], np.int64)
     frequent = min(frequent, len(words))
     mass = np.ones(frequent + classes)
     mass[:frequent] += of[:frequent]
     for r in counts.mapInArrow(_class_sums(words[:frequent], classes), "c int, n long, words long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
         mass[frequent + r["c"]] += r["n"] + r["words"]
     model, told = first_model(words, of, mass, frequent, classes, states), []
+    encoded = scratch.save(df.select("text").mapInArrow(_encode(words, frequent, classes), "symbols binary, lengths binary"), "encoded")
     prior = PRIOR * mass / mass.sum()
     for _ in range(rounds if n else 0):
-        sums = df.select("text").mapInArrow(_round(words[:frequent], classes, model), "row int, " + ", ".join(f"c{k} float" for k in range(states)))
+        sums = encoded.mapInArrow(_round(model), "row int, " + ", ".join(f"c{k} float" for k in range(states)))
         got = sums.groupBy("row").agg(*(F.sum(F.col(f"c{k}").cast("double")).alias(f"c{k}") for k in range(states))).collect()
         total = np.zeros((frequent + classes + states + 2, states))
         for r in got:
@@ -206,7 +240,8 @@ def train(df: DataFrame, scratch: Scratch, frequent: int, classes: int, states:
         start = total[-2] + 1.0
         told.append(float(total[-1, 0]))
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    return counts, words, of, mass, n, v, model, told
+    scratch.drop(encoded)
+    return counts.filter(bucket < cut), words, of, mass, n, v, model, told
 
 
 def _score(words: list[bytes], counts: np.ndarray, mass: np.ndarray, classes: int, n: int, v: int, model: Model):
@@ -215,27 +250,26 @@ def _score(words: list[bytes], counts: np.ndarray, mass: np.ndarray, classes: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        symbols, place = Symbols(words[:frequent], classes), dict(zip(words, range(len(words)), strict=True))
+        known = Dictionary(words, frequent, classes)
         log_count = np.append(np.log10(counts + 1.0), 0.0)
         log_mass = np.log10(mass)
         log_mass[:frequent] = 0
         in_class = np.append(np.arange(len(words)) >= frequent, False)
         rid = TaskContext.get().partitionId() << 33
-        for batch in text_batches(batches, limit=2 << 20):
+        for batch in text_batches(batches):
             docs = [tokens_of(x) for x in text_bytes(batch.column(2))]
             lengths = np.array([len(d) for d in docs], np.int64)
             total = int(lengths.sum())
-            ids = np.fromiter((s for d in docs for s in map(symbols.__getitem__, d)), np.int32, total)
-            at = np.fromiter((place.get(w, -1) for d in docs for w in d), np.int32, total)
-            scale, _ = forward(ids, Runs(lengths), model, False)
             first = np.cumsum(lengths) - lengths
+            at = known.places(docs, total)
+            rare = np.flatnonzero(at < 0)
+            flat = words_at(docs, first, rare)
+            ids = known.symbols(at, flat)
+            scale, _ = forward(ids, Runs(lengths), model, False)
             by_doc = lambda x: np.add.reduceat(x, first)
             base = by_doc(log_count[at]) - lengths * np.log10(n + v + 1.0)
             score = by_doc(np.log10(scale) + np.where(in_class[at], log_count[at], 0.0) - log_mass[ids])
-            rare = np.flatnonzero(at < 0)
             ends = np.searchsorted(rare, first + lengths)
-            doc = np.searchsorted(first, rare, side="right") - 1
-            flat = [docs[d][j] for d, j in zip(doc.tolist(), (rare - first[doc]).tolist(), strict=True)]
             left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(rid, rid + len(docs)), pa.int64()), batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(by_doc((at >= 0).astype(np.int64)), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), left],
@@ -260,8 +294,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     rows = df.select(df[id_col].cast("long").alias("doc_id"), held.alias("held_out"), text)
     rows = rows.mapInArrow(_score(words, of, mass, classes, n, v, model), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
     rows = scratch.save(rows, "rows")
-    least = int(of[-1]) if len(of) else 0
-    found = rows.select("rid", F.explode("rare").alias("word")).join(counts.filter(F.col("n") <= least), "word")
+    found = rows.select("rid", F.explode("rare").alias("word")).join(counts, "word")
     found = found.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("log"))
     more, log = F.coalesce("more", F.lit(0)), F.coalesce("log", F.lit(0.0))
     return rows.join(found, "rid", "left").select(

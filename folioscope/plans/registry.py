@@ -1,6 +1,611 @@
-"""All queries of the governance operators, by name, and the SQL that gives the same rows."""
+"""All queries of the governance operators, by name, and the SQL that gives the same rows.
+
+The provided tables hold no Han text, so queries use Latin word lists and rules; the Chinese defaults have tests of their own."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import lexicons
+from folioscope.functions import text as t
+from folioscope.functions import vectors as v
+from folioscope.operators import classify, features, priority, rules, topics, views
+from folioscope.plans import sql
+from folioscope.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+WORDS, HINTS = lexicons.LATIN_FEATURES, lexicons.LATIN_HINTS
+AS_OF = "2004-06-01"
+DOCS = sql.documents(HINTS)
+
+FAMILY_RULES = [
+    rules.Rule("english", ("the", "and", "of ", "tion", "ing"), boost=1.5), rules.Rule("german", ("der", "die", "und", "keit", "schein"), boost=1.4),
+    rules.Rule("french", ("la ", "et ", "eaux", "ment", "que"), boost=1.4), rules.Rule("spanish", ("ción", "mente", "para", "los", "que"), boost=1.4, patterns=("ciónes|ñ",)),
+]
+SPLIT_RULES = [
+    rules.Rule("government", ("the", "der", "mente"), ("of ", "und ", "and "), None, 2.4, 0.85, 0.0, needs_content=True),
+    rules.Rule("education", ("tion", "ment"), ("est", "ing", "tion"), None, 2.4, 1.0, 0.05, needs_content=True, latin_bonus=0.85, generic=("tion",)),
+    rules.Rule("health", ("heit", "ciones"), ("heit", "ción", "eau"), None, 2.4, 1.0, 0.05, needs_content=True),
+]
+DOMAINS = [("trade", ("the", "tion", "er"), 2), ("culture", ("der", "ein", "en"), 2)]
+CHILDREN = {
+    "government": [rules.child_rule("policy", ("the", "with")), rules.child_rule("service", ("und", "para", "and"), ("^The",), 1.2)],
+    "education": [rules.child_rule("school", ("est", "ing")), rules.child_rule("science", ("tion", "on"))],
+}
+CHILD_FALLBACK = {"health": "health in general", "unsplit": "open"}
+SCENARIOS = [priority.Scenario("S1", 12.0, 40, 60), priority.Scenario("S2", 40.0, 200, 150), priority.Scenario("S3", 3.5, 1000, 0)]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return features.as_documents(table(spark, d, "documents"))
+
+
+def long(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def md5(c):
+    return F.md5(c.cast("binary"))
+
+
+# ---- text
+
+
+@query(f"WITH n AS (SELECT doc_id, {sql.norm('text')} AS x FROM documents) SELECT doc_id, len(x) AS n, md5(x) AS digest FROM n")
+def text_normalize(spark, d):
+    x = t.normalize(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, title FROM d")
+def title_guess(spark, d):
+    return docs(spark, d).select("doc_id", "title")
+
+
+_DATED = "SELECT o_orderkey, replace(strftime(o_orderdate, '%Y-%m-%d'), '199', '200') || ' ' || replace(strftime(o_orderdate, '%Y/%m'), '199', '200') || ' 2003Q' || CAST(o_orderkey % 5 AS VARCHAR) AS x FROM orders"
+
+
+def dated(spark, d):
+    day = lambda f: F.replace(F.date_format("o_orderdate", f), F.lit("199"), F.lit("200"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(day("yyyy-MM-dd"), F.lit(" "), day("yyyy/MM"), F.lit(" 2003Q"), (F.col("o_orderkey") % 5).cast("string")).alias("x"))
+
+
+@query(f"WITH o AS ({_DATED}) SELECT o_orderkey, {sql.time_info('x')} AS info FROM o")
+def time_info(spark, d):
+    return dated(spark, d).select("o_orderkey", t.time_info(F.col("x")).alias("info"))
+
+
+@query(f"WITH o AS ({_DATED}) SELECT o_orderkey, {sql.urgency('x', f'DATE {chr(39)}{AS_OF}{chr(39)}')}::DOUBLE AS urgency FROM o")
+def urgency_date(spark, d):
+    return dated(spark, d).select("o_orderkey", t.date_urgency(F.col("x"), F.lit(AS_OF).cast("date")).alias("urgency"))
+
+
+@query(rf"""
+WITH s AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', '''') AS x FROM pages)
+SELECT page_id, len({sql.norm('x')}) AS n, md5({sql.norm('x')}) AS digest FROM s""")
+def strip_tags(spark, d):
+    x = t.strip_tags(F.col("html"))
+    return table(spark, d, "pages").select("page_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
+
+
+@query(rf"SELECT p_partkey, array_to_string(list_filter(string_split_regex(replace(p_type, ' ', '、') || ';' || p_brand || '|' || p_name, '[、,，;；/|\\{t.SPACE}]+'), lambda x: x <> ''), ' | ') AS terms FROM part")
+def split_terms(spark, d):
+    text = F.concat(F.replace("p_type", F.lit(" "), F.lit("、")), F.lit(";"), F.col("p_brand"), F.lit("|"), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(t.split_terms(text), " | ").alias("terms"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, len(body) AS n, md5(body) AS digest FROM a")
+def analysis_text(spark, d):
+    rows = docs(spark, d)
+    x = features.analysis_text(rows, HINTS)
+    return rows.select("doc_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, len({sql.lines('merged')}) AS n_lines, len(kept) AS n_kept FROM k")
+def line_filter(spark, d):
+    rows = docs(spark, d)
+    lines = F.transform(F.split(t.normalize(t.join_nonempty("\n\n", *(rows[f] for f in features.FIELDS))), t.LINE_END), t.normalize)
+    return rows.select("doc_id", lines.alias("l")).select("doc_id", long(F.size("l")).alias("n_lines"), long(F.size(F.filter("l", lambda x: ~features.is_template_line(x, HINTS)))).alias("n_kept"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"{sql.hits('body', w)} AS {k}" for k, w in WORDS.items()) + " FROM a")
+def keyword_hits(spark, d):
+    rows = docs(spark, d)
+    rows = rows.withColumn("body", features.analysis_text(rows, HINTS))
+    return rows.select("doc_id", *(t.hits(F.col("body"), w).alias(k) for k, w in WORDS.items()))
+
+
+_COUNTS = {"chinese": r"[\x{4e00}-\x{9fff}]", "latin": "[A-Za-z]", "digit": r"\p{Nd}", "punctuation": t.PUNCTUATION, "whitespace": f"[{t.SPACE}]"}
+_FEATURES = f"""{DOCS},
+c AS (SELECT *, {sql.norm("concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(body, ''))")} AS x FROM a),
+f AS (SELECT doc_id, source AS dataset, '.txt' AS suffix, CASE WHEN len(text) = 0 THEN 'empty' ELSE 'ok' END AS parse_status, false AS content_truncated,
+  len(title) AS title_len, len(info) AS time_info_len, len(text) AS raw_len, len(text) AS clean_len, CAST(0 AS BIGINT) AS table_len, CAST(0 AS BIGINT) AS ocr_len, len(body) AS analysis_len,
+  CASE WHEN len(x) > 0 THEN {sql.count('x', chr(92) + 'n')} + 1 ELSE 0 END AS line_count, CASE WHEN len(x) > 0 THEN {sql.count('x', chr(92) + 'n' + chr(92) + 'n')} + 1 ELSE 0 END AS paragraph_count, {sql.count('x', '[。！？!?;；]')} AS sentence_count,
+  {', '.join(f"{sql.count('x', p)} AS {k}_count" for k, p in _COUNTS.items())},
+  {', '.join(f"CASE WHEN len(x) > 0 THEN round({sql.count('x', _COUNTS[k])}::DOUBLE / len(x), 6) ELSE 0.0 END AS {k}_ratio" for k in ('chinese', 'latin', 'digit', 'punctuation'))},
+  CAST(len(title) > 0 AS INTEGER) AS has_title, CAST(len(info) > 0 AS INTEGER) AS has_time_info, 0 AS has_table, 0 AS has_ocr_text,
+  {', '.join(f"{sql.hits('x', w)} AS {k}_keyword_hits" for k, w in WORDS.items())}, {', '.join(f"CAST({sql.hits('x', w)} > 0 AS INTEGER) AS {k}_signal" for k, w in WORDS.items())}, body FROM c)"""
+
+
+@query(f"WITH {_FEATURES} SELECT * EXCLUDE (body) FROM f")
+def feature_row(spark, d):
+    return features.feature_rows(docs(spark, d), WORDS, HINTS).drop("analysis_text")
+
+
+@query(f"WITH n AS (SELECT doc_id, {sql.money('text')} AS m FROM documents) SELECT doc_id, len(m) AS n, coalesce(list_max(m), 0.0) AS most FROM n")
+def money_values(spark, d):
+    m = t.money_values(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", long(F.size("m")).alias("n"), F.coalesce(F.array_max("m"), F.lit(0.0)).alias("most"))
+
+
+_PRICED = "SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || CASE o_orderkey % 4 WHEN 0 THEN '元' WHEN 1 THEN ' 万元' WHEN 2 THEN '千元' ELSE ' USD' END AS x FROM orders"
+
+
+@query(f"WITH p AS ({_PRICED}) SELECT o_orderkey, round({sql.money_score(sql.money('x'))}, 9) AS score FROM p")
+def money_score(spark, d):
+    k = F.col("o_orderkey") % 4
+    x = F.concat(F.floor("o_totalprice").cast("long").cast("string"), F.when(k == 0, "元").when(k == 1, " 万元").when(k == 2, "千元").otherwise(" USD"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(t.money_score(t.money_values(x)), 9).alias("score"))
+
+
+_SIGNAL = "least(1.0, 0.35 * money_signal + 0.25 * approval_signal + 0.20 * review_signal + 0.10 * business_signal + 0.10 * policy_signal)"
+
+
+@query(f"WITH {_FEATURES} SELECT doc_id, round(CAST({_SIGNAL} AS DOUBLE), 6) AS signal FROM f")
+def signal_score(spark, d):
+    rows = features.feature_rows(docs(spark, d), WORDS, HINTS)
+    return rows.select("doc_id", F.round(priority.signal_score(rows), 6).alias("signal"))
+
+
+_RISK = "CAST(doc_id * 37 % 101 AS DOUBLE) / 100.0"
+_LEVEL = "CASE WHEN risk_score >= 0.65 THEN 'high' WHEN risk_score >= 0.35 THEN 'medium' ELSE 'low' END"
+_W = priority.ahp_weights()
+_PRIORITY = f"""{_FEATURES},
+r AS (SELECT *, {_RISK} AS risk_score, {sql.keyword_score('body', lexicons.LATIN_NECESSITY)}::DOUBLE AS kw, {sql.money('body')} AS m, {_SIGNAL}::DOUBLE AS sig,
+  greatest({sql.keyword_score('body', lexicons.LATIN_URGENCY)}::DOUBLE, least(1.0, time_keyword_hits / 4.0)::DOUBLE, {sql.urgency('body', f"DATE '{AS_OF}'")}::DOUBLE) AS urgent FROM f),
+s AS (SELECT *, {sql.money_score('m')} AS ms, {_LEVEL} AS risk_level FROM r),
+q AS (SELECT *, CASE WHEN ms >= 0.8 OR kw >= 0.75 THEN greatest(kw, ms, sig) ELSE least(1.0, 0.45::DOUBLE * kw + 0.35::DOUBLE * ms + 0.20::DOUBLE * sig) END AS need FROM s),
+w AS (SELECT *, least(1.0, greatest(0.0, {_W['risk']!r}::DOUBLE * risk_score + {_W['necessity']!r}::DOUBLE * need + {_W['urgency']!r}::DOUBLE * urgent)) AS score FROM q),
+p AS (SELECT doc_id, dataset, round(risk_score, 6) AS misclassification_risk_score, round(urgent, 6) AS urgency_score, round(need, 6) AS review_necessity_score, round(score, 6) AS priority_score,
+  CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS priority_level,
+  round(0.12::DOUBLE + least(0.5::DOUBLE, analysis_len / 20000.0::DOUBLE) + (CASE WHEN parse_status <> 'ok' THEN 0.10 ELSE 0.0 END)::DOUBLE + (CASE WHEN risk_level = 'high' THEN 0.10 ELSE 0.0 END)::DOUBLE, 3) AS estimated_review_hours,
+  CASE WHEN list_max(m) >= 1e12 THEN list_max(m) ELSE round(coalesce(list_max(m), 0.0), 2) END AS max_money_value, round(ms, 6) AS money_score,
+  array_to_string(list_slice({sql.contained('body', lexicons.LATIN_URGENCY, True)}, 1, 8), '、') AS urgency_terms, array_to_string(list_slice({sql.contained('body', lexicons.LATIN_NECESSITY, True)}, 1, 8), '、') AS necessity_terms FROM w)"""
+
+
+def prioritized(spark, d):
+    rows = features.feature_rows(docs(spark, d), WORDS, HINTS)
+    rows = rows.withColumn("risk_score", (F.col("doc_id") * 37 % 101).cast("double") / 100.0).withColumn("risk_level", classify.level(F.col("risk_score")))
+    return priority.prioritize(rows, F.lit(AS_OF).cast("date"), lexicons.LATIN_URGENCY, lexicons.LATIN_NECESSITY)
+
+
+@query(f"WITH {_PRIORITY} SELECT * FROM p")
+def review_priority(spark, d):
+    return prioritized(spark, d)
+
+
+@query(f"WITH {_PRIORITY} SELECT doc_id, review_necessity_score FROM p")
+def necessity_score(spark, d):
+    return prioritized(spark, d).select("doc_id", "review_necessity_score")
+
+
+@query(f"WITH {_PRIORITY} SELECT doc_id, estimated_review_hours FROM p")
+def review_hours(spark, d):
+    return prioritized(spark, d).select("doc_id", "estimated_review_hours")
+
+
+_RANKED = f"{_PRIORITY}, k2 AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, misclassification_risk_score DESC, review_necessity_score DESC, CAST(doc_id AS VARCHAR)) AS priority_rank FROM p)"
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, priority_score, priority_rank FROM k2")
+def priority_rank(spark, d):
+    return priority.priority_rank(prioritized(spark, d)).select("doc_id", "priority_score", "priority_rank")
+
+
+@query(f"""WITH {_PRIORITY} SELECT dataset, priority_level, count(*) AS document_count, round(avg(priority_score), 6) AS avg_priority_score, round(avg(misclassification_risk_score), 6) AS avg_misclassification_risk_score,
+  round(avg(review_necessity_score), 6) AS avg_review_necessity_score, round(avg(urgency_score), 6) AS avg_urgency_score, round(sum(estimated_review_hours), 3) AS total_estimated_hours FROM p GROUP BY ALL""")
+def priority_summary(spark, d):
+    return priority.summarize_priority(prioritized(spark, d))
+
+
+_TURNS = f"""{_RANKED},
+c2 AS (SELECT doc_id, priority_rank, priority_level, priority_score, estimated_review_hours AS h,
+  row_number() OVER (ORDER BY CASE WHEN priority_level = 'high' THEN 0 ELSE 1 END, round(priority_score / greatest(estimated_review_hours, 0.25), 9) DESC, priority_score DESC, priority_rank) AS turn FROM k2 WHERE priority_level IN ('high', 'medium')),
+low AS (SELECT doc_id, priority_rank, priority_level, priority_score, row_number() OVER (ORDER BY priority_score DESC, priority_rank) AS turn FROM k2 WHERE priority_level = 'low'),
+sc(scenario_id, hours, docs, auto) AS (VALUES {', '.join(f"('{s.scenario_id}', {s.manual_hours}::DOUBLE, {s.manual_review_limit}, {s.auto_archive_limit})" for s in SCENARIOS)}),
+walk(scenario_id, turn, used, n, taken) AS (
+  SELECT scenario_id, CAST(0 AS BIGINT), 0.0::DOUBLE, CAST(0 AS BIGINT), false FROM sc
+  UNION ALL
+  SELECT w.scenario_id, c.turn, CASE WHEN w.n < s.docs AND w.used + c.h <= s.hours THEN w.used + c.h ELSE w.used END, CASE WHEN w.n < s.docs AND w.used + c.h <= s.hours THEN w.n + 1 ELSE w.n END, w.n < s.docs AND w.used + c.h <= s.hours
+  FROM walk w JOIN c2 c ON c.turn = w.turn + 1 JOIN sc s ON s.scenario_id = w.scenario_id)"""
+
+
+@query(f"""WITH RECURSIVE {_TURNS}
+SELECT w.scenario_id, c.doc_id, c.priority_rank, c.priority_level, c.priority_score, 'manual_review' AS allocated_action, c.h AS estimated_review_hours FROM walk w JOIN c2 c ON c.turn = w.turn WHERE w.taken
+UNION ALL SELECT s.scenario_id, l.doc_id, l.priority_rank, l.priority_level, l.priority_score, 'auto_archive', 0.0 FROM sc s JOIN low l ON l.turn <= s.auto""")
+def greedy_allocation(spark, d):
+    return priority.allocate(spark, priority.priority_rank(prioritized(spark, d)).persist(), SCENARIOS)[0]
+
+
+@query(f"""WITH RECURSIVE {_TURNS},
+t AS (SELECT w.scenario_id, count(*) AS n, count(*) FILTER (c.priority_level = 'high') AS high, max(w.used) AS used FROM walk w JOIN c2 c ON c.turn = w.turn WHERE w.taken GROUP BY 1)
+SELECT s.scenario_id, s.hours AS manual_hours, CAST(s.docs AS BIGINT) AS manual_review_limit, CAST(s.auto AS BIGINT) AS auto_archive_limit, coalesce(t.n, 0) AS manual_review_selected, coalesce(high, 0) AS high_priority_selected,
+  coalesce(t.n - high, 0) AS medium_priority_selected, least(s.auto, (SELECT count(*) FROM low)) AS auto_archive_selected, greatest(0, (SELECT count(*) FROM c2) - coalesce(t.n, 0)) AS deferred_review_count,
+  round(coalesce(used, 0.0), 3) AS used_manual_hours, round(greatest(0.0, s.hours - coalesce(used, 0.0)), 3) AS remaining_manual_hours, CAST(coalesce(t.n, 0) >= s.docs AS INTEGER) AS manual_limit_binding, CAST(coalesce(used, 0.0) >= s.hours AS INTEGER) AS hour_limit_binding
+FROM sc s LEFT JOIN t USING (scenario_id)""")
+def resource_plan(spark, d):
+    return priority.allocate(spark, priority.priority_rank(prioritized(spark, d)).persist(), SCENARIOS)[1]
+
+
+@query("WITH RECURSIVE x(i, a, b, c, l) AS (SELECT 0, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 3.0::DOUBLE UNION ALL SELECT i + 1, (a + 2 * b + 3 * c) / s, (a / 2 + b + 2 * c) / s, (a / 3 + b / 2 + c) / s, s FROM (SELECT *, (a + 2 * b + 3 * c) + (a / 2 + b + 2 * c) + (a / 3 + b / 2 + c) AS s FROM x WHERE i < 200)) SELECT round(a, 9) AS risk, round(b, 9) AS necessity, round(c, 9) AS urgency, round(l, 9) AS lambda_max, round((l - 3) / 2 / 0.58::DOUBLE, 9) AS consistency_ratio FROM x WHERE i = 200")
+def ahp_weights(spark, d):
+    w = priority.ahp_weights()
+    return spark.createDataFrame([tuple(round(w[k], 9) for k in ("risk", "necessity", "urgency", "lambda_max", "consistency_ratio"))], "risk double, necessity double, urgency double, lambda_max double, consistency_ratio double")
+
+
+# ---- joins and reports
+
+
+@query("SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)")
+def doc_feature_left_join(spark, d):
+    left = table(spark, d, "documents").select("doc_id", "source", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
+    right = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return views.merge_left(left, right, "doc_id")
+
+
+@query("SELECT d.doc_id, l.quality, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE length(trim(text)) > 0 AND n_chars >= 80")
+def selection_inner(spark, d):
+    rows = table(spark, d, "documents").filter((F.length(F.trim("text")) > 0) & (F.col("n_chars") >= 80))
+    return rows.join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unselected_anti(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT doc_id, length(text) AS full_length, md5(substring(text, 1, 6000)) AS cut FROM documents WHERE length(text) >= 80")
+def min_length_filter(spark, d):
+    rows = table(spark, d, "documents").withColumn("full_length", long(F.length("text")))
+    return topics.select_texts(rows, "text").select("doc_id", "full_length", md5(F.col("text")).alias("cut"))
+
+
+@query("SELECT source, CASE WHEN n_chars <= 0 THEN '0' WHEN n_chars < 80 THEN '1-79' WHEN n_chars < 300 THEN '80-299' ELSE '300+' END AS bin, count(*) AS n FROM documents GROUP BY ALL")
+def length_bins(spark, d):
+    return table(spark, d, "documents").groupBy("source", views.length_bin(F.col("n_chars")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, CASE WHEN length(trim(text)) = 0 THEN 'empty' ELSE 'ok' END AS parse_status, count(*) AS n FROM documents GROUP BY ALL")
+def status_by_source(spark, d):
+    rows = docs(spark, d).select(F.col("dataset").alias("source"), "parse_status")
+    return rows.groupBy("source", "parse_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH top AS (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 8) SELECT CASE WHEN source IN (FROM top) THEN source ELSE 'other' END AS bucket, lang, count(*) AS n FROM documents GROUP BY ALL")
+def top_n_other(spark, d):
+    return views.top_and_other(table(spark, d, "documents"), "source", "lang")
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL ORDER BY n DESC, source, lang LIMIT 12")
+def group_count_2(spark, d):
+    return views.group_count(table(spark, d, "documents"), "source", "lang", most=12)
+
+
+@query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY 1")
+def pivot_source_lang(spark, d):
+    return table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (n_chars < 80) AS short, count(*) FILTER (n_chars > 6000) AS cut, count(DISTINCT source) AS sources, round(avg(n_chars), 6) AS mean_length FROM documents")
+def kpi_flags(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n_chars") < 80).alias("short"), F.count_if(F.col("n_chars") > 6000).alias("cut"), F.countDistinct("source").alias("sources"), F.round(F.avg("n_chars"), 6).alias("mean_length"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', CAST(doc_id AS VARCHAR), source, lang, text)), 'license')")
+def search_filter(spark, d):
+    return table(spark, d, "documents").filter(views.found(["doc_id", "source", "lang", "text"], "License")).select("doc_id")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 100 AND c_acctbal <= 5000")
+def composable_filter(spark, d):
+    return table(spark, d, "customer").filter(views.matches({"c_mktsegment": "BUILDING", "c_nationkey": ""}, {"c_acctbal": 100}, {"c_acctbal": 5000})).select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 50")
+def page_offset(spark, d):
+    return views.page(table(spark, d, "documents").select("doc_id", "n_chars"), 3, F.desc("n_chars"), "doc_id")
+
+
+@query("SELECT coalesce(nullif(CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END, ''), '未标注') AS value, count(*) AS n FROM documents GROUP BY 1")
+def count_by_blank(spark, d):
+    return views.count_by(table(spark, d, "documents").withColumn("s", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("source"))), "s")
+
+
+@query("SELECT DISTINCT trim(event_type) AS value FROM events WHERE trim(event_type) <> ''")
+def unique_values(spark, d):
+    return views.unique_values(table(spark, d, "events"), "event_type")
+
+
+@query("WITH p AS (SELECT c_nationkey AS k FROM customer GROUP BY 1 ORDER BY count(*) DESC, k LIMIT 1) SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey = (FROM p) GROUP BY ALL ORDER BY n DESC, c_mktsegment LIMIT 8")
+def nested_parent_child(spark, d):
+    return views.nested_counts(table(spark, d, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT CAST(CASE WHEN x < 0.35 THEN 0 WHEN x < 0.65 THEN 1 ELSE 2 END AS INTEGER) AS bin, count(*) AS n FROM (SELECT (l_orderkey * 37 + l_linenumber) % 101 / 100.0::DOUBLE AS x FROM lineitem) GROUP BY 1")
+def priority_histogram(spark, d):
+    rows = table(spark, d, "lineitem").select(((F.col("l_orderkey") * 37 + F.col("l_linenumber")) % 101 / 100.0).alias("x"))
+    return views.histogram(rows, "x", [0.0, 0.35, 0.65, 1.0])
+
+
+@query("WITH b AS (SELECT event_type AS metric, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT event_type AS metric, count(*) AS n FROM events WHERE event_id % 3 = 0 AND event_type <> 'error' GROUP BY 1) SELECT metric, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM b FULL JOIN a USING (metric)")
+def before_after(spark, d):
+    rows = table(spark, d, "events")
+    count = lambda x: x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return views.before_after(count(rows.filter("event_id % 2 = 0")), count(rows.filter("event_id % 3 = 0 AND event_type <> 'error'")), "event_type", "n")
+
+
+@query("WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS clusters, count(*) FILTER (n <= 5) AS le_5, count(*) FILTER (n <= 10) AS le_10, max(n) AS largest FROM s")
+def cluster_long_tail(spark, d):
+    sizes = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") <= 5).alias("le_5"), F.count_if(F.col("n") <= 10).alias("le_10"), F.max("n").alias("largest"))
+
+
+_VIEW = "SELECT doc_id, CASE WHEN b.doc_id IS NOT NULL THEN b.source ELSE a.source END AS source, a.lang, b.quality FROM documents a LEFT JOIN (SELECT doc_id, quality, CASE WHEN quality = 0 THEN '' ELSE 'labelled' END AS source FROM labels) b USING (doc_id)"
+
+
+@query(_VIEW)
+def view_merge(spark, d):
+    right = table(spark, d, "labels").select("doc_id", "quality", F.when(F.col("quality") == 0, "").otherwise("labelled").alias("source"))
+    return views.merge_left(table(spark, d, "documents").select("doc_id", "source", "lang"), right, "doc_id", precedence_blank=True)
+
+
+_TAG = "CASE WHEN regexp_matches(x, '(^|/)数据集1[^/]*(/|$)') THEN 'dataset1' WHEN regexp_matches(x, '(^|/)数据集2[^/]*(/|$)') THEN 'dataset2' WHEN regexp_matches(x, '(^|/)数据集3[^/]*(/|$)') THEN 'dataset3' WHEN regexp_matches(x, '(^|/)数据集4[^/]*(/|$)') THEN 'dataset4' ELSE 'unknown' END"
+
+
+@query(f"WITH p AS (SELECT doc_id, 'in/数据集' || CAST(doc_id % 6 AS VARCHAR) || ' part/' || source || '.txt' AS x FROM documents) SELECT doc_id, {_TAG} AS dataset FROM p")
+def dataset_tag(spark, d):
+    path = F.concat(F.lit("in/数据集"), (F.col("doc_id") % 6).cast("string"), F.lit(" part/"), F.col("source"), F.lit(".txt"))
+    return table(spark, d, "documents").select("doc_id", files.dataset_of(path).alias("dataset"))
+
+
+# ---- rules
+
+
+@query(f"""WITH n AS (SELECT doc_id, text, doc_id % 97 = 0 AS own FROM documents), s AS (SELECT doc_id, own, [{', '.join(sql.rule(r, 'text', "''", "''") for r in FAMILY_RULES)}] AS q FROM n)
+SELECT doc_id, CASE WHEN own THEN 'fixed family' WHEN list_max(q) > 0 THEN {sql.lit([r.name for r in FAMILY_RULES])}[list_position(q, list_max(q))] ELSE 'statistics' END AS name,
+  round(CASE WHEN own THEN 1.0 WHEN list_max(q) > 0 THEN list_max(q) / list_sum(q) ELSE 0.1 END, 6) AS confidence FROM s""")
+def family_rule_score(spark, d):
+    rows = table(spark, d, "documents").withColumn("raw", F.when(F.col("doc_id") % 97 == 0, "raw name").otherwise(""))
+    made = rules.family(FAMILY_RULES, {"raw name": ("fixed family", "override")}, "statistics", F.col("raw"), F.col("text"))
+    return rows.select("doc_id", made.alias("f")).select("doc_id", F.col("f.name").alias("name"), F.round("f.confidence", 6).alias("confidence"))
+
+
+_SPLIT_LATIN = "len(regexp_extract_all(z, '[A-Za-z]'))::DOUBLE / greatest(len(z), 1)"
+_DOMAIN = "CASE " + " ".join(f"WHEN {sql.hits('title', w, True)} >= {n} THEN '{name}'" for name, w, n in DOMAINS) + " ELSE NULL END"
+_SPLIT = f"""{DOCS},
+z AS (SELECT *, concat_ws(' ', nullif(title, ''), nullif(body, ''), lang) AS z FROM a),
+y AS (SELECT *, {_SPLIT_LATIN} AS latin FROM z),
+x AS (SELECT *, [{', '.join(sql.rule(r, 'title', 'body', 'lang', 'latin') for r in SPLIT_RULES)}] AS q FROM y),
+u AS (SELECT *, CASE WHEN list_max(q) > 0 THEN {sql.lit([r.name for r in SPLIT_RULES])}[list_position(q, list_max(q))] ELSE 'unsplit' END AS winner, {_DOMAIN} AS domain FROM x),
+v AS (SELECT *, CASE WHEN winner = 'government' THEN coalesce(domain, winner) ELSE winner END AS parent FROM u)"""
+
+
+def split_docs(spark, d):
+    rows = docs(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.withColumn("body", features.analysis_text(rows, HINTS))
+    made = rules.content_split(SPLIT_RULES, DOMAINS, "government", "unsplit", F.col("title"), F.col("body"), F.col("lang"))
+    return rows.withColumn("s", made)
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, parent FROM v")
+def content_split(spark, d):
+    return split_docs(spark, d).select("doc_id", F.col("s.name").alias("parent"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, coalesce({_DOMAIN}, '') AS domain FROM d")
+def domain_override(spark, d):
+    rows = docs(spark, d)
+    return rows.select("doc_id", F.coalesce(rules.domain_override(DOMAINS, F.col("title"))["name"], F.lit("")).alias("domain"))
+
+
+_CHILD = "CASE " + " ".join(
+    f"WHEN parent = '{p}' AND list_max([{(s := ', '.join(sql.rule(r, 'title', 'body', 'pr') for r in own))}]) > 0 THEN {sql.lit([r.name for r in own])}[list_position([{s}], list_max([{s}]))]" for p, own in CHILDREN.items()
+) + " " + " ".join(f"WHEN parent = '{p}' THEN '{f}'" for p, f in CHILD_FALLBACK.items()) + " ELSE parent || '综合类' END"
+
+
+@query(f"WITH {_SPLIT}, pr AS (SELECT *, parent || ' -' AS pr FROM v) SELECT doc_id, parent, {_CHILD} AS child FROM pr")
+def child_label(spark, d):
+    made = rules.child_label(CHILDREN, CHILD_FALLBACK, F.col("s.name"), F.lit("-"), F.col("title"), F.col("body"))
+    return split_docs(spark, d).select("doc_id", F.col("s.name").alias("parent"), made["name"].alias("child"))
+
+
+# ---- prototypes
+
+_CENTROIDS = """
+e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+len AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY 1),
+un AS (SELECT e.vec_id, label, i, CASE WHEN n > 0 THEN x / n ELSE 0 END AS x FROM e JOIN len USING (vec_id)),
+mean AS (SELECT label, i, avg(x) AS x, count(*) AS support FROM un WHERE vec_id % 5 <> 0 GROUP BY 1, 2),
+ml AS (SELECT label, sqrt(sum(x * x)) AS n FROM mean GROUP BY 1),
+cen AS (SELECT label AS cluster_id, i, mean.x / ml.n AS x, support FROM mean JOIN ml USING (label))"""
+_TOP = f"""{_CENTROIDS},
+sc AS (SELECT u.vec_id, c.cluster_id, sum(u.x * c.x) AS score FROM un u JOIN cen c USING (i) WHERE u.vec_id % 5 = 0 GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cluster_id DESC) AS rank FROM sc),
+tp AS (SELECT vec_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, max(score) FILTER (rank = 3) AS s3, max(cluster_id) FILTER (rank = 1) AS c1, max(cluster_id) FILTER (rank = 2) AS c2 FROM rk WHERE rank <= 3 GROUP BY 1),
+mm AS (SELECT *, s1 - s2 AS margin, 1 / (1 + exp(s2 - s1) + exp(s3 - s1)) AS confidence, (vec_id // 5 % 10) / 10.0::DOUBLE AS coverage, (vec_id // 5 % 7) / 7.0::DOUBLE AS overlap, CAST(20 + vec_id % 200 AS BIGINT) AS n, CASE WHEN vec_id % 11 = 0 THEN 'empty' ELSE 'ok' END AS ps, vec_id % 2 = 0 AS spec FROM tp),
+rs AS (SELECT *, CASE WHEN margin >= 0.06 THEN '' WHEN c1 % 3 = c2 % 3 THEN 'same_prototype_family' WHEN s1 >= 0.45 AND margin >= 0.02 AND overlap >= 0.30 AND spec THEN 'rule_disambiguation' ELSE '' END AS resolved, s1 >= 0.30 AND spec AS rescue FROM mm),
+st AS (SELECT *, CASE WHEN s1 < 0.35 AND rescue THEN 'assigned' WHEN s1 < 0.35 THEN 'unclassifiable' WHEN margin < 0.06 AND resolved = '' THEN 'multi_class' ELSE 'assigned' END AS status,
+  least(1.0, greatest(0.0, (CASE WHEN s1 < 0.35 AND rescue THEN 0.25 WHEN s1 < 0.35 THEN 0.55 WHEN margin < 0.06 AND resolved = '' THEN 0.35 ELSE 0.0 END)::DOUBLE
+  + CASE WHEN coverage < 0.45 THEN 0.20::DOUBLE * (0.45::DOUBLE - coverage) / 0.45::DOUBLE ELSE 0 END + CASE WHEN overlap < 0.30 THEN 0.20::DOUBLE * (0.30::DOUBLE - overlap) / 0.30::DOUBLE ELSE 0 END
+  + CASE WHEN margin < 0.08 THEN 0.25::DOUBLE * (0.08::DOUBLE - margin) / 0.08::DOUBLE ELSE 0 END + CASE WHEN confidence < 0.45 THEN 0.10::DOUBLE * (0.45::DOUBLE - confidence) / 0.45::DOUBLE ELSE 0 END
+  + (CASE WHEN n < 40 THEN 0.20 ELSE 0.0 END)::DOUBLE + (CASE WHEN ps <> 'ok' THEN 0.35 ELSE 0.0 END)::DOUBLE)) AS risk FROM rs),
+cl AS (SELECT vec_id AS doc_id, 'd' || CAST(vec_id // 5 % 3 AS VARCHAR) AS dataset, 't' || CAST(c1 % 3 AS VARCHAR) AS parent, status, risk AS risk_score, CASE WHEN risk >= 0.65 THEN 'high' WHEN risk >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level,
+  s1 AS top1_score, margin, confidence, CAST(risk >= 0.35 AS INTEGER) AS review_flag FROM st)"""
+
+
+def prototypes(spark, d):
+    return classify.centroids(table(spark, d, "embeddings").filter("vec_id % 5 <> 0"), "label", "embedding")
+
+
+def nearest(spark, d):
+    return classify.top_prototypes(table(spark, d, "embeddings").filter("vec_id % 5 = 0"), prototypes(spark, d), "vec_id", "embedding")
+
+
+def classified(spark, d):
+    x = classify.ranking(nearest(spark, d), "vec_id")
+    n = F.floor(F.col("vec_id") / 5)
+    x = x.withColumns({"coverage": n % 10 / 10.0, "overlap": n % 7 / 7.0, "length": 20 + F.col("vec_id") % 200, "parse_status": F.when(F.col("vec_id") % 11 == 0, "empty").otherwise("ok"), "specific": F.col("vec_id") % 2 == 0})
+    top1, margin = F.col("top1_score"), F.col("margin")
+    x = x.withColumns({"rescue": (top1 >= 0.30) & F.col("specific"), "resolved": classify.resolution(margin, F.col("top1_id") % 3 == F.col("top2_id") % 3, top1, F.col("overlap"), F.col("specific"))})
+    x = x.withColumns({"status": classify.status(top1, margin, F.col("rescue"), F.col("resolved")), "risk_score": classify.risk_score(top1, margin, F.col("rescue"), F.col("resolved"), F.col("coverage"), F.col("overlap"), F.col("confidence"), F.col("length"), F.col("parse_status"))})
+    x = x.withColumn("risk_level", classify.level(F.col("risk_score")))
+    return x.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("d"), (n % 3).cast("string")).alias("dataset"), F.concat(F.lit("t"), (F.col("top1_id") % 3).cast("string")).alias("parent"), "status", "risk_score", "risk_level", "top1_score", "margin", "confidence", F.when(F.col("risk_level") == "low", 0).otherwise(1).alias("review_flag"))
+
+
+@query(f"WITH {_CENTROIDS} SELECT cluster_id, CAST(max(support) AS BIGINT) AS support, round(sum(x * i), 6) AS moment, round(sum(x * x), 6) AS size FROM cen GROUP BY 1")
+def centroids(spark, d):
+    c = prototypes(spark, d).select("cluster_id", "support", F.posexplode("centroid").alias("i", "x"))
+    return c.groupBy("cluster_id").agg(F.max("support").alias("support"), F.round(F.sum(F.col("x") * (F.col("i") + 1)), 6).alias("moment"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("size"))
+
+
+@query(f"WITH {_TOP} SELECT vec_id, cluster_id, rank, round(score, 6) AS score FROM rk WHERE rank <= 3")
+def cosine_top3(spark, d):
+    return nearest(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOP} SELECT vec_id, round(confidence, 6) AS confidence, round(margin, 6) AS margin FROM mm")
+def softmax_confidence(spark, d):
+    return classify.ranking(nearest(spark, d), "vec_id").select("vec_id", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"))
+
+
+@query(f"WITH {_TOP} SELECT doc_id, status FROM cl")
+def margin_status(spark, d):
+    return classified(spark, d).select("doc_id", "status")
+
+
+@query(f"WITH {_TOP} SELECT doc_id, round(risk_score, 6) AS risk_score, risk_level FROM cl")
+def risk_score(spark, d):
+    return classified(spark, d).select("doc_id", F.round("risk_score", 6).alias("risk_score"), "risk_level")
+
+
+_SUMMARY = "count(*) AS document_count, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}_count" for s in ("assigned", "multi_class", "unclassifiable")) + ", count(*) FILTER (risk_level = 'high') AS high_risk_count, count(*) FILTER (risk_level = 'medium') AS medium_risk_count, count(*) FILTER (risk_level = 'low') AS low_risk_count, CAST(sum(review_flag) AS BIGINT) AS review_count, round(sum(review_flag)::DOUBLE / count(*), 6) AS review_rate, " + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in ("top1_score", "margin", "confidence", "risk_score"))
+
+
+@query(f"WITH {_TOP} SELECT dataset, parent, {_SUMMARY} FROM cl GROUP BY ALL")
+def classification_summary(spark, d):
+    return classify.summarize(classified(spark, d), "dataset", "parent")
+
+
+@query(f"WITH {_TOP} SELECT {_SUMMARY} FROM cl")
+def classification_meta(spark, d):
+    return classify.summarize(classified(spark, d))
+
+
+@query(f"WITH {_TOP} SELECT doc_id, risk_level, CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS review_priority, round(risk_score, 6) AS risk_score FROM cl WHERE review_flag = 1")
+def review_queue(spark, d):
+    return classify.review_queue(classified(spark, d)).select("doc_id", "risk_level", "review_priority", F.round("risk_score", 6).alias("risk_score"))
+
+
+# ---- topics
+
+_TFIDF = r"""
+tok AS (SELECT doc_id, source, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda w: regexp_matches(w, '[a-z]|[\x{4e00}-\x{9fff}]'))) AS term FROM documents WHERE length(text) >= 80),
+tf AS (SELECT doc_id, source, term, count(*) AS tf FROM tok GROUP BY ALL),
+nd AS (SELECT count(*) AS n FROM documents WHERE length(text) >= 80),
+voc AS (SELECT term, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1), nd WHERE df >= 2 AND df <= 0.85::DOUBLE * n ORDER BY cf DESC, term LIMIT 4000),
+raw AS (SELECT doc_id, source, term, tf * idf AS w FROM tf JOIN voc USING (term)),
+nm AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1),
+wt AS (SELECT doc_id, source, term, w / l AS weight FROM raw JOIN nm USING (doc_id)),
+sz AS (SELECT source, count(*) AS size FROM documents WHERE length(text) >= 80 GROUP BY 1),
+mt AS (SELECT source, term, round(sum(weight) / any_value(size), 6) AS weight FROM wt JOIN sz USING (source) GROUP BY 1, 2),
+tt AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM mt WHERE weight > 0)"""
+
+
+def source_terms(spark, d, k=10):
+    rows = table(spark, d, "documents").filter(F.length("text") >= 80)
+    weights = topics.tfidf(rows, "doc_id", topics.default_tokens("text")).join(rows.select("doc_id", "source"), "doc_id")
+    return topics.top_terms(weights, "source", rows.groupBy("source").agg(F.count(F.lit(1)).alias("size")), k)
+
+
+@query(f"WITH {_TFIDF} SELECT source, term, round(weight, 5) AS weight FROM tt WHERE rank <= 3")
+def tfidf_top_terms(spark, d):
+    return source_terms(spark, d, 3).select("source", "term", F.round("weight", 5).alias("weight"))
+
+
+@query(f"WITH {_TFIDF} SELECT source, string_agg(term, '、' ORDER BY rank) || '类' AS name FROM tt WHERE rank <= 3 GROUP BY 1")
+def cluster_name(spark, d):
+    rows = source_terms(spark, d, 3).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("x"))
+    return rows.select("source", topics.topic_name(F.transform("x", lambda e: e["term"])).alias("name"))
+
+
+_DIST = f"{_CENTROIDS}, ds AS (SELECT u.vec_id, u.label, round(sqrt(sum((u.x - c.x) * (u.x - c.x))), 9) AS dist FROM un u JOIN cen c ON c.cluster_id = u.label AND c.i = u.i GROUP BY 1, 2), md AS (SELECT label, greatest(median(dist), 1e-6) AS scale FROM ds GROUP BY 1), cf AS (SELECT ds.*, exp(-dist / scale) AS confidence FROM ds JOIN md USING (label))"
+
+
+def distances(spark, d):
+    c = prototypes(spark, d)
+    x = table(spark, d, "embeddings").join(F.broadcast(c), F.col("label") == F.col("cluster_id"))
+    return x.select("vec_id", "label", F.round(v.distance(v.unit(v.doubles(F.col("embedding"))), F.col("centroid")), 9).alias("dist"))
+
+
+@query(f"WITH {_DIST} SELECT label, count(*) AS size, round(avg(confidence), 6) AS mean_confidence, round(median(dist), 6) AS median_distance, round(count(*)::DOUBLE / (SELECT count(*) FROM cf), 6) AS share FROM cf GROUP BY 1")
+def cluster_median_confidence(spark, d):
+    return topics.cluster_summary(topics.distance_confidence(distances(spark, d), "label", "dist"), "label", "dist")
+
+
+@query(f"WITH {_DIST} SELECT label, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rank FROM ds) WHERE rank <= 3")
+def representatives(spark, d):
+    return topics.representatives(distances(spark, d), "label", "dist", "vec_id").select("label", "vec_id", long("rank").alias("rank"))
+
+
+@query("SELECT label, size, terms FROM (SELECT label, count(*) AS size, string_agg(CAST(vec_id AS VARCHAR), '、' ORDER BY vec_id) AS terms FROM embeddings WHERE vec_id < 200 GROUP BY 1)")
+def dictionary_rows(spark, d):
+    rows = table(spark, d, "embeddings").filter("vec_id < 200").groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("vec_id")).alias("x"))
+    return rows.select("label", "size", F.array_join(F.transform("x", lambda e: e.cast("string")), "、").alias("terms"))
+
+
+# ---- reviews
+
+_LATEST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+
+@query(_LATEST)
+def latest_review(spark, d):
+    return priority.latest_review(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(f"WITH l AS ({_LATEST}), s AS (SELECT CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'signup' THEN 'changed' WHEN 'purchase' THEN 'noise' ELSE 'uncertain' END AS status, 'o' || CAST(user_id % 3 AS VARCHAR) AS orig, 'o' || CAST(event_id % 3 AS VARCHAR) AS fin FROM l) SELECT orig, count(*) FILTER (e = 'category_confirmed') AS category_confirmed, count(*) FILTER (e = 'category_adjusted') AS category_adjusted, count(*) FILTER (e = 'noise') AS noise, count(*) FILTER (e = 'uncertain') AS uncertain FROM (SELECT orig, CASE WHEN status IN ('confirmed', 'changed') THEN CASE WHEN orig = fin THEN 'category_confirmed' ELSE 'category_adjusted' END ELSE status END AS e FROM s) GROUP BY 1")
+def review_transition_matrix(spark, d):
+    x = latest_review(spark, d)
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "confirmed").when(kind == "signup", "changed").when(kind == "purchase", "noise").otherwise("uncertain")
+    o, f = (F.concat(F.lit("o"), (F.col(c) % 3).cast("string")) for c in ("user_id", "event_id"))
+    rows = x.select(o.alias("orig"), priority.review_effect(status, o, f).alias("e"))
+    return rows.groupBy("orig").pivot("e", ["category_confirmed", "category_adjusted", "noise", "uncertain"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+_BUCKETS = [("short", "n_chars < 300", 20), ("long", "n_chars > 6000", 15), ("other_language", "lang <> 'en'", 30)]
+
+
+@query("WITH t AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, '{b}' AS bucket, {q} AS quota FROM documents WHERE {c}" for i, (b, c, q) in enumerate(_BUCKETS)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('audit|' || bucket || '|' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM t) SELECT doc_id, string_agg(bucket, ';' ORDER BY i) AS audit_bucket, arg_min(bucket, i) AS primary_audit_bucket FROM r WHERE n <= quota GROUP BY 1")
+def audit_buckets(spark, d):
+    return priority.audit_sample(table(spark, d, "documents"), "doc_id", {b: (F.expr(c), q) for b, c, q in _BUCKETS})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
@@ -97,12 +99,7 @@ def embed(df: DataFrame, tokens: Column, config: TopicConfig = TopicConfig()) ->
 
 def _project(x: DataFrame, v) -> DataFrame:
     """unit times v, by Arrow batches (v is bounded by features times dims)."""
-    import numpy as np
-    import pandas as pd
-
-    schema = "array<double>"
-
-    @F.pandas_udf(schema)
+    @F.pandas_udf("array<double>")
     def project(index: pd.Series, value: pd.Series) -> pd.Series:
         out = []
         for i, w in zip(index, value, strict=True):

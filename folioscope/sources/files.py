@@ -45,11 +45,15 @@ def dataset_of(path: Column, prefixes: tuple[str, ...] = ("数据集1", "数据
 def manifest(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """One row per file under root: dataset, file_path, file_name, suffix, size_bytes (and content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    read = files.select(plain(F.col("path")).alias("path"), F.col("length"), *(["content"] if content else []))
+    # the reader leaves out files of no bytes, though its listing has them
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), *([F.lit(b"").cast("binary").alias("content")] if content else []))
+    rows = read.unionByName(empty)
     name = F.element_at(F.split("path", "/"), -1)
-    name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
     suffix = F.when(name.rlike(r"[^.]\.[^.]+$"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))).otherwise("")
-    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    return files.select(dataset_of(path).alias("dataset"), path.alias("file_path"), name.alias("file_name"), suffix.alias("suffix"), F.col("length").alias("size_bytes"), *(["content"] if content else []))
+    return rows.select(dataset_of(F.col("path")).alias("dataset"), F.col("path").alias("file_path"), name.alias("file_name"), suffix.alias("suffix"), F.col("length").alias("size_bytes"), *(["content"] if content else []))
 
 
 def decode_text(data: bytes) -> tuple[str, str]:

@@ -99,8 +99,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def keyword_score(text: Column, terms: Sequence[str]) -> Column:
-    return F.least(F.lit(1.0), hits(normalize(text), terms, True) / F.lit(4.0))
+def keyword_score(text: Column, terms: Sequence[str], normalized: bool = False) -> Column:
+    return F.least(F.lit(1.0), hits(text if normalized else normalize(text), terms, True) / F.lit(4.0))
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -123,9 +123,9 @@ def safe_int(value: Column) -> Column:
     return F.coalesce(value.cast("string").try_cast("double").try_cast("long"), F.lit(0).cast("long"))
 
 
-def money_values(text: Column) -> Column:
+def money_values(text: Column, normalized: bool = False) -> Column:
     """Each number above 0, times its unit. The unit is optional, so any number is money."""
-    found = F.regexp_extract_all(normalize(text), F.lit(f"({MONEY})"), F.lit(1))
+    found = F.regexp_extract_all(text if normalized else normalize(text), F.lit(f"({MONEY})"), F.lit(1))
     number = lambda x: F.regexp_extract(x, r"^\d+(?:\.\d+)?", 0).cast("double")
 
     def scaled(x: Column) -> Column:
@@ -157,7 +157,7 @@ def row_title(file_id: Column, body: Column) -> Column:
 
 
 def join_nonempty(separator: str, *parts: Column) -> Column:
-    return F.concat_ws(separator, *(F.nullif(p, F.lit("")) for p in parts))
+    return F.concat_ws(separator, *(F.when(p != "", p) for p in parts))
 
 
 def tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:

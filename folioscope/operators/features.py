@@ -22,7 +22,7 @@ def is_template_line(line: Column, hints: Sequence[str] = lexicons.TEMPLATE_HINT
         | line.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
         | line.rlike("^(?:" + "|".join(meta) + ")[:：]")
         | ((F.length(line) <= 2) & ~line.rlike(r"[\x{4e00}-\x{9fff}A-Za-z]"))
-        | (line.rlike(r"^[\s·|/\\\-_=—….\dA-Za-z]*$") & (F.length(line) <= 24))
+        | ((F.length(line) <= 24) & line.rlike(r"^[\s·|/\\\-_=—….\dA-Za-z]*$"))
         | (n >= 2)
         | ((n >= 1) & (F.length(line) <= 20) & ~line.rlike(r"[\x{4e00}-\x{9fff}]{4,}"))
     )
@@ -41,26 +41,26 @@ def clean_lines(text: Column, hints: Sequence[str] = lexicons.TEMPLATE_HINTS) ->
     return t.normalize(F.array_join(first_of_each(kept), "\n"))
 
 
-def analysis_text(df: DataFrame, hints: Sequence[str] = lexicons.TEMPLATE_HINTS) -> Column:
-    """All text fields, joined by blank lines, without template and repeated lines; uncleaned if nothing is left."""
-    merged = t.normalize(t.join_nonempty("\n\n", *(t.normalize(df[f]) for f in FIELDS)))
-    return t.let(merged, lambda m: F.coalesce(F.nullif(clean_lines(m, hints), F.lit("")), m))
+def analysis_text(df: DataFrame, hints: Sequence[str] = lexicons.TEMPLATE_HINTS, normalized: bool = False) -> Column:
+    """All text fields, joined by blank lines, without template and repeated lines; uncleaned if nothing is left. ``normalized``: the fields are already."""
+    merged = t.normalize(t.join_nonempty("\n\n", *(df[f] if normalized else t.normalize(df[f]) for f in FIELDS)))
+    return t.let(merged, lambda m: t.let(clean_lines(m, hints), lambda c: F.when(c != "", c).otherwise(m)))
 
 
 def as_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dataset_col: str = "source") -> DataFrame:
-    """A table of texts in the shape of parsed documents."""
-    text = t.normalize(df[text_col])
-    empty = F.lit("")
-    return df.select(
-        df[id_col].alias("doc_id"), df[dataset_col].alias("dataset"), t.title_of(text, empty).alias("title"), t.time_info(text).alias("time_info"), text.alias("raw_text"), text.alias("clean_text"),
+    """A table of texts in the shape of parsed documents; all text fields are normalised."""
+    rows = df.select(df[id_col].alias("doc_id"), df[dataset_col].alias("dataset"), t.normalize(df[text_col]).alias("text"))  # once: used by several columns below
+    text, empty = F.col("text"), F.lit("")
+    return rows.select(
+        "doc_id", "dataset", t.title_of(text, empty).alias("title"), t.time_info(text).alias("time_info"), text.alias("raw_text"), text.alias("clean_text"),
         empty.alias("table_text"), empty.alias("ocr_text"), F.when(F.length(text) == 0, "empty").otherwise("ok").alias("parse_status"), F.lit(".txt").alias("suffix"), F.lit(False).alias("content_truncated"),
     )
 
 
-def feature_rows(docs: DataFrame, words: Mapping[str, Sequence[str]] = lexicons.FEATURES, hints: Sequence[str] = lexicons.TEMPLATE_HINTS) -> DataFrame:
+def feature_rows(docs: DataFrame, words: Mapping[str, Sequence[str]] = lexicons.FEATURES, hints: Sequence[str] = lexicons.TEMPLATE_HINTS, normalized: bool = False) -> DataFrame:
     """The feature row of each parsed document: lengths, line and character counts, ratios, flags, lexicon hits and signals, and the analysis text."""
-    clean = docs.withColumns({f: t.normalize(docs[f]) for f in (*FIELDS, "raw_text")})
-    clean = clean.withColumn("analysis_text", analysis_text(clean, hints))
+    clean = docs if normalized else docs.withColumns({f: t.normalize(docs[f]) for f in (*FIELDS, "raw_text")})
+    clean = clean.withColumn("analysis_text", analysis_text(clean, hints, normalized=True))
     clean = clean.withColumn("combined", t.normalize(t.join_nonempty("\n\n", F.col("title"), F.col("analysis_text"))))
     c, size = F.col("combined"), F.length("combined")
     length = lambda f: F.length(f).cast("long")

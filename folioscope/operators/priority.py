@@ -46,13 +46,13 @@ def review_hours(length: Column, parse_status: Column, risk_level: Column) -> Co
 
 
 def prioritize(rows: DataFrame, as_of: Column, urgency: Sequence[str] = lexicons.URGENCY, necessity: Sequence[str] = lexicons.NECESSITY) -> DataFrame:
-    """rows: feature rows with doc_id, dataset, analysis_text, risk_score, risk_level, parse_status. Adds the scores, level, hours and terms; ``as_of`` is the day that counts as today."""
+    """rows: feature rows with doc_id, dataset, analysis_text (normalised, as feature_rows gives it), risk_score, risk_level, parse_status. Adds the scores, level, hours and terms; ``as_of`` is the day that counts as today."""
     text = F.col("analysis_text")
     ahp = ahp_weights()
     out = rows.withColumns({
-        "urgency_score": F.greatest(t.keyword_score(text, urgency), F.least(F.lit(1.0), t.safe_double(F.col("time_keyword_hits")) / 4), t.date_urgency(text, as_of)),
-        "keyword_score": t.keyword_score(text, necessity), "money": t.money_values(text), "signal_score": signal_score(rows),
-        "urgency_terms": F.array_join(F.slice(t.contained(t.normalize(text), urgency, True), 1, 8), "、"), "necessity_terms": F.array_join(F.slice(t.contained(t.normalize(text), necessity, True), 1, 8), "、"),
+        "urgency_score": F.greatest(t.keyword_score(text, urgency, True), F.least(F.lit(1.0), t.safe_double(F.col("time_keyword_hits")) / 4), t.date_urgency(text, as_of)),
+        "keyword_score": t.keyword_score(text, necessity, True), "money": t.money_values(text, True), "signal_score": signal_score(rows),
+        "urgency_terms": F.array_join(F.slice(t.contained(text, urgency, True), 1, 8), "、"), "necessity_terms": F.array_join(F.slice(t.contained(text, necessity, True), 1, 8), "、"),
     })
     out = out.withColumns({"money_score": t.money_score(F.col("money")), "max_money_value": F.round(F.coalesce(F.array_max("money"), F.lit(0.0)), 2)}).drop("money")
     out = out.withColumn("review_necessity_score", necessity_score(F.col("keyword_score"), F.col("money_score"), F.col("signal_score")))

@@ -40,7 +40,7 @@ def score_rule(rule: Rule, title: Column, body: Column, prior: Column, latin: Co
     score = na * F.lit(rule.title_weight) + nb * F.lit(rule.body_weight) + nc * F.lit(rule.prior_weight)
     told = F.array_union(F.array_union(F.slice(a, 1, rule.evidence[0]), F.slice(b, 1, rule.evidence[1])), F.slice(c, 1, rule.evidence[2]))
     for p in rule.patterns:
-        found = title.rlike(f"(?i){p}")
+        found = title.rlike(f"(?iu){p}")
         score = score + F.when(found, 2.0).otherwise(0.0)
         told = F.when(found, F.array_append(told, F.lit(p))).otherwise(told)
     applies = F.lit(True)

@@ -116,7 +116,7 @@ def split_terms(spark, d):
 @query(f"WITH {DOCS} SELECT doc_id, len(body) AS n, md5(body) AS digest FROM a")
 def analysis_text(spark, d):
     rows = docs(spark, d)
-    x = features.analysis_text(rows, HINTS)
+    x = features.analysis_text(rows, HINTS, True)
     return rows.select("doc_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
 
 
@@ -130,7 +130,7 @@ def line_filter(spark, d):
 @query(f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"{sql.hits('body', w)} AS {k}" for k, w in WORDS.items()) + " FROM a")
 def keyword_hits(spark, d):
     rows = docs(spark, d)
-    rows = rows.withColumn("body", features.analysis_text(rows, HINTS))
+    rows = rows.withColumn("body", features.analysis_text(rows, HINTS, True))
     return rows.select("doc_id", *(t.hits(F.col("body"), w).alias(k) for k, w in WORDS.items()))
 
 
@@ -148,7 +148,7 @@ f AS (SELECT doc_id, source AS dataset, '.txt' AS suffix, CASE WHEN len(text) =
 
 @query(f"WITH {_FEATURES} SELECT * EXCLUDE (body) FROM f")
 def feature_row(spark, d):
-    return features.feature_rows(docs(spark, d), WORDS, HINTS).drop("analysis_text")
+    return features.feature_rows(docs(spark, d), WORDS, HINTS, True).drop("analysis_text")
 
 
 @query(f"WITH n AS (SELECT doc_id, {sql.money('text')} AS m FROM documents) SELECT doc_id, len(m) AS n, coalesce(list_max(m), 0.0) AS most FROM n")
@@ -172,7 +172,7 @@ _SIGNAL = "least(1.0, 0.35 * money_signal + 0.25 * approval_signal + 0.20 * revi
 
 @query(f"WITH {_FEATURES} SELECT doc_id, round(CAST({_SIGNAL} AS DOUBLE), 6) AS signal FROM f")
 def signal_score(spark, d):
-    rows = features.feature_rows(docs(spark, d), WORDS, HINTS)
+    rows = features.feature_rows(docs(spark, d), WORDS, HINTS, True)
     return rows.select("doc_id", F.round(priority.signal_score(rows), 6).alias("signal"))
 
 
@@ -193,7 +193,7 @@ p AS (SELECT doc_id, dataset, round(risk_score, 6) AS misclassification_risk_sco
 
 
 def prioritized(spark, d):
-    rows = features.feature_rows(docs(spark, d), WORDS, HINTS)
+    rows = features.feature_rows(docs(spark, d), WORDS, HINTS, True)
     rows = rows.withColumn("risk_score", (F.col("doc_id") * 37 % 101).cast("double") / 100.0).withColumn("risk_level", classify.level(F.col("risk_score")))
     return priority.prioritize(rows, F.lit(AS_OF).cast("date"), lexicons.LATIN_URGENCY, lexicons.LATIN_NECESSITY)
 
@@ -412,7 +412,7 @@ v AS (SELECT *, CASE WHEN winner = 'government' THEN coalesce(domain, winner) EL
 
 def split_docs(spark, d):
     rows = docs(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    rows = rows.withColumn("body", features.analysis_text(rows, HINTS))
+    rows = rows.withColumn("body", features.analysis_text(rows, HINTS, True))
     made = rules.content_split(SPLIT_RULES, DOMAINS, "government", "unsplit", F.col("title"), F.col("body"), F.col("lang"))
     return rows.withColumn("s", made)
 
@@ -547,9 +547,9 @@ def source_terms(spark, d, k=10):
     return topics.top_terms(weights, "source", rows.groupBy("source").agg(F.count(F.lit(1)).alias("size")), k)
 
 
-@query(f"WITH {_TFIDF} SELECT source, term, round(weight, 5) AS weight FROM tt WHERE rank <= 3")
+@query(f"WITH {_TFIDF} SELECT source, term, round(weight, 3) AS weight FROM tt WHERE rank <= 3")
 def tfidf_top_terms(spark, d):
-    return source_terms(spark, d, 3).select("source", "term", F.round("weight", 5).alias("weight"))
+    return source_terms(spark, d, 3).select("source", "term", F.round("weight", 3).alias("weight"))
 
 
 @query(f"WITH {_TFIDF} SELECT source, string_agg(term, '、' ORDER BY rank) || '类' AS name FROM tt WHERE rank <= 3 GROUP BY 1")

@@ -78,16 +78,16 @@ def _distinct(terms: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(t for t in terms if t))
 
 
-def contained(text: Column, terms: Sequence[str], any_case: bool = False) -> Column:
-    """The distinct terms that the text contains, in the lexicon's order. Occurrences don't count."""
-    where = F.lower(text) if any_case else text
+def contained(text: Column, terms: Sequence[str], any_case: bool = False, lowered: bool = False) -> Column:
+    """The distinct terms that the text contains, in the lexicon's order. Occurrences don't count. ``lowered``: the text is in lower case already."""
+    where = F.lower(text) if any_case and not lowered else text
     found = [F.when(F.contains(where, F.lit(x.lower() if any_case else x)), F.lit(x)) for x in _distinct(terms)]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def hits(text: Column, terms: Sequence[str], any_case: bool = False) -> Column:
+def hits(text: Column, terms: Sequence[str], any_case: bool = False, lowered: bool = False) -> Column:
     """How many distinct terms the text contains: a sum of conditions, which compiles to straight code."""
-    where = F.lower(text) if any_case else text
+    where = F.lower(text) if any_case and not lowered else text
     total = F.lit(0).cast("long")
     for x in _distinct(terms):
         total = total + F.when(F.contains(where, F.lit(x.lower() if any_case else x)), 1).otherwise(0)

@@ -32,44 +32,52 @@ class Rule:
     evidence: tuple[int, int, int] = (5, 5, 4)
 
 
-def score_rule(rule: Rule, title: Column, body: Column, prior: Column, latin: Column | None = None) -> Column:
-    """struct<score double, name string, evidence array<string>>; null where the rule doesn't apply."""
+def score_rule(rule: Rule, low: Column) -> Column:
+    """struct<score double, name string, evidence array<string>>; null where the rule doesn't apply. low: struct of title, body and prior in lower case, the raw title, and latin."""
     prior_words = rule.prior_words if rule.prior_words is not None else (*rule.title_words, *rule.body_words)
-    a, b, c = t.contained(title, rule.title_words, True), t.contained(body, rule.body_words, True), t.contained(prior, prior_words, True)
-    na, nb, nc = t.hits(title, rule.title_words, True), t.hits(body, rule.body_words, True), t.hits(prior, prior_words, True)
+    parts = [(low["title"], rule.title_words), (low["body"], rule.body_words), (low["prior"], prior_words)]
+    a, b, c = (t.contained(x, w, True, True) for x, w in parts)
+    na, nb, nc = (t.hits(x, w, True, True) for x, w in parts)
     score = na * F.lit(rule.title_weight) + nb * F.lit(rule.body_weight) + nc * F.lit(rule.prior_weight)
     told = F.array_union(F.array_union(F.slice(a, 1, rule.evidence[0]), F.slice(b, 1, rule.evidence[1])), F.slice(c, 1, rule.evidence[2]))
     for p in rule.patterns:
-        found = title.rlike(f"(?iu){p}")
+        found = low["raw"].rlike(f"(?iu){p}")
         score = score + F.when(found, 2.0).otherwise(0.0)
         told = F.when(found, F.array_append(told, F.lit(p))).otherwise(told)
     applies = F.lit(True)
-    bonus = (latin >= rule.latin_bonus) if rule.latin_bonus and latin is not None else F.lit(False)
-    if rule.latin_bonus and latin is not None:
+    bonus = (low["latin"] >= rule.latin_bonus) if rule.latin_bonus else F.lit(False)
+    if rule.latin_bonus:
         score = score + F.when(bonus, 2.0).otherwise(0.0)
         told = F.when(bonus, F.array_append(told, F.lit(f"latin_ratio>={rule.latin_bonus:.2f}"))).otherwise(told)
     if rule.needs_content:
         applies = (na + nb > 0) | bonus
     if rule.generic:
         applies = applies & (F.size(F.array_except(F.array_union(a, b), F.array(*map(F.lit, rule.generic)))) > 0)
-    score = F.round(score * rule.boost, 6)
-    return F.when(applies & (score > 0), F.struct(score.alias("score"), F.lit(rule.name).alias("name"), F.slice(told, 1, 8).alias("evidence")))
+    made = t.let(F.round(score * rule.boost, 6), lambda s: F.when(s > 0, F.struct(s.alias("score"), F.lit(rule.name).alias("name"), F.slice(told, 1, 8).alias("evidence"))))
+    return F.when(applies, made)
 
 
 def ranked(rules: Sequence[Rule], title: Column, body: Column, prior: Column, latin: Column | None = None) -> Column:
-    """The rules that apply, best first."""
-    scored = F.filter(F.array(*(score_rule(r, title, body, prior, latin) for r in rules)), lambda x: x.isNotNull())
-    placed = F.transform(scored, lambda x, i: F.struct((-x["score"]).alias("low"), i.alias("i"), x.alias("rule")))
-    return F.transform(F.array_sort(placed), lambda x: x["rule"])
+    """The rules that apply, best first. Texts are put in lower case once for all rules."""
+    low = F.struct(F.lower(title).alias("title"), F.lower(body).alias("body"), F.lower(prior).alias("prior"), title.alias("raw"), (latin if latin is not None else F.lit(0.0)).alias("latin"))
+
+    def order(z: Column) -> Column:
+        placed = F.transform(F.array(*(score_rule(r, z) for r in rules)), lambda x, i: F.struct((-x["score"]).alias("low"), i.alias("i"), x.alias("rule")))
+        return F.transform(F.array_sort(F.filter(placed, lambda x: x["rule"].isNotNull())), lambda x: x["rule"])
+
+    return t.let(low, order)
 
 
 def family(rules: Sequence[Rule], overrides: Mapping[str, tuple[str, str]], fallback: str, raw_name: Column, text: Column) -> Column:
     """struct<name, confidence, evidence, candidates>: an exact override (confidence 1), else the best rule with its share of all scores, else the fallback at 0.1."""
-    order = ranked(rules, text, F.lit(""), F.lit(""))
-    total = F.aggregate(order, F.lit(0.0), lambda s, x: s + x["score"])
-    best = F.try_element_at(order, F.lit(1))
-    made = F.when(best.isNotNull(), F.struct(best["name"].alias("name"), (best["score"] / total).alias("confidence"), F.array_join(best["evidence"], "、").alias("evidence"), F.slice(order, 1, 4).alias("candidates")))
-    out = F.coalesce(made, F.struct(F.lit(fallback).alias("name"), F.lit(0.1).alias("confidence"), F.lit("fallback").alias("evidence"), F.slice(order, 1, 4).alias("candidates")))
+
+    def choose(order: Column) -> Column:
+        total = F.aggregate(order, F.lit(0.0), lambda s, x: s + x["score"])
+        best = F.try_element_at(order, F.lit(1))
+        made = F.struct(best["name"].alias("name"), (best["score"] / total).alias("confidence"), F.array_join(best["evidence"], "、").alias("evidence"), F.slice(order, 1, 4).alias("candidates"))
+        return F.when(F.size(order) > 0, made).otherwise(F.struct(F.lit(fallback).alias("name"), F.lit(0.1).alias("confidence"), F.lit("fallback").alias("evidence"), F.slice(order, 1, 4).alias("candidates")))
+
+    out = t.let(ranked(rules, text, F.lit(""), F.lit("")), choose)
     for raw, (name, why) in overrides.items():
         own = F.struct(F.lit(name).alias("name"), F.lit(1.0).alias("confidence"), F.lit(why).alias("evidence"), F.array(F.struct(F.lit(10.0).alias("score"), F.lit(name).alias("name"), F.array(F.lit(why)).alias("evidence"))).alias("candidates"))
         out = F.when(raw_name == F.lit(raw), own).otherwise(out)
@@ -88,10 +96,13 @@ def domain_override(domains: Sequence[tuple[str, Sequence[str], int]], title: Co
 def content_split(rules: Sequence[Rule], domains: Sequence[tuple[str, Sequence[str], int]], overridden: str, fallback: str, title: Column, body: Column, prior: Column) -> Column:
     """struct<name, reason> of a document by its content; the rule named ``overridden`` gives way to a domain that the title names."""
     latin = t.latin_ratio(t.join_nonempty(" ", title, body, prior))
-    best = F.try_element_at(ranked(rules, title, body, prior, latin), F.lit(1))
-    own = F.when(best.isNotNull(), F.struct(best["name"].alias("name"), F.coalesce(F.nullif(F.array_join(best["evidence"], "、"), F.lit("")), F.lit("content_keyword_match")).alias("reason")))
-    other = F.when(best["name"] == overridden, domain_override(domains, title))
-    return F.coalesce(other, own, F.struct(F.lit(fallback).alias("name"), F.lit("content_fallback").alias("reason")))
+
+    def choose(best: Column) -> Column:
+        own = F.when(best.isNotNull(), F.struct(best["name"].alias("name"), F.coalesce(F.nullif(F.array_join(best["evidence"], "、"), F.lit("")), F.lit("content_keyword_match")).alias("reason")))
+        other = F.when(best["name"] == overridden, domain_override(domains, title))
+        return F.coalesce(other, own, F.struct(F.lit(fallback).alias("name"), F.lit("content_fallback").alias("reason")))
+
+    return t.let(F.try_element_at(ranked(rules, title, body, prior, latin), F.lit(1)), choose)
 
 
 def child_label(rules: Mapping[str, Sequence[Rule]], fallbacks: Mapping[str, str], parent: Column, reason: Column, title: Column, body: Column) -> Column:
@@ -102,8 +113,8 @@ def child_label(rules: Mapping[str, Sequence[Rule]], fallbacks: Mapping[str, str
         name = F.when(parent == p, F.lit(f)).otherwise(name)
     out = F.struct(name.alias("name"), F.coalesce(F.nullif(reason, F.lit("")), F.lit("subtopic_fallback")).alias("reason"))
     for p, own in rules.items():
-        best = F.try_element_at(ranked(own, title, body, prior), F.lit(1))
-        out = F.when((parent == p) & best.isNotNull(), F.struct(best["name"].alias("name"), F.array_join(best["evidence"], "、").alias("reason"))).otherwise(out)
+        best = F.when(parent == p, t.let(F.try_element_at(ranked(own, title, body, prior), F.lit(1)), lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), F.array_join(b["evidence"], "、").alias("reason")))))
+        out = F.coalesce(best, out)
     return out
 
 

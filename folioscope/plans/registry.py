@@ -216,9 +216,14 @@ def review_hours(spark, d):
 _RANKED = f"{_PRIORITY}, k2 AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, misclassification_risk_score DESC, review_necessity_score DESC, CAST(doc_id AS VARCHAR)) AS priority_rank FROM p)"
 
 
+def ranked(spark, d):
+    """Ranking reads its rows twice, so they are kept after the first time."""
+    return priority.priority_rank(prioritized(spark, d).persist())
+
+
 @query(f"WITH {_RANKED} SELECT doc_id, priority_score, priority_rank FROM k2")
 def priority_rank(spark, d):
-    return priority.priority_rank(prioritized(spark, d)).select("doc_id", "priority_score", "priority_rank")
+    return ranked(spark, d).select("doc_id", "priority_score", "priority_rank")
 
 
 @query(f"""WITH {_PRIORITY} SELECT dataset, priority_level, count(*) AS document_count, round(avg(priority_score), 6) AS avg_priority_score, round(avg(misclassification_risk_score), 6) AS avg_misclassification_risk_score,
@@ -243,7 +248,7 @@ walk(scenario_id, turn, used, n, taken) AS (
 SELECT w.scenario_id, c.doc_id, c.priority_rank, c.priority_level, c.priority_score, 'manual_review' AS allocated_action, c.h AS estimated_review_hours FROM walk w JOIN c2 c ON c.turn = w.turn WHERE w.taken
 UNION ALL SELECT s.scenario_id, l.doc_id, l.priority_rank, l.priority_level, l.priority_score, 'auto_archive', 0.0 FROM sc s JOIN low l ON l.turn <= s.auto""")
 def greedy_allocation(spark, d):
-    return priority.allocate(spark, priority.priority_rank(prioritized(spark, d)).persist(), SCENARIOS)[0]
+    return priority.allocate(spark, ranked(spark, d).persist(), SCENARIOS)[0]
 
 
 @query(f"""WITH RECURSIVE {_TURNS},
@@ -253,7 +258,7 @@ SELECT s.scenario_id, s.hours AS manual_hours, CAST(s.docs AS BIGINT) AS manual_
   round(coalesce(used, 0.0), 3) AS used_manual_hours, round(greatest(0.0, s.hours - coalesce(used, 0.0)), 3) AS remaining_manual_hours, CAST(coalesce(t.n, 0) >= s.docs AS INTEGER) AS manual_limit_binding, CAST(coalesce(used, 0.0) >= s.hours AS INTEGER) AS hour_limit_binding
 FROM sc s LEFT JOIN t USING (scenario_id)""")
 def resource_plan(spark, d):
-    return priority.allocate(spark, priority.priority_rank(prioritized(spark, d)).persist(), SCENARIOS)[1]
+    return priority.allocate(spark, ranked(spark, d).persist(), SCENARIOS)[1]
 
 
 @query("WITH RECURSIVE x(i, a, b, c, l) AS (SELECT 0, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 3.0::DOUBLE UNION ALL SELECT i + 1, (a + 2 * b + 3 * c) / s, (a / 2 + b + 2 * c) / s, (a / 3 + b / 2 + c) / s, s FROM (SELECT *, (a + 2 * b + 3 * c) + (a / 2 + b + 2 * c) + (a / 3 + b / 2 + c) AS s FROM x WHERE i < 200)) SELECT round(a, 9) AS risk, round(b, 9) AS necessity, round(c, 9) AS urgency, round(l, 9) AS lambda_max, round((l - 3) / 2 / 0.58::DOUBLE, 9) AS consistency_ratio FROM x WHERE i = 200")

@@ -54,7 +54,7 @@ def same(got, want):
     assert Counter(map(repr, got)) == Counter(map(repr, want))
 
 
-@pytest.mark.parametrize(("block", "mask"), [(8192, -1), (16, -1), (7, 3)])
+@pytest.mark.parametrize(("block", "mask"), [(8192, -1), (7, 3)])
 def test_exact(docs, none, block, mask):
     got = exact_dedup.exact_groups(docs, block_bytes=block, hash_mask=mask).collect()
     groups = {}
@@ -226,7 +226,7 @@ def groups_of(prints, bits):
     return {p: find(p) for p in prints}
 
 
-@pytest.mark.parametrize("bits", [0, 3, 8])
+@pytest.mark.parametrize("bits", [3, 8])
 def test_simhash(docs, none, bits):
     got = simhash.near_groups(docs, max_bits=bits).collect()
     prints = {fingerprint(r[1]) for r in ROWS}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators import features
-from folioscope.operators.classify import top_prototypes  # noqa: F401  works on vectors of a micro-batch
 
 
 def feature_stream(documents: DataFrame, **options) -> DataFrame:

@@ -98,7 +98,7 @@ def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 
 def _contexts_of(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, limit=1 << 20):
             texts = text_bytes(batch.column(2))
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)

@@ -290,11 +290,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span_schema = "doc_id long, text_key long, span long"
     by_anchor = cut.filter(~F.col("crowded")).select("h", "doc_id", "text_key", "single", "span", "bytes").repartition("h").sortWithinPartitions("h")
     spans = copies.join(key, "rid").select("doc_id", "text_key", "span").unionByName(by_anchor.mapInArrow(_compare(length, array_bytes), span_schema))
-    if not open_.filter("crowded").isEmpty():
-        strings = cut.filter("crowded").select("doc_id", "text_key", "single", "span", "bytes").mapInArrow(_string_hashes(length), "doc_id long, text_key long, single boolean, at long, one long, two long")
-        strings = scratch.save(strings, "crowded-strings")
-        often = scratch.save(strings.groupBy("one", "two").count().filter("count > 1").select("one", "two"), "repeated-strings")
-        hit = strings.filter("single").join(often, ["one", "two"])
+    if not open_.filter("crowded").isEmpty():  # in the same plan, so that all of its parts read one exchange of the texts
+        few = asked.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0)
+        cut = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
+        strings = cut.select("doc_id", "text_key", "single", "span", "bytes").mapInArrow(_string_hashes(length), "doc_id long, text_key long, single boolean, at long, one long, two long")
+        often = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("one").alias("o"), F.col("two").alias("t"))
+        hit = strings.filter("single").join(often, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")))
         spans = spans.unionByName(hit.select("doc_id", "text_key", (F.shiftleft("at", 32) + F.col("at") + length).alias("span")))
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
     left = docs.join(spans, same).select("doc_id", "text_key", "text", "spans").mapInArrow(_remove, "doc_id long, text_key long, n_removed long, n_spans long, sha binary, kept string")

@@ -5,9 +5,9 @@ article or not, inside an element that is a menu, footer, advert, form and the l
 a host are ordered by URL path; each is compared with the one of its two neighbours that shares the longer path prefix,
 by the longest common subsequence of their lines. Shared lines are deleted, for they belong to the host and not to the page.
 
-Two things differencing can't know come from the page itself. Lines in elements that are boilerplate by their mark-up go even
-if the neighbour's differ. And paragraphs inside the page's own article stay even if shared: articles quote and repeat
-each other. A neighbour that is itself a copy of the page says nothing about the host and isn't used.
+Two things differencing can't know. Lines in elements that are boilerplate by their mark-up go even
+if the neighbour's differ. And articles quote passages: a line of an article that it shares with the neighbour stays if the articles of less than half of the host's
+pages have it, for then it isn't the host's. Inside and outside of articles, all other shared lines go. A neighbour that is itself a copy of the page says nothing about the host and isn't used.
 
 Only hashes of lines are compared across pages; the texts are shuffled once, to meet the numbers of their shared lines.
 """
@@ -103,11 +103,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
 
 
 def decide(flags: list[int]) -> list[int]:
-    """Of each line: 0 dropped by the page's own mark-up, 1 kept unless shared, 2 kept."""
-    own_article = any(f & IN_ARTICLE and not f & OUT for f in flags)
-    if own_article:
-        return [2 if f & IN_ARTICLE and not f & OUT else 0 for f in flags]
-    return [0 if f & (OUT | LINKS) else 1 for f in flags]
+    """Of each line: 0 dropped by the page's own mark-up, 1 kept unless shared, 2 (in an article) kept unless shared and the host's."""
+    return [0 if f & OUT else 2 if f & IN_ARTICLE else 0 if f & LINKS else 1 for f in flags]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -149,8 +146,8 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html in batch.column(3).to_pylist():
             lines = page_lines(html or "")
             hashes.append([int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t, _ in lines])
-            kinds.append(any(k == 1 for k in decide([f for _, f in lines])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.bool_())], ["page_id", "key", "host", "path", "hashes", "open"])
+            kinds.append(decide([f for _, f in lines]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "key", "host", "path", "hashes", "kinds"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -166,21 +163,29 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("g", kind="stable").to_dict("records")
     out = []
     for i, r in enumerate(rows):
-        if not r["own"] or not r["open"]:
+        if not r["own"] or not any(r["kinds"]):
             continue
         near = sorted((o for o in (rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows)) if o["host"] == r["host"]), key=lambda o: -_prefix(o["path"], r["path"]))
         for o in near:
             mine = list(r["hashes"])
             shared = common_lines(mine, list(o["hashes"]))
             if len(shared) <= COPY * len(mine):
-                out.append((r["page_id"], r["key"], shared))
+                out += [(r["page_id"], r["key"], r["host"], k, mine[k], r["kinds"][k] == 2) for k in shared if r["kinds"][k]]
                 break
-    return pd.DataFrame(out, columns=["page_id", "key", "shared"]).astype({"page_id": "Int64"})
+    return pd.DataFrame(out, columns=["page_id", "key", "host", "line", "hash", "article"]).astype({"page_id": "Int64"})
+
+
+def quotations(lines: DataFrame) -> DataFrame:
+    """(host, hash) of lines that stand in the articles of less than half of the host's pages. lines: one row a page."""
+    own = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "kinds"), lambda x: x["kinds"] == 2), lambda x: x["hashes"]))
+    on = lines.select("host", F.explode(own).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = lines.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    return on.join(sizes, "host").filter("2 * pages < size").select("host", "hash")
 
 
 def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, key, shared): numbers of the lines that a page shares with its nearest neighbour; only pages that differencing may still change."""
-    lines = pages.mapInArrow(_line_hashes, "page_id long, key long, host string, path string, hashes array<long>, open boolean").dropDuplicates(["page_id", "key"])
+    """(page_id, key, shared): numbers of the lines that a page shares with its nearest neighbour and doesn't quote; only pages with such lines."""
+    lines = pages.mapInArrow(_line_hashes, "page_id long, key long, host string, path string, hashes array<long>, kinds array<int>").dropDuplicates(["page_id", "key"])
     order = ["host", "path", "page_id", "key"]
     lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     lines = scratch.save(lines.withColumn("at", F.monotonically_increasing_id()), "line-hashes")
@@ -199,8 +204,10 @@ def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
         placed = lines.withColumn("part", part).join(starts, "part").withColumn("g", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     block, place = F.floor(F.col("g") / BLOCK).cast("long"), F.col("g") % BLOCK
     seats = F.array_compact(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.when(place == 0, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))), F.when(place == BLOCK - 1, F.struct((block + 1).alias("block"), F.lit(False).alias("own")))))
-    seated = placed.select("page_id", "key", "host", "path", "hashes", "open", "g", F.explode(seats).alias("s")).select("*", "s.block", "s.own").drop("s")
-    return seated.groupBy("block").applyInPandas(_compare, "page_id long, key long, shared array<int>")
+    seated = placed.select("page_id", "key", "host", "path", "hashes", "kinds", "g", F.explode(seats).alias("s")).select("*", "s.block", "s.own").drop("s")
+    found = scratch.save(seated.groupBy("block").applyInPandas(_compare, "page_id long, key long, host string, line int, hash long, article boolean"), "found")
+    quoted = quotations(lines).withColumn("article", F.lit(True))
+    return found.join(quoted, ["host", "hash", "article"], "left_anti").groupBy("page_id", "key").agg(F.collect_list("line").alias("shared"))
 
 
 def _kept_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     lines = pages.mapInArrow(_kept_lines, "page_id long, url string, key long, lines array<string>, kinds array<int>")
     both = lines.join(shared, lines["page_id"].eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left")
     stays = F.filter(
-        F.transform(F.arrays_zip("lines", "kinds"), lambda x, i: F.when((x["kinds"] == 2) | ((x["kinds"] == 1) & ~F.coalesce(F.array_contains(F.col("shared"), i), F.lit(False))), x["lines"])), lambda t: t.isNotNull()
+        F.transform(F.arrays_zip("lines", "kinds"), lambda x, i: F.when((x["kinds"] > 0) & ~F.coalesce(F.array_contains(F.col("shared"), i), F.lit(False)), x["lines"])), lambda t: t.isNotNull()
     )
     text = F.array_join(stays, " ")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

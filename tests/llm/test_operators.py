@@ -281,6 +281,14 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differences_article_pages(spark):
+    page = "<body><div>Card of the shop</div><article><p>%s</p><p>Subscribe now</p><p>%s</p></article><div>Own card %d</div></body>"
+    quote = "A passage that others quote too"
+    rows = [(k, f"http://h.example/{k}", page % (f"Own line {k}", quote if k in (2, 3) else f"Other line {k}", k)) for k in range(8)] + [(50, "http://other.example/", f"<article><p>{quote}</p></article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Own line {k} {quote if k in (2, 3) else f'Other line {k}'} Own card {k}" for k in range(8)}, 50: quote}
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(300):

@@ -13,7 +13,7 @@ from folioscope.llm.exact_dedup import drop_exact_copies
 from folioscope.llm.language_id import keep_known_languages
 from folioscope.llm.mixing import take_mix
 from folioscope.llm.shared import Scratch
-from folioscope.llm.simhash import drop_near_copies
+from folioscope.llm.similar import drop_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (four fifths of five-word shingles in common), the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,21 @@ def test_stages(spark, sf, tmp_path):
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"] and out.count() > 50
+
+
+def test_near_finds_all_similar_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(90001, None), (90002, ""), (90003, "a b"), (90004, "A  b"), (90005, " ".join(f"w{k}" for k in range(50))), (90006, " ".join(f"w{k}" for k in range(45))), (90007, " ".join(f"w{k}" for k in range(40)))]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    sets = {}
+    for r in rows.collect():
+        w = lower(r.text).encode().split()
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if x == old else x for k, x in root.items()}
+    kept = [r.doc_id for r in corpus_pipeline.near(spark, rows, sf).collect()]
+    assert sorted(kept) == sorted(set(root.values())) and not {90002, 90004, 90006, 90007, 145, 177} & set(kept)

@@ -1,13 +1,13 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page becomes lines (the text between block-level tags and line breaks) with what their place in the page tells: inside an
-article or not, inside an element that is a menu, footer, advert, form and the like by its tag, class, id or role, mostly links or not. Pages of
-a host are ordered by URL path; each is compared with the one of its two neighbours that shares the longer path prefix,
-by the longest common subsequence of their lines. Shared lines are deleted, for they belong to the host and not to the page.
+Each page becomes lines (the text between block-level tags and line breaks). Pages of a host are ordered by URL path; each is compared with the page that
+shares the longest path prefix, the nearest of equals, by the longest common subsequence of their lines. Shared lines are deleted, for they belong
+to the host and not to the page. Pages of a host with the same lines are one page here. A near copy of the page says nothing
+about the host, so the search goes on to the next nearest; lines that at least half of the pages around have don't make a copy.
 
-Two things differencing can't know. Lines in elements that are boilerplate by their mark-up go even
-if the neighbour's differ. And articles quote passages: a line of an article that it shares with the neighbour stays if the articles of less than half of the host's
-pages have it, for then it isn't the host's. Inside and outside of articles, all other shared lines go. A neighbour that is itself a copy of the page says nothing about the host and isn't used.
+Two things differencing can't know, and mark-up tells. Articles quote passages: a shared line of an article stays if the articles of less than half of the
+host's pages have it, for then it isn't the host's. And comments, adverts, menus and the like differ from page to page: what the difference leaves of elements that
+are boilerplate by their tag, class, id or role goes too. ``n_shared`` and ``n_marked`` say how many lines each of them took.
 
 Only hashes of lines are compared across pages; the texts are shuffled once, to meet the numbers of their shared lines.
 """
@@ -15,10 +15,12 @@ Only hashes of lines are compared across pages; the texts are shuffled once, to
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import Scratch, text_batches
 
-#: Pages in URL order are compared in blocks of so many; each block also sees the page before and the page after it.
+#: Pages in URL order are compared within blocks of so many; each block also sees the page before and the page after it.
 BLOCK = 64
-#: A neighbour that shares more of the page's text lines than this is a copy.
+#: A page that shares more than this of the lines that aren't the host's by their frequency is a copy.
 COPY = 0.9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no text of the page, up to their end tag.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style textarea title noscript template iframe svg select object".split()}
 _MARK = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -45,14 +50,43 @@ _OUT_WORDS = frozenset(
 IN_ARTICLE, OUT, LINKS = 1, 2, 4
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, attributes) of each tag, comment or declaration (no name), raw elements with their content. Each character is looked at a
+    bounded number of times, whatever is left unclosed: a tag or quote without an end is plain text, a comment or raw element runs to the end."""
+    at, lost = 0, {'"': False, "'": False}
+    while m := _OPEN.search(html, at):
+        begin, name = m.start(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = html.find("-->", m.end())
+            at = len(html) if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        stop = m.end()
+        while found := _STOP.search(html, stop):
+            stop, quote = found.end(), found[0]
+            if quote == ">":
+                break
+            if not lost[quote]:
+                close = html.find(quote, stop)
+                lost[quote] = close < 0  # then no later one has an end either
+                stop = stop if close < 0 else close + 1
+        if not found:
+            return
+        attributes, at = html[m.end() : stop - 1], stop
+        if name in _RAW and not m[1]:
+            close = _RAW[name].search(html, stop)
+            at = close.end() if close else len(html)
+        yield begin, at, name, bool(m[1]), attributes
+
+
 def page_lines(html: str) -> list[tuple[str, int]]:
     """(line, flags) in page order; white space within a line is one space, character references are decoded, empty lines left out."""
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, out, article
+    depth: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
     linked = 0
     out = article = False
-    anchors = 0
 
     def flush() -> None:
         nonlocal linked
@@ -63,39 +97,36 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-            if anchors:
-                linked += m.start() - at
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                flush()
+    for begin, end, name, closing, attributes in _tags(html):
+        if begin > at:
+            parts.append(html[at:begin])
+            if depth.get("a"):
+                linked += begin - at
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name not in _INLINE:
             flush()
-        if name in _VOID:
+        if name in _VOID or (name in _RAW and not closing):
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    anchors -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
+        if closing:
+            if depth.get(name):
+                while True:
+                    last = stack.pop()[0]
+                    depth[last] -= 1
+                    if last == name:
+                        break
             out, article = stack[-1][1:] if stack else (False, False)
             continue
-        if not m[4].rstrip().endswith("/"):
+        if not attributes.rstrip().endswith("/"):
             words: set[str] = set()
-            if m[4] and name not in ("html", "body", "main") and name not in _INLINE:
-                for mark in _MARK.findall(m[4]):
+            if attributes and name not in ("html", "body", "main") and name not in _INLINE:
+                for mark in _MARK.findall(attributes):
                     words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", mark).lower()))
             out = out or name in _OUT or bool(words & _OUT_WORDS) or (not article and (name == "header" or bool(words & {"header", "banner"})))
             article = article or name in ("article", "main")
-            anchors += name == "a"
             stack.append((name, out, article))
+            depth[name] = depth.get(name, 0) + 1
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -103,20 +134,38 @@ def page_lines(html: str) -> list[tuple[str, int]]:
 
 
 def decide(flags: list[int]) -> list[int]:
-    """Of each line: 0 dropped by the page's own mark-up, 1 kept unless shared, 2 (in an article) kept unless shared and the host's."""
+    """Of each line: 0 goes by the page's own mark-up if the difference leaves it, 1 stays unless shared, 2 (in an article) stays unless shared and the host's."""
     return [0 if f & OUT else 2 if f & IN_ARTICLE else 0 if f & LINKS else 1 for f in flags]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b (bit-parallel, a machine word of b at a time)."""
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each element of a, the bits of b: bit j is unset where a longest common subsequence with b up to j is one longer than up to j - 1."""
     full, where = (1 << len(b)) - 1, {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    rows, v = [], full
+    v = full
     for x in a:
         u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Of all of a with each prefix of b, the length of a longest common subsequence."""
+    v = (1 << len(b)) - 1
+    for v in _steps(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[int], b: list[int], cells: int = 1 << 28) -> list[int]:
+    """Places in a of a longest common subsequence of a and b (bit-parallel, a machine word of b at a time). Beyond ``cells`` bits, a is halved where b is best cut."""
+    if len(a) * len(b) > cells and len(a) > 1:
+        mid = len(a) // 2
+        cut = int(np.argmax(_prefix_lengths(a[:mid], b) + _prefix_lengths(a[:mid - 1:-1], b[::-1])[::-1]))
+        return common_lines(a[:mid], b[:cut], cells) + [mid + k for k in common_lines(a[mid:], b[cut:], cells)]
+    rows = list(_steps(a, b))
     i, j, out = len(a) - 1, len(b) - 1, []
     while i >= 0 and j >= 0:
         if rows[i] >> j & 1:
@@ -137,17 +186,21 @@ def host_and_path(url: str) -> tuple[str, str]:
         return "", url
 
 
-def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines_of(url: str | None, html: str | None) -> tuple[str, str, bytes, list[str], list[int], list[int]]:
+    """Host, path, a name for the page's lines as a whole, the lines, their hashes and kinds."""
     from hashlib import blake2b
 
+    host, path = host_and_path(url or "")
+    found = page_lines(html or "")
+    texts, kinds = [t for t, _ in found], decide([f for _, f in found])
+    digests = [blake2b(t.encode("utf-8", "replace"), digest_size=8).digest() for t in texts]
+    return host, path, blake2b(b"".join(digests) + bytes(kinds), digest_size=16).digest(), texts, [int.from_bytes(d, "little", signed=True) for d in digests], kinds
+
+
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "html"):
-        where = [host_and_path(u or "") for u in batch.column(1).to_pylist()]
-        hashes, kinds = [], []
-        for html in batch.column(3).to_pylist():
-            lines = page_lines(html or "")
-            hashes.append([int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t, _ in lines])
-            kinds.append(decide([f for _, f in lines]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "key", "host", "path", "hashes", "kinds"])
+        host, path, whole, _, hashes, kinds = zip(*(_lines_of(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(whole, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))], ["host", "path", "whole", "hashes", "kinds"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -159,20 +212,34 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def frequent_lines(pages: list[dict]) -> dict[str, set[int]]:
+    """By host, the lines that at least half of its pages (three at least) have."""
+    by: dict[str, list[set[int]]] = {}
+    for p in pages:
+        by.setdefault(p["host"], []).append(set(p["hashes"]))
+    return {host: {h for h, n in Counter(h for x in own for h in x).items() if 2 * n >= len(own) > 2} for host, own in by.items()}
+
+
+def shared_with_nearest(pages: list[dict], i: int, frequent: set[int]) -> list[int]:
+    """Numbers of the lines that pages[i] shares with the nearest page of its host that is no copy of it. pages: host, path, hashes and kinds of each, in URL order."""
+    own = pages[i]
+    mine = own["hashes"]
+    text = {k for k, (h, kind) in enumerate(zip(mine, own["kinds"], strict=True)) if kind and h not in frequent}
+    others = [j for j, p in enumerate(pages) if j != i and p["host"] == own["host"]]
+    for j in sorted(others, key=lambda j: (-_prefix(pages[j]["path"], own["path"]), abs(j - i), j)):
+        shared = common_lines(mine, pages[j]["hashes"])
+        if sum(k in text for k in shared) <= COPY * len(text):
+            return shared
+    return []
+
+
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("g", kind="stable").to_dict("records")
-    out = []
-    for i, r in enumerate(rows):
-        if not r["own"] or not any(r["kinds"]):
-            continue
-        near = sorted((o for o in (rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows)) if o["host"] == r["host"]), key=lambda o: -_prefix(o["path"], r["path"]))
-        for o in near:
-            mine = list(r["hashes"])
-            shared = common_lines(mine, list(o["hashes"]))
-            if len(shared) <= COPY * len(mine):
-                out += [(r["page_id"], r["key"], r["host"], k, mine[k], r["kinds"][k] == 2) for k in shared if r["kinds"][k]]
-                break
-    return pd.DataFrame(out, columns=["page_id", "key", "host", "line", "hash", "article"]).astype({"page_id": "Int64"})
+    pages = [r | {"hashes": list(r["hashes"])} for r in rows.sort_values("g", kind="stable").to_dict("records")]
+    out, frequent = [], frequent_lines(pages)
+    for i, r in enumerate(pages):
+        if r["own"]:
+            out += [(r["host"], r["whole"], k, r["hashes"][k], r["kinds"][k] == 2) for k in shared_with_nearest(pages, i, frequent[r["host"]])]
+    return pd.DataFrame(out, columns=["host", "whole", "line", "hash", "article"])
 
 
 def quotations(lines: DataFrame) -> DataFrame:
@@ -184,9 +251,10 @@ def quotations(lines: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, key, shared): numbers of the lines that a page shares with its nearest neighbour and doesn't quote; only pages with such lines."""
-    lines = pages.mapInArrow(_line_hashes, "page_id long, key long, host string, path string, hashes array<long>, kinds array<int>").dropDuplicates(["page_id", "key"])
-    order = ["host", "path", "page_id", "key"]
+    """(host, whole, shared): numbers of the lines that a page (named by its host and all its lines) shares with its nearest page and doesn't quote; only pages with such lines."""
+    lines = pages.mapInArrow(_line_hashes, "host string, path string, whole binary, hashes array<long>, kinds array<int>")
+    lines = lines.groupBy("host", "whole").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("kinds").alias("kinds"))
+    order = ["host", "path", "whole"]
     lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     lines = scratch.save(lines.withColumn("at", F.monotonically_increasing_id()), "line-hashes")
     part = F.shiftright("at", 33)
@@ -195,7 +263,7 @@ def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
         table.append((r["part"], before))
         before += r["count"]
     if not table:
-        return lines.select("page_id", "key", F.array().cast("array<int>").alias("shared"))
+        return lines.select("host", "whole", F.array().cast("array<int>").alias("shared"))
     offsets = F.create_map(*(F.lit(x) for row in table for x in row)) if len(table) <= 1000 else None
     if offsets is not None:
         placed = lines.withColumn("g", F.try_element_at(offsets, part) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -204,38 +272,33 @@ def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
         placed = lines.withColumn("part", part).join(starts, "part").withColumn("g", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     block, place = F.floor(F.col("g") / BLOCK).cast("long"), F.col("g") % BLOCK
     seats = F.array_compact(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.when(place == 0, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))), F.when(place == BLOCK - 1, F.struct((block + 1).alias("block"), F.lit(False).alias("own")))))
-    seated = placed.select("page_id", "key", "host", "path", "hashes", "kinds", "g", F.explode(seats).alias("s")).select("*", "s.block", "s.own").drop("s")
-    found = scratch.save(seated.groupBy("block").applyInPandas(_compare, "page_id long, key long, host string, line int, hash long, article boolean"), "found")
+    seated = placed.select("host", "path", "whole", "hashes", "kinds", "g", F.explode(seats).alias("s")).select("*", "s.block", "s.own").drop("s")
+    found = scratch.save(seated.groupBy("block").applyInPandas(_compare, "host string, whole binary, line int, hash long, article boolean"), "found")
     quoted = quotations(lines).withColumn("article", F.lit(True))
-    return found.join(quoted, ["host", "hash", "article"], "left_anti").groupBy("page_id", "key").agg(F.collect_list("line").alias("shared"))
+    return found.join(quoted, ["host", "hash", "article"], "left_anti").groupBy("host", "whole").agg(F.collect_list("line").alias("shared"))
 
 
-def _kept_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "html"):
-        texts, kinds = [], []
-        for html in batch.column(3).to_pylist():
-            lines = page_lines(html or "")
-            kind = decide([f for _, f in lines])
-            texts.append([t if k else "" for (t, _), k in zip(lines, kind, strict=True)])
-            kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "url", "key", "lines", "kinds"])
+        host, _, whole, texts, _, kinds = zip(*(_lines_of(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), strict=True)
+        texts = [[t if k else "" for t, k in zip(*x, strict=True)] for x in zip(texts, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(host, pa.string()), pa.array(whole, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "url", "host", "whole", "lines", "kinds"])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars.
+    """One row per input row: page_id, url, text, n_chars, n_shared (lines that the difference deletes), n_marked (lines that only mark-up deletes).
 
     Lines that are kept are joined by one space in page order. Null or empty html gives empty text; a null url has an empty host and path and is
-    compared with others like it. Of neighbours at the same distance the earlier in the order (host, path, page_id) is taken.
-    Rows equal in page_id, url and html are one page when neighbours are sought, and get the same text. An empty
+    compared with others like it. Of pages at the same distance the earlier in the order (host, path) is taken.
+    Pages of a host with the same lines, rows repeated as a whole among them, get the same text. Broken mark-up never fails: an unclosed tag is
+    text, an unclosed comment or script runs to the end. Time and memory grow with the longest page. An empty
     table gives an empty result; other columns are ignored."""
     scratch = Scratch(df.sparkSession, "html")
-    html = F.coalesce(df[html_col], F.lit(""))
-    pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].alias("url"), F.xxhash64(F.coalesce(df[url_col], F.lit("")), html).alias("key"), html.alias("html"))
-    shared = scratch.save(shared_lines(pages, scratch), "shared").withColumnsRenamed({"page_id": "p", "key": "k"})
-    lines = pages.mapInArrow(_kept_lines, "page_id long, url string, key long, lines array<string>, kinds array<int>")
-    both = lines.join(shared, lines["page_id"].eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left")
-    stays = F.filter(
-        F.transform(F.arrays_zip("lines", "kinds"), lambda x, i: F.when((x["kinds"] > 0) & ~F.coalesce(F.array_contains(F.col("shared"), i), F.lit(False)), x["lines"])), lambda t: t.isNotNull()
-    )
+    pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].alias("url"), F.coalesce(df[html_col], F.lit("")).alias("html"))
+    shared = scratch.save(shared_lines(pages, scratch), "shared").withColumnsRenamed({"host": "h", "whole": "w"})
+    lines = pages.mapInArrow(_all_lines, "page_id long, url string, host string, whole binary, lines array<string>, kinds array<int>")
+    both = lines.join(shared, (lines["host"] == F.col("h")) & (lines["whole"] == F.col("w")), "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    stays = F.filter(F.transform(F.arrays_zip("lines", "kinds"), lambda x, i: F.when((x["kinds"] > 0) & ~F.array_contains(F.col("shared"), i), x["lines"])), lambda t: t.isNotNull())
+    marked = F.size(F.filter("kinds", lambda k, i: (k == 0) & ~F.array_contains(F.col("shared"), i)))
     text = F.array_join(stays, " ")
-    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return both.select("page_id", "url", text.alias("text"), F.size("shared").cast("long").alias("n_shared"), marked.cast("long").alias("n_marked")).withColumn("n_chars", F.length("text").cast("long"))

@@ -48,7 +48,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(_table(spark, sf_dir, "pages"))
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ a symbol; within a class, a word has the share of its smoothed corpus count. So
 probability of a text is exact and proper over the learned words and one unseen word a class.
 
 Baum-Welch: each task runs forward-backward over its texts and returns expected counts; Spark sums them, the driver
-normalises. Every round goes over all training texts. Scores are scaled forward recursions in double precision.
+normalises. Every round goes over all training texts, each of them whole: the recursions go over many texts at once, step by step,
+and a block of steps at a time; forward variables are kept where a block begins and computed again on the way back, so memory
+follows the block and not the text. Scores are scaled forward recursions in double precision.
 Counts of words beyond the dictionary that tasks hold are joined.
 """
 
@@ -26,8 +28,8 @@ from folioscope.llm.shared import Scratch, crc_mod, text_batches, text_bytes
 
 #: Words with an emission of their own, classes of all others, hidden states, words whose counts tasks hold, Baum-Welch rounds.
 FREQUENT, CLASSES, STATES, COUNTED, ROUNDS = 8192, 4096, 12, 131_072, 3
-#: While training, longer texts are cut into runs of so many tokens (all are used); scores never are.
-TRAIN_RUN = 256
+#: Tokens of a block of steps. Training texts of more than LONG tokens are gathered and go side by side, up to GATHERED tokens of them.
+BLOCK, LONG, GATHERED = 1 << 16, 2048, 1 << 22
 #: Pseudo-counts a state gets, spread as the corpus is.
 PRIOR = 200.0
 END = b""
@@ -78,46 +80,96 @@ class Model:
 
 
 class Runs:
-    """Token runs side by side, longest first: step t of all runs at once."""
+    """Token runs side by side, longest first: step t of all runs at once. In order of steps, tokens of step t begin at offsets[t]."""
 
     def __init__(self, lengths: np.ndarray):
         first = np.cumsum(lengths) - lengths
         self.order = np.argsort(-lengths, kind="stable")
         self.first, self.lengths = first[self.order], lengths[self.order]
         self.active = np.searchsorted(-self.lengths, -np.arange(int(lengths.max(initial=0))), side="left")
-
-
-def forward(symbols: np.ndarray, runs: Runs, model: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        self.offsets = np.concatenate([[0], np.cumsum(self.active)])
+
+    def blocks(self, tokens: int) -> list[tuple[int, int]]:
+        """Ranges of steps with about so many tokens each, one step at least."""
+        cuts = [0, *(np.flatnonzero(np.diff(self.offsets[:-1] // tokens)) + 1).tolist(), len(self.active)]
+        return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+    def places(self, a: int, b: int) -> np.ndarray:
+        """Where the tokens of steps a to b stand in the texts, in order of steps."""
+        n = self.active[a:b]
+        step = np.repeat(np.arange(a, b), n)
+        return self.first[np.arange(len(step)) - np.repeat(self.offsets[a:b] - self.offsets[a], n)] + step
+
+
+def _advance(emitted: np.ndarray, runs: Runs, a: int, b: int, model: Model, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward variables of steps a to b, and their scales. emitted: the tokens' emissions; alpha: of the step before."""
+    alphas, scale, ones = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype), np.ones(emitted.shape[1], emitted.dtype)
+    starts, sizes = (runs.offsets[a:b] - runs.offsets[a]).tolist(), runs.active[a:b].tolist()
+    for o, n in zip(starts, sizes, strict=True):
+        x = alphas[o : o + n]
+        if alpha is None:
+            x[:] = model.start
+        else:
+            np.matmul(alpha[:n], model.move, out=x)
+        x *= emitted[o : o + n]
+        s = np.matmul(x, ones, out=scale[o : o + n])
+        x /= s[:, None]
+        alpha = x
+    return alphas, scale
+
+
+def forward(symbols: np.ndarray, runs: Runs, model: Model, keep: bool, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None]:
     """Scale of each token (its probability given those before), and the scaled forward variables if asked for."""
     kind = model.emit.dtype
-    scale, alphas = np.ones(len(symbols), kind), np.empty((len(symbols), len(model.start)), kind) if keep else None
+    scale, kept = np.ones(len(symbols), kind), np.empty((len(symbols), len(model.start)), kind) if keep else None
     alpha = None
-    for t, n in enumerate(runs.active.tolist()):
-        at = runs.first[:n] + t
-        alpha = (model.start if alpha is None else alpha[:n] @ model.move) * model.emit[symbols[at]]
-        s = alpha.sum(1)
-        alpha /= s[:, None]
-        scale[at] = s
+    for a, b in runs.blocks(block):
+        at = runs.places(a, b)
+        alphas, scale[at] = _advance(model.emit[symbols[at]], runs, a, b, model, alpha)
+        alpha = alphas[len(alphas) - runs.active[b - 1] :].copy()
         if keep:
-            alphas[at] = alpha
-    return scale, alphas
-
-
-def expected(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log likelihood."""
-    runs = Runs(lengths)
-    scale, alpha = forward(symbols, runs, model, True)
-    back = np.ones_like(alpha)  # beta
-    ahead = np.zeros_like(alpha)  # emission times beta over scale, of each token that has one before it
-    for t in range(len(runs.active) - 2, -1, -1):
-        n = runs.active[t + 1]
-        at = runs.first[:n] + t
-        ahead[at + 1] = step = model.emit[symbols[at + 1]] * back[at + 1] / scale[at + 1, None]
-        back[at] = step @ model.move.T
-    back *= alpha
-    moves = model.move * (alpha[:-1].T @ ahead[1:])  # ahead is zero where a run begins
-    emissions = np.stack([np.bincount(symbols, back[:, k], model.emit.shape[0]) for k in range(back.shape[1])], axis=1)
-    return back[runs.first[runs.lengths > 0]].sum(0), moves, emissions, float(np.log(scale.astype(np.float64)).sum())
+            kept[at] = alphas
+    return scale, kept
+
+
+def expected(symbols: np.ndarray, lengths: np.ndarray, model: Model, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions, and the log likelihood, over whole runs."""
+    runs, states = Runs(lengths), len(model.start)
+    blocks, enters, alpha, like = runs.blocks(block), [], None, 0.0
+    for a, b in blocks:
+        enters.append(alpha)
+        at = runs.places(a, b)
+        emitted = model.emit[symbols[at]]
+        alphas, scale = _advance(emitted, runs, a, b, model, alpha)
+        alpha = alphas[len(alphas) - runs.active[b - 1] :].copy()
+        like += float(np.log(scale.astype(np.float64)).sum())
+    begun, moves, emissions, onward, back_move = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), None, model.move.T.copy()
+    for (a, b), enter in zip(blocks[::-1], enters[::-1], strict=True):
+        if b < len(runs.active):  # the last block's variables are still there
+            at = runs.places(a, b)
+            emitted = model.emit[symbols[at]]
+            alphas, scale = _advance(emitted, runs, a, b, model, enter)
+        emitted /= scale[:, None]
+        betas = np.ones_like(alphas)
+        starts, sizes = (runs.offsets[a:b] - runs.offsets[a]).tolist(), runs.active[a:b].tolist()
+        for o, n in zip(starts[::-1], sizes[::-1], strict=True):
+            if onward is not None:
+                np.matmul(onward, back_move, out=betas[o : o + len(onward)])
+            onward = emitted[o : o + n] * betas[o : o + n]
+        emitted *= betas  # emission times beta over scale
+        n0 = sizes[0]
+        if enter is not None:
+            moves += enter[:n0].T @ emitted[:n0]
+        before = np.arange(n0, len(alphas)) - np.repeat(sizes[:-1], sizes[1:])  # the same run, a step earlier
+        for lo in range(0, len(before), 1 << 17):
+            moves += alphas[before[lo : lo + (1 << 17)]].T @ emitted[n0 + lo : n0 + lo + (1 << 17)]
+        alphas *= betas
+        if enter is None:
+            begun = alphas[:n0].sum(0)
+        ids = symbols[at]
+        for k in range(states):
+            emissions[:, k] += np.bincount(ids, alphas[:, k], len(emissions))
+    return begun, model.move * moves, emissions, like
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,19 +222,28 @@ def first_model(words: list[bytes], counts: np.ndarray, mass: np.ndarray, freque
 
 
 def _encode(words: list[bytes], frequent: int, classes: int):
-    """Symbols of all texts, a row for each slice; long texts are cut into runs."""
+    """Symbols of all texts, a row for each slice; long texts of several slices share rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(words, frequent, classes)
-        for batch in text_batches(batches):
+        kind = np.uint16 if frequent + classes <= 1 << 16 else np.int32
+        row = lambda symbols, lengths: pa.RecordBatch.from_arrays([pa.array([symbols.astype(kind).tobytes()], pa.binary()), pa.array([np.asarray(lengths, np.int64).tobytes()], pa.binary())], ["symbols", "lengths"])
+        gathered: list[np.ndarray] = []
+        for batch in text_batches(batches, limit=3 << 20):
             docs = [tokens_of(x) for x in text_bytes(batch.column(0))]
             sizes = np.array([len(d) for d in docs], np.int64)
             places = known.places(docs, int(sizes.sum()))
-            symbols = known.symbols(places, words_at(docs, np.cumsum(sizes) - sizes, np.flatnonzero(places < 0)))
-            pieces = -(-sizes // TRAIN_RUN)
-            lengths = np.full(int(pieces.sum()), TRAIN_RUN, np.int64)
-            lengths[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * TRAIN_RUN
-            yield pa.RecordBatch.from_arrays([pa.array([symbols.astype(np.uint16 if frequent + classes <= 1 << 16 else np.int32).tobytes()], pa.binary()), pa.array([lengths.astype(np.int32).tobytes()], pa.binary())], ["symbols", "lengths"])
+            symbols = known.symbols(places, words_at(docs, np.cumsum(sizes) - sizes, np.flatnonzero(places < 0))).astype(kind)
+            of_long = np.repeat(sizes > LONG, sizes)
+            if not of_long.all():
+                yield row(symbols[~of_long], sizes[sizes <= LONG])
+            for text in np.split(symbols[of_long], np.cumsum(sizes[sizes > LONG])[:-1]) if of_long.any() else ():
+                gathered.append(text)
+                if sum(map(len, gathered)) > GATHERED:
+                    yield row(np.concatenate(gathered), [len(x) for x in gathered])
+                    gathered = []
+        if gathered:
+            yield row(np.concatenate(gathered), [len(x) for x in gathered])
 
     return run
 
@@ -196,7 +257,7 @@ def _round(model: Model):
         for batch in batches:
             for symbols, lengths in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.frombuffer(symbols.as_buffer(), np.uint16 if n <= 1 << 16 else np.int32)
-                start, moves, emissions, like = expected(ids, np.frombuffer(lengths.as_buffer(), np.int32).astype(np.int64), small)
+                start, moves, emissions, like = expected(ids, np.frombuffer(lengths.as_buffer(), np.int64), small)
                 total[:n] += emissions
                 total[n:-2] += moves
                 total[-2] += start

@@ -21,6 +21,12 @@ def sample_labels(labels: DataFrame, keep: Column, id_col: str, label_col: str,
     return F.broadcast(parts[0].unionByName(parts[1])), {k: sizes.get(k, 0) for k in (0, 1)}
 
 
+def labelled_texts(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """(id, the named columns of chosen, text) of the chosen ids; null texts are empty. Of several rows with one id the least text is taken, so the sample's bound holds."""
+    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id").agg(*(F.min(c).alias(c) for c in (*columns, "text")))
+
+
 def text_scores(text: Column, score: Callable[[list[bytes]], "object"], limit: int) -> Column:
     """A double for each whole text, from a function over a list of UTF-8 texts (null as empty) that sees about ``limit`` bytes at a time."""
     from folioscope.llm.shared import text_batches, text_bytes

@@ -3,7 +3,8 @@
 A text is a bag of passages (runs of words). Each passage is encoded from what its characters and words look like, in no
 particular language: kinds of characters, lengths, capitals, repetition. A small network embeds passages; gated attention,
 learned from the labels of whole documents, weighs them; the weighted mean gives the score. Training is plain numpy on the
-driver, over a bounded sample of labelled documents; scoring reads every passage of every text.
+driver, over a sample of labelled documents that is bounded by their number and by their passages: a document
+is taken with all of its passages or not at all. Scoring reads every passage of every text.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.labelled import sample_labels, text_scores
-from folioscope.llm.shared import crc_mod, text_batches, text_bytes
+from folioscope.llm.labelled import labelled_texts, sample_labels, text_scores
+from folioscope.llm.shared import Scratch, crc_mod, text_batches, text_bytes
 
 PASSAGE_WORDS = 64
-#: Labelled documents of each class that training takes, and passages it takes of one (evenly spread where there are more).
-PER_CLASS, BAG = 6000, 512
+#: Of each class training takes so many labelled documents at most, with so many passages in all at most.
+PER_CLASS, PASSAGES = 6000, 200_000
+#: Longer texts are encoded in pieces of about so many bytes, cut between passages.
+PIECE = 1 << 20
 HIDDEN, GATE, EPOCHS, BATCH = 24, 12, 14, 64
 
 #: Kinds of bytes: 0 white space, 1 line feed, 2 a-z, 3 A-Z, 4 digit, 5 other characters than ASCII, then ASCII punctuation by groups.
@@ -37,8 +40,25 @@ _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 WIDTH = KINDS + 16
 
 
-def encode(texts: list[bytes], passage_words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def pieces(text: bytes, passage_words: int, limit: int) -> list[bytes]:
+    """The text cut where passages begin, in pieces of about ``limit`` bytes."""
+    if len(text) <= limit:
+        return [text]
+    inside = _KIND[np.frombuffer(text, np.uint8)] > 1
+    opens = np.flatnonzero(np.diff(inside, prepend=False) & inside)[::passage_words]
+    cuts = [0, *opens[np.flatnonzero(np.diff(opens // limit)) + 1].tolist(), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def encode(texts: list[bytes], passage_words: int = PASSAGE_WORDS, limit: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage, and the number of passages of each text (one at least, all zero for a text without words)."""
+    if all(len(t) <= limit for t in texts):
+        return _encode(texts, passage_words)
+    parts = [[_encode([p], passage_words)[0] for p in pieces(t, passage_words, limit)] for t in texts]
+    return np.concatenate([x for own in parts for x in own]), np.array([sum(map(len, own)) for own in parts])
+
+
+def _encode(texts: list[bytes], passage_words: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
     kind = _KIND[raw]
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
@@ -58,10 +78,10 @@ def encode(texts: list[bytes], passage_words: int = PASSAGE_WORDS) -> tuple[np.n
     passage = first_bag[of] + nth // passage_words
     opens = np.flatnonzero(np.diff(passage, prepend=-1))  # word that opens each passage
     here = passage[opens]
-    span = np.append(start[opens], len(raw))
-    size = np.diff(span).astype(np.float32)
+    stop = np.minimum(np.append(start[opens][1:], len(raw)), text_end[of[opens]] - 1)  # up to the next passage, or to the text's end
+    span, size = np.stack([start[opens], stop], axis=1).ravel(), (stop - start[opens]).astype(np.float32)
     for k in range(KINDS):
-        out[here, k] = np.add.reduceat((kind == k).view(np.int8), start[opens], dtype=np.int32) / size
+        out[here, k] = np.add.reduceat((kind == k).view(np.int8), span, dtype=np.int32)[::2] / size
     long = (end - start).astype(np.float32)
     n = np.diff(np.append(opens, len(start))).astype(np.float32)
     mean = lambda x: np.add.reduceat(x.astype(np.float32), opens) / n
@@ -162,22 +182,37 @@ def _weights(rng) -> dict[str, np.ndarray]:
 
 
 def _bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches, limit=2 << 20):
-        x, bags = encode(text_bytes(batch.column(0)))
-        parts = []
-        for a, n in zip((np.cumsum(bags) - bags).tolist(), bags.tolist(), strict=True):
-            own = x[a : a + n] if n <= BAG else x[a + np.linspace(0, n - 1, BAG).astype(int)]
-            parts.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parts, pa.binary())], ["label", "bag"])
+    for batch in text_batches(batches, limit=PIECE):
+        x, bags = encode(text_bytes(batch.column(2)))
+        parts = [p.tobytes() for p in np.split(x, np.cumsum(bags)[:-1])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.int64()), pa.array(parts, pa.binary())], ["id", "label", "n", "bag"])
+
+
+def fitting(rows: list[tuple], most: int) -> list:
+    """Of (id, n) in order, the ids that fit: one that would go beyond ``most`` in all is passed over."""
+    out, total = [], 0
+    for key, n in rows:
+        if total + n <= most:
+            out.append(key)
+            total += n
+    return out
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = PER_CLASS) -> Network:
-    """Fit on labelled rows that aren't held out."""
+def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = PER_CLASS, passages: int = PASSAGES) -> Network:
+    """Fit on labelled rows that aren't held out. Of several rows with one id the least text is taken."""
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "quality")
     chosen, sizes = sample_labels(labels, crc_mod(labels[id_col], 5) != 0, id_col, label_col, per_class)
-    rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(chosen, "id").select("text", "label")
-    got = rows.mapInArrow(_bags_of, "label int, bag binary").collect()
+    rows = labelled_texts(df, chosen.select("id", "label"), id_col, text_col, "label")
+    saved = scratch.save(rows.mapInArrow(_bags_of, f"id {dict(rows.dtypes)['id']}, label int, n long, bag binary"), "bags")
+    taken = []
+    for k in (0, 1):
+        order = saved.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").select("id", "n").collect()  # per_class rows at most
+        taken += fitting([tuple(r) for r in order], passages)
+    some = F.broadcast(spark.createDataFrame([(i,) for i in taken], saved.select("id").schema))
+    got = saved.join(some, "id").select("label", "bag").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["bag"])))  # the order of arrival must not matter
     parts = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in got]
+    scratch.drop(saved)
     x = np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.array([len(p) for p in parts], np.int64), np.array([r["label"] for r in got], float), sizes)
 
@@ -191,7 +226,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0 (a null doc_id counts as the empty text, and has no label).
     The score depends on the text alone; a null text is empty. With no label, or labels of one class only, scores only tell
-    the classes' shares. An empty table gives an empty result; other columns are ignored; equal texts have equal scores."""
+    the classes' shares. Training takes whole documents in the order of a hash of their ids, per_class of each label at most and as many as
+    have PASSAGES passages in all. An empty table gives an empty result; other columns are ignored; equal texts have equal scores."""
     network = train(df, labels, id_col, text_col, label_col, per_class)
     rows = df.select(df[id_col].alias("doc_id"), (crc_mod(df[id_col], 5) == 0).alias("held_out"), quality_score(df[text_col], network).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

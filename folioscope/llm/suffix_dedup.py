@@ -10,7 +10,10 @@ have equal anchors at equal offsets. All strings of a text that share an anchor
 3. What is left are different contexts around one anchor: where passages begin and end, or copies differ. They are brought together by
    anchor, one for each distinct context. A suffix array (grouping construction, over the words of all of a task's contexts) puts
    equal strings side by side, and neighbours are compared byte by byte.
-   Anchors with very many different contexts would be one task's work; their strings are compared by 128-bit hashes instead, summed up before they are shuffled.
+   Anchors with very many different contexts would be one task's work. They are made longer: each string has half of its other bytes or more
+   before the anchor, or less; so its context is split in two, whose anchors take in those bytes that all strings of the part have.
+   Parts are brought together by their longer anchors, one for each distinct part (by its bytes), and split again where they are still too many;
+   at the end, an anchor is the whole string.
 Texts are shuffled once; both reads of that shuffle, for contexts and for the removal, are one exchange.
 """
 
@@ -28,8 +31,8 @@ from folioscope.llm.shared import Scratch, text_batches, text_bytes
 from folioscope.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 200, 64
-#: Different contexts of an anchor beyond which its strings are compared by hash.
-CROWD = 4096
+#: Different contexts of an anchor beyond which it is made longer.
+CROWD = 1024
 #: Bytes of contexts that one suffix array holds (more only if a single anchor has more).
 ARRAY_BYTES = 1 << 20
 
@@ -76,14 +79,14 @@ def least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, begin, end, anchor hash, context hash) of each context, over texts that end at ``ends`` in the buffer."""
+def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end, anchor hash, context hash, place of the anchor) of each context, over texts that end at ``ends`` in the buffer."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     rolling = Rolling(raw)
     grams = rolling.every(gram)
-    low = np.uint64((1 << int(len(raw)).bit_length()) - 1)
+    low = np.uint64((1 << 32) - 1)  # the same for every buffer, so that a string's anchor depends on the string alone
     keys = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
     anchor = (low - (least_in_window(keys, length - gram + 1) & low)).astype(np.int64)
     starts = np.arange(len(anchor))
@@ -93,7 +96,7 @@ def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     opens = np.flatnonzero(valid & ~np.concatenate([[False], same]))
     closes = np.flatnonzero(valid & ~np.concatenate([same & valid[1:], [False]]))
     begin, end = opens, closes + length
-    return doc[opens], begin, end, grams[anchor[opens]], rolling.of(begin, end)
+    return doc[opens], begin, end, grams[anchor[opens]], rolling.of(begin, end), anchor[opens]
 
 
 def _contexts_of(length: int, gram: int):
@@ -102,7 +105,7 @@ def _contexts_of(length: int, gram: int):
             texts = text_bytes(batch.column(2))
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)
-            doc, begin, end, h, g = contexts(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+            doc, begin, end, h, g, _ = contexts(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
             base = (ends - sizes)[doc]
             cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32())
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64), pa.int64())) for x in (h, g, (begin - base) << 32 | (end - base))]
@@ -214,28 +217,62 @@ def _compare(length: int, array_bytes: int):
     return run
 
 
-def _string_hashes(length: int):
+def halves(text: bytes, at: int, width: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(begin, end, anchor's place, anchor's width) of the parts of a context whose strings all have the anchor text[at : at + width]: strings with half of the other bytes or more
+    before it, and those with less. Each string is in just one part; the place is counted from the part's begin."""
+    before = (length - width + 1) // 2
+    last = len(text) - length  # where strings may begin
+    out = []
+    if 0 <= (to := min(at - before, last)):
+        out.append((0, to + length, at - before, width + before))
+    if (begin := max(0, at - before + 1)) <= (to := min(at, last)):
+        out.append((begin, to + length, at - begin, length - before + 1))
+    return out
+
+
+_PARTS = "h long, doc_id long, text_key long, single boolean, span long, at int, width int, bytes binary"
+
+
+def _split(length: int, gram: int):
+    """Rows of one or several contexts -> rows of their halves. A width of 0: the anchor is still to be found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                row, start, one, two = [], [], [], []
-                for k, text in enumerate(part.column("bytes").to_pylist()):
-                    for s in range(len(text) - length + 1):
-                        d = xxhash.xxh3_128_intdigest(text[s : s + length])
-                        row.append(k)
-                        start.append(s)
-                        one.append((d >> 64) - (1 << 63))
-                        two.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                row = pa.array(row, pa.int64())
-                at = pa.compute.add(pa.compute.shift_right(part.column("span").take(row), pa.scalar(32, pa.int64())), pa.array(start, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("doc_id", "text_key", "single")), at, pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "text_key", "single", "at", "one", "two"])
+            for k in range(0, batch.num_rows, 4096):
+                part, out = batch.slice(k, 4096), []
+                for h, doc, key, single, span, at, width, text in zip(*(part.column(c).to_pylist() for c in ("h", "doc_id", "text_key", "single", "span", "at", "width", "bytes")), strict=True):
+                    if not width:
+                        at, width = int(contexts(np.frombuffer(text, np.uint8), np.array([len(text)]), length, gram)[5][0]), gram
+                    for begin, end, where, wide in halves(text, at, width, length):
+                        own = text[begin:end]
+                        name = xxhash.xxh3_64_intdigest(own[where : where + wide], seed=where - at + begin & 0xFFFF) - (1 << 63)
+                        out.append((name, doc, key, single, (span >> 32) + begin << 32 | (span >> 32) + end, where, wide, own))
+                cols = list(zip(*out, strict=True)) or [()] * 8
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "doc_id", "text_key", "single", "span", "at", "width", "bytes"])
 
     return run
 
 
+def _parted(crowd: DataFrame, scratch: Scratch, length: int, gram: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, parts): of contexts around crowded anchors, the spans that are found on the way, and the parts that are left to suffix arrays."""
+    spans, parts = [], []
+    while not crowd.isEmpty():
+        halved = scratch.save(crowd.select("h", "doc_id", "text_key", "single", "span", "at", "width", "bytes").mapInArrow(_split(length, gram), _PARTS), "halves")
+        kinds = halved.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("single", "doc_id", "text_key", "span", "at", "width")).alias("x"))
+        kinds = scratch.save(kinds.select("h", "bytes", "n", "x.*"), "distinct-halves")
+        often = kinds.filter("n > 1").select(F.col("h").alias("o"), F.col("bytes").alias("b"))
+        spans.append(halved.filter("single").join(often, (F.col("h") == F.col("o")) & (F.col("bytes") == F.col("b"))).select("doc_id", "text_key", "span"))
+        one = (F.col("n") == 1) & F.col("single")
+        open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(one).alias("ones")).filter("kinds > 1 AND ones > 0").select("h", (F.col("kinds") > most).alias("crowded"))
+        rows = scratch.save(kinds.withColumn("single", one).join(open_, "h"), "open-halves")
+        parts.append(rows.filter("NOT crowded"))
+        crowd = rows.filter("crowded")
+    return spans, parts
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text_key, text, spans -> what is left of the text."""
     for batch in batches:
@@ -279,7 +316,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = near.join(kinds.filter("n > 1").select("h", "g"), ["h", "g"]).select("rid", "span")
 
     open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1")
-    open_ = scratch.save(open_.select("h", (F.col("kinds") > crowd).alias("crowded")), "open-anchors")
+    crowd_size = crowd
+    open_ = scratch.save(open_.select("h", (F.col("kinds") > crowd_size).alias("crowded")), "open-anchors")
     asked = kinds.join(open_, "h").select(F.col("first.rid").alias("rid"), F.struct("h", "crowded", (F.col("n") == 1).alias("single"), F.col("first.span").alias("span")).alias("w"))
     key = rows.select("rid", "doc_id", "text_key")
     asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted")).join(key, "rid")
@@ -288,15 +326,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = docs["doc_id"].eqNullSafe(F.col("i")) & (docs["text_key"] == F.col("k"))
     cut = docs.join(asked, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
     span_schema = "doc_id long, text_key long, span long"
-    by_anchor = cut.filter(~F.col("crowded")).select("h", "doc_id", "text_key", "single", "span", "bytes").repartition("h").sortWithinPartitions("h")
-    spans = copies.join(key, "rid").select("doc_id", "text_key", "span").unionByName(by_anchor.mapInArrow(_compare(length, array_bytes), span_schema))
-    if not open_.filter("crowded").isEmpty():  # in the same plan, so that all of its parts read one exchange of the texts
+    by_anchor = cut.filter(~F.col("crowded")).select("h", "doc_id", "text_key", "single", "span", "bytes")
+    found = [copies.join(key, "rid").select("doc_id", "text_key", "span")]
+    if not open_.filter("crowded").isEmpty():
         few = asked.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0)
-        cut = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
-        strings = cut.select("doc_id", "text_key", "single", "span", "bytes").mapInArrow(_string_hashes(length), "doc_id long, text_key long, single boolean, at long, one long, two long")
-        often = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("one").alias("o"), F.col("two").alias("t"))
-        hit = strings.filter("single").join(often, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")))
-        spans = spans.unionByName(hit.select("doc_id", "text_key", (F.shiftleft("at", 32) + F.col("at") + length).alias("span")))
+        crowd = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
+        more, parts = _parted(scratch.save(crowd.withColumns({"at": F.lit(0), "width": F.lit(0)}), "crowd"), scratch, length, gram, crowd_size)
+        found += more
+        for part in parts:
+            by_anchor = by_anchor.unionByName(part.select("h", "doc_id", "text_key", "single", "span", "bytes"))
+    spans = by_anchor.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length, array_bytes), span_schema)
+    for more in found:
+        spans = spans.unionByName(more)
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
     left = docs.join(spans, same).select("doc_id", "text_key", "text", "spans").mapInArrow(_remove, "doc_id long, text_key long, n_removed long, n_spans long, sha binary, kept string")
     if not with_text:

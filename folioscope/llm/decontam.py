@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Scratch, text_batches, text_bytes
+from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes, text_key
 
 #: Bytes of benchmark text sent to every task at once; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -209,9 +209,9 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
 
 
 def drop_contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df without any hit; all columns stay. Rows are found again by doc_id and a hash of the text."""
+    """The rows of df without any hit; all columns stay, under whatever names. Rows are found again by doc_id and a hash of the text, so rows repeated
+    as a whole stay or go together. Null and empty texts stay; an empty table gives an empty result, an empty benchmark drops nothing."""
     scratch = Scratch(df.sparkSession, "decontamination-filter")
-    bad = contamination(df, bench, id_col, text_col, **options).filter(F.size("items") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    bad = scratch.save(bad.distinct(), "contaminated")
-    own = df.withColumn("__text_key", F.xxhash64(F.coalesce(df[text_col], F.lit(""))))
-    return own.join(bad, own[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").drop("__text_key")
+    bad = contamination(df, bench, id_col, text_col, **options).filter(F.size("items") > 0)
+    rows = bad.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.lit(False).alias("kept"))
+    return drop_rows(df, id_col, text_key(df[text_col]), rows, scratch)

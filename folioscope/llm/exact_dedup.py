@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Scratch, lower_ascii
+from folioscope.llm.shared import Scratch, drop_rows, lower_ascii, text_key
 
 BLOCK_BYTES = 8192
 
@@ -31,7 +31,7 @@ def _named(distinct: DataFrame, *by: str) -> DataFrame:
 
 
 def block_names(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int, hash_mask: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, ids): rows has rid, doc_id and sha of each input row; ids has rid, level and name."""
+    """(rows, ids): rows has rid, doc_id, text_key and sha of each input row; ids has rid, level and name."""
     text = lower_ascii(F.coalesce(df[text_col], F.lit("")))
     hashed = lambda block: F.xxhash64(block).bitwiseAND(F.lit(hash_mask))
 
@@ -41,14 +41,14 @@ def block_names(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, blo
     clash = by_hash.filter("n > 1").select("h")
     clashes = not clash.isEmpty()
 
-    base = df.select(F.monotonically_increasing_id().alias("rid"), df[id_col].alias("doc_id"), text.alias("t"))
-    base = base.select("rid", "doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), _blocks(F.col("t"), block_bytes).alias("blocks"))
+    base = df.select(F.monotonically_increasing_id().alias("rid"), df[id_col].alias("doc_id"), text_key(df[text_col]).alias("text_key"), text.alias("t"))
+    base = base.select("rid", "doc_id", "text_key", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), _blocks(F.col("t"), block_bytes).alias("blocks"))
     if not clashes:
-        rows = scratch.save(base.select("rid", "doc_id", "sha", F.transform("blocks", hashed).alias("hs")), "rows")
+        rows = scratch.save(base.select("rid", "doc_id", "text_key", "sha", F.transform("blocks", hashed).alias("hs")), "rows")
         cut = rows.select("rid", F.size("hs").alias("nb"), F.posexplode("hs").alias("i", "h"))
         level = cut.join(scratch.save(by_hash.select("h", "name"), "names-by-hash"), "h").select("rid", "nb", "i", "name")
     else:
-        rows = scratch.save(base.select("rid", "doc_id", "sha", F.transform("blocks", lambda b: F.struct(hashed(b).alias("h"), b.alias("b"))).alias("hs")), "rows")
+        rows = scratch.save(base.select("rid", "doc_id", "text_key", "sha", F.transform("blocks", lambda b: F.struct(hashed(b).alias("h"), b.alias("b"))).alias("hs")), "rows")
         cut = rows.select("rid", F.size("hs").alias("nb"), F.posexplode("hs").alias("i", "x")).select("rid", "nb", "i", "x.h", "x.b")
         shared = cut.join(clash, "h")
         content = scratch.save(_named(shared.select("b").distinct(), "b").withColumn("name", F.col("name") + 1), "names-by-content")
@@ -73,7 +73,7 @@ def block_names(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, blo
     ids = done[0]
     for more in done[1:]:
         ids = ids.unionByName(more)
-    return rows.select("rid", "doc_id", "sha"), ids
+    return rows.select("rid", "doc_id", "text_key", "sha"), ids
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_mask: int = -1) -> DataFrame:
@@ -84,28 +84,24 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays only where its whole group has none (keep_id is then null). Of rows equal in text
     and doc_id just one has kept = true. An empty table gives an empty result; other columns are ignored.
     ``hash_mask`` shortens the hash by which names are looked up; the result doesn't depend on it."""
-    scratch = Scratch(df.sparkSession, "exact-dedup")
+    return _groups(df, Scratch(df.sparkSession, "exact-dedup"), id_col, text_col, block_bytes, hash_mask).drop("text_key")
+
+
+def _groups(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int, hash_mask: int) -> DataFrame:
     rows, ids = block_names(df, scratch, id_col, text_col, block_bytes, hash_mask)
     told = scratch.save(rows.join(ids, "rid"), "identities")
     keep = told.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     keep = scratch.save(keep, "groups")
     return told.join(keep, ["level", "name"]).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "text_key"
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The input without the rows that exact_groups drops; all columns stay.
+    """The input without the rows that exact_groups drops; all columns stay, under whatever names.
 
-    Rows are found again by doc_id and the hash of their normalised text. Where that pair is
-    not unique among kept rows' candidates (rows repeated as a whole), one of them stays."""
+    Null texts count as empty; of texts that are equal but for the case of A-Z, that of the largest doc_id stays. Rows are found again by doc_id and a
+    hash of their text; of rows repeated as a whole one stays. An empty table gives an empty result."""
     scratch = Scratch(df.sparkSession, "exact-dedup-filter")
-    groups = scratch.save(exact_groups(df, id_col, text_col, block_bytes), "result")
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    sha = F.unhex(F.sha2(lower_ascii(F.coalesce(df[text_col], F.lit(""))).cast("binary"), 256))
-    stay = df.withColumn("__text_sha", sha)
-    stay = stay.join(kept, stay[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
-    repeated = groups.groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    if not repeated.isEmpty():
-        stay = stay.dropDuplicates([id_col, "__text_sha"])
-    return stay.drop("__text_sha")
+    groups = _groups(df, scratch, id_col, text_col, block_bytes, -1)
+    return drop_rows(df, id_col, text_key(df[text_col]), groups.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), scratch)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import crc_mod, text_batches
+from folioscope.llm.shared import crc_mod, fresh, text_batches
 
 DIMENSIONS, ORDER, SEED = 1024, 3, 20_011
 NO_LANGUAGE = "und"
@@ -182,9 +182,15 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.cosine").alias("cosine"))
 
 
-def keep_known_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least_cosine: float = 0.05, dims: int = DIMENSIONS) -> DataFrame:
-    """The rows whose text has a language: not ``und``, and not so far from every prototype (cosine under least_cosine) that chance would give it. All columns stay."""
+def keep_known_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least_cosine: float = 0.05, certain: int = 60, dims: int = DIMENSIONS) -> DataFrame:
+    """The rows whose text has a language: not ``und``, and not so far from every prototype (cosine under least_cosine) that chance would give it. Texts of less than ``certain``
+    letters are too short for that test and stay if they have a letter. All columns stay, under whatever names.
+
+    Prototypes are learned as in identify. Null and empty texts go; rows repeated as a whole stay or go together. Without any labelled row nothing has a language. An empty table gives an empty result."""
     held = crc_mod(df[id_col], 3) == 1
     prototypes = learn_prototypes(df.filter(~held), text_col, label_col, dims)
-    rows = df.withColumn("__p", predict(df[text_col], prototypes, dims))
-    return rows.filter((F.col("__p.lang") != NO_LANGUAGE) & (F.col("__p.cosine") >= least_cosine)).drop("__p")
+    name = fresh(df, "language")
+    letters = F.regexp_count(F.coalesce(df[text_col], F.lit("")), F.lit(r"\p{L}"))
+    rows = df.withColumn(name, predict(df[text_col], prototypes, dims))
+    told = rows[name]
+    return rows.filter((told["lang"] != NO_LANGUAGE) & ((told["cosine"] >= least_cosine) | (letters < certain))).drop(name)

@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import WORD, Scratch
+from folioscope.llm.shared import WORD, Scratch, fresh
 
 HASH_BITS, LEVEL_BITS = 60, 12
 #: Up to so many sources are sent to every task; beyond, the plan is joined.
@@ -61,12 +61,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **terms) -> DataFrame:
-    """The rows of df that the mix takes, with ``copies`` (1 to cap) as one more column; all other columns stay."""
+    """The rows of df that the mix takes, with ``copies`` (1 to cap) as one more column (with underscores before the name if df has one of that name); all other columns
+    stay. Null texts have size 0, a null source is a source of its own; rows that share a doc_id are taken together. An empty table gives an empty result."""
     _, plan = _plan(df, id_col, text_col, source_col, seed, **terms)
-    plan = plan.select(F.col("s").alias("__s"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold"))
-    rows = df.join(plan, df[source_col].cast("string").eqNullSafe(F.col("__s")))
-    rows = rows.withColumn("copies", F.col("__base") + (_hash(rows, id_col, seed) <= F.col("__threshold")).cast("int"))
-    return rows.filter("copies > 0").drop("__s", "__base", "__threshold")
+    s, base, threshold, copies = (fresh(df, c) for c in ("s", "base", "threshold", "copies"))
+    plan = plan.select(F.col("s").alias(s), F.col("base").alias(base), F.col("threshold").alias(threshold))
+    rows = df.join(plan, df[source_col].cast("string").eqNullSafe(plan[s]))
+    rows = rows.withColumn(copies, F.col(base) + (_hash(rows, id_col, seed) <= F.col(threshold)).cast("int"))
+    return rows.filter(F.col(copies) > 0).drop(s, base, threshold)
 
 
 def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: Callable[[int], Sequence[int]] = cycling_weights, share: Fraction = Fraction(1), cap: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,43 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[f"`{n}`"] for n in names))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be none of the table's (names don't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Keys of dropped rows are sent to every task up to so many; beyond, they are joined.
+BROADCAST_KEYS = 1_000_000
+
+
+def drop_rows(df: DataFrame, id_col: str, key: Column, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """df without some of its rows; all its columns stay, under whatever names.
+
+    key: an expression over df that tells rows of one id apart. rows: (id, key, kept) of all rows of df. Rows that are equal in id and key are
+    one: all go if none is kept, else one stays. Only keys of rows that go are joined, so texts aren't shuffled while those are few enough to be sent."""
+    told = rows.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    told = scratch.save(told, "dropped-keys")
+    i, k, own = (fresh(df, c) for c in ("dropped_id", "dropped_key", "own_key"))
+    out = df.withColumn(own, key)
+
+    def join(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("id").alias(i), F.col("key").alias(k))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return left.join(keys, left[f"`{id_col}`"].eqNullSafe(keys[i]) & (left[own] == keys[k]), how)
+
+    repeated = told.filter("kept")
+    if not repeated.isEmpty():
+        out = join(out, repeated, "left_anti").unionByName(join(out, repeated, "left_semi").dropDuplicates([id_col, own]))
+    return join(out, told.filter("NOT kept"), "left_anti").drop(own)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n. A null doc_id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import Scratch, text_batches, text_bytes
+from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes, text_key
 
 BITS = 64
 SHINGLE, MAX_BITS = 3, 3
@@ -206,14 +206,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of df that near_groups keeps; all columns stay. Rows repeated as a whole (doc_id and text) leave one."""
+    """The rows of df that near_groups keeps; all columns stay, under whatever names. Rows repeated as a whole (doc_id and text) leave one. Nulls, empty texts and
+    ties are as in near_groups; an empty table gives an empty result."""
     scratch = Scratch(df.sparkSession, "simhash-filter")
-    kept = scratch.save(near_groups(df, id_col, text_col, shingle, max_bits).filter("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count(), "kept")
-    own = df.withColumn("__text_key", F.xxhash64(F.coalesce(df[text_col], F.lit(""))))
-    stay = own.join(kept, own[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    if not kept.filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates([id_col, "__text_key"])
-    return stay.drop("__text_key")
+    groups = near_groups(df, id_col, text_col, shingle, max_bits)
+    return drop_rows(df, id_col, text_key(df[text_col]), groups.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), scratch)
 
 
 def as_hex(fp: Column) -> Column:

@@ -1,12 +1,12 @@
-"""Near copies by the exact similarity of word shingles.
+"""Near copies: SimHash links, verified by the similarity of word shingles, and then all that fingerprints miss.
 
-Two texts are linked if their sets of word shingles have a Jaccard similarity of 4/5 or more. Fingerprints can't find these pairs: at 0.8 the
-expected distance is about 10 of 64 bits, which no pigeonhole index affords. So pairs come from a prefix filter, which loses none: under any
-order of the shingles, two sets that are similar enough share one of their first n - ceil(4n/5) + 1. Shingles that a sample shows to be
-frequent come last in the order; the sample decides the cost only.
+Two texts are linked if their sets of word shingles have a Jaccard similarity of 4/5 or more. Fingerprints of these shingles find the closest copies (simhash.py: generalised
+pigeonhole, probe and verify), but not all: at 0.8 the expected distance is about 10 of 64 bits, which no pigeonhole index affords. The rest comes from a prefix filter, which
+loses none: under any order of the shingles, two sets that are similar enough share one of their first n - ceil(4n/5) + 1. Shingles that a sample
+shows to be frequent come last in the order; the sample decides the cost only.
 
-Only groups matter, so texts that share a shingle are first compared with one of them each, and then all pairs that
-aren't in one group yet; each pair is verified on the whole sets.
+Only groups matter, so texts with close fingerprints are compared first, and texts that share a shingle with one of them each; then all pairs that
+aren't in one group yet. Each pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm import simhash
 from folioscope.llm.components import components
-from folioscope.llm.shared import Scratch, text_batches, text_bytes
+from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes, text_key
+from folioscope.llm.simhash import majority
 
 WORDS = 5
 #: One in so many sets is sampled for frequent shingles; at most so many are told to tasks.
@@ -49,7 +51,8 @@ def _set_rows(words: int, frequent: np.ndarray, ranks: np.ndarray):
             counts, grams = np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
             owner, _, prefix = prefixes(grams, counts, frequent, ranks)
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *k]).astype(np.int32)), pa.array(x)) for k, x in ((counts, grams), (np.bincount(owner, minlength=len(sets)), prefix))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts.astype(np.int32)), *lists], ["doc_id", "text_key", "set_id", "n", "grams", "prefix"])
+            prints = majority(grams.view(np.uint64), counts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts.astype(np.int32)), pa.array(prints), *lists], ["doc_id", "text_key", "set_id", "n", "fp", "grams", "prefix"])
 
     return run
 
@@ -78,11 +81,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
-def links(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between set_ids; all similar pairs are linked, directly or by way of others, and nothing else is. sets: set_id, n, grams, prefix."""
+def close_prints(sets: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+    """Pairs (u, v) of set_ids to verify: each set with one of its fingerprint, and these ones where fingerprints differ in at most max_bits bits."""
+    prints = scratch.save(sets.groupBy("fp").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other")), "prints")
+    links = scratch.save(simhash.links(prints.select("fp"), simhash.make_plan(prints, max_bits), max_bits), "print-links")
+    ends = links.join(prints.select(F.col("fp").alias("u"), F.col("one").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("one").alias("b")), "v")
+    several = prints.filter("one <> other").select("fp", "one")
+    own = sets.select("fp", "set_id").join(several, "fp").filter("set_id <> one").select(F.col("one").alias("a"), F.col("set_id").alias("b"))
+    return ends.select("a", "b").unionByName(own).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def links(sets: DataFrame, scratch: Scratch, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """Links (u, v) between set_ids; all similar pairs are linked, directly or by way of others, and nothing else is. sets: set_id, n, fp, grams, prefix."""
     entries = sets.select("set_id", "n", F.posexplode("prefix").alias("place", "gram"))
-    several = entries.groupBy("gram").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b").select("gram")
-    met = scratch.save(entries.join(several, "gram", "left_semi").distinct(), "met")
+    by_gram = Window.partitionBy("gram")
+    met = entries.withColumns({"a": F.min("set_id").over(by_gram), "b": F.max("set_id").over(by_gram)}).filter("a <> b").drop("a", "b")
+    met = scratch.save(met.distinct(), "met")
 
     def may(n, m, i, j):  # sizes and places of the shingle: what both sets can share at most
         return 9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)
@@ -90,34 +104,32 @@ def links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     other = lambda df: df.select("gram", *(F.col(c).alias(f"{c}_v") for c in ("set_id", "n", "place", "root")))
     apart = (F.col("root") != F.col("root_v")) & may(F.col("n"), F.col("n_v"), F.col("place"), F.col("place_v"))
     pair = (F.least("set_id", "set_id_v").alias("u"), F.greatest("set_id", "set_id_v").alias("v"), F.least("n", "n_v").alias("n"), F.greatest("n", "n_v").alias("m"))
+    often = lambda pairs, enough: pairs.filter(apart).select(*pair).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("shared")).filter(enough).select("u", "v")
+    # fingerprints, and all with one of them where they meet three times; then all that is left
+    named = met.withColumn("root", F.col("set_id"))
+    least = named.groupBy("gram").agg(F.min_by(F.struct("set_id", "n", "place", "root"), F.col("set_id")).alias("x")).select("gram", "x.*")
+    stars = often(named.join(other(least), "gram"), F.col("shared") > 2)
+    found = _verified(close_prints(sets, scratch, max_bits).unionByName(stars).distinct(), sets, scratch)
+    of = scratch.save(components(found, scratch), "star-components")
+    named = scratch.save(met.join(of, met["set_id"] == of["node"], "left").select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root")), "named")
+    several = named.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("gram")
+    named = scratch.save(named.join(several, "gram", "left_semi"), "open")
     # of what both share, all up to the end of the prefix that ends first is in both prefixes; the rest of that set comes on top
-    enough = 9 * (F.count(F.lit(1)) + F.floor((4 * F.col("m") + 4) / 5) - 1) >= 4 * (F.col("n") + F.col("m"))
-    named, found = met.withColumn("root", F.col("set_id")), None
-    # all with one of them where they meet three times, then all that is left
-    for one in (F.col("set_id"), None):
-        if one is None:
-            pairs = named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v"))
-        else:
-            pairs = named.join(other(named.groupBy("gram").agg(F.min_by(F.struct("set_id", "n", "place", "root"), one).alias("x")).select("gram", "x.*")), "gram")
-        met_often = pairs.filter(apart).select(*pair).groupBy("u", "v", "n", "m").agg((enough if one is None else F.count(F.lit(1)) > 2).alias("enough")).filter("enough").select("u", "v")
-        more = _verified(met_often, sets, scratch)
-        found = more if found is None else found.unionByName(more)
-        if one is not None:
-            of = scratch.save(components(found, scratch), "star-components")
-            named = scratch.save(met.join(of, met["set_id"] == of["node"], "left").select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root")), "named")
-            several = named.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("gram")
-            named = scratch.save(named.join(several, "gram", "left_semi"), "open")
-    return found
+    enough = 9 * (F.col("shared") + F.floor((4 * F.col("m") + 4) / 5) - 1) >= 4 * (F.col("n") + F.col("m"))
+    more = _verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, scratch)
+    scratch.drop(met, named)
+    return found.unionByName(more)
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row of each group that links reach, that of the smallest doc_id; all columns stay. Texts without words are alike.
+    """One row of each group that links reach, that of the smallest doc_id; all columns stay, under whatever names. Texts without words (null, empty) are alike.
 
-    A group's row has a null doc_id only if all have. Rows repeated as a whole (doc_id and text) leave one."""
+    A group's row has a null doc_id only if all have; of equal doc_ids the text of the smaller hash stays. Rows repeated as a whole (doc_id and text) leave one. An
+    empty table gives an empty result."""
     scratch = Scratch(df.sparkSession, "similar")
     text = F.coalesce(df[text_col], F.lit(""))
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    form, none = "doc_id long, text_key long, set_id long, n int, grams array<long>, prefix array<long>", np.zeros(0, np.int64)
+    form, none = "doc_id long, text_key long, set_id long, n int, fp long, grams array<long>, prefix array<long>", np.zeros(0, np.int64)
     sample = rows.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).mapInArrow(_set_rows(words, none, none), form).select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2")
     often = sorted((r["gram"], FREQUENT - k) for k, r in enumerate(sample.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()))
     frequent, ranks = (np.array([x[k] for x in often], np.int64) for k in (0, 1))
@@ -125,11 +137,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = scratch.save(components(links(sets, scratch), scratch), "components")
     own = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("text_key"))
     least = sets.groupBy("set_id").agg(F.min(own).alias("keep"))
-    least = least.join(of, least["set_id"] == of["node"], "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("keep").alias("keep"))
-    kept = scratch.save(least.select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_key").alias("__key")), "kept")
-    rows = df.withColumn("__text_key", F.xxhash64(F.coalesce(df[text_col], F.lit(""))))
-    stay = rows.join(kept, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    copies = sets.groupBy("doc_id", "text_key").count().filter("count > 1")
-    if not copies.isEmpty():
-        stay = stay.dropDuplicates([id_col, "__text_key"])
-    return stay.drop("__text_key")
+    rooted = scratch.save(least.join(of, least["set_id"] == of["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "keep"), "rooted")
+    keep = rooted.groupBy("root").agg(F.min("keep").alias("group_keep"))
+    told = sets.select("doc_id", "text_key", "set_id").join(rooted.join(keep, "root").select("set_id", "group_keep"), "set_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("group_keep.doc_id")) & (F.col("text_key") == F.col("group_keep.text_key"))
+    return drop_rows(df, id_col, text_key(df[text_col]), told.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), kept.alias("kept")), scratch)

@@ -14,6 +14,8 @@ META_PREFIXES = "发布者 发布时间 来源 作者 记者 通讯员 原文链
 URGENCY = "紧急 立即 尽快 限期 截止 时限 今日 明日 本周 本月 近期 加急 urgent deadline".split()
 NECESSITY = "资金 财政 经费 预算 决算 拨付 报销 补贴 资助 审计 审批 核准 备案 合同 招标 采购 质量 标准 药品 专利".split()
 GENERIC_EVIDENCE = "教育 科研 研究 项目 工作 问题 材料 发展 content_keyword_match".split()
+#: A character of lines that have nothing but marks, digits and Latin letters.
+MARKS_ONLY = r"[\s·|/\\\-_=—….\dA-Za-z]"
 # End of fixed values.
 
 FEATURES = {"policy": POLICY, "money": MONEY, "time": TIME, "review": REVIEW, "approval": APPROVAL, "business": BUSINESS}

@@ -25,8 +25,12 @@ MONEY = r"\d+(?:\.\d+)?\s*(?:亿元|万元|千元|元|人民币|USD|usd|美元)?
 UNITS = {"亿元": 1e8, "万元": 1e4, "千元": 1e3}
 
 
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as t
+
 
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -19,8 +21,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """Length 1; a zero vector stays zero."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x / norm(a)).otherwise(0.0))
+    """Length 1; a zero vector stays zero. The norm is computed once a vector."""
+    return t.let(a, lambda x: t.let(norm(x), lambda n: F.transform(x, lambda e: F.when(n > 0, e / n).otherwise(0.0))))
 
 
 def distance(a: Column, b: Column) -> Column:

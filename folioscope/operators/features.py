@@ -13,19 +13,17 @@ from folioscope.functions import text as t
 FIELDS = ("title", "time_info", "clean_text", "table_text", "ocr_text")
 
 
+def template_pattern(meta: Sequence[str] = lexicons.META_PREFIXES) -> str:
+    """Lines that are template by their form alone, as one pattern: empty, an address of the web or of mail, a field of a page's head, too short, or nothing but marks and Latin letters."""
+    head = "|".join(meta)
+    return rf"^(?:(?:(?i:https?://|www\.)\S+|[^@\s]+@[^@\s]+\.[^@\s]+|[^\x{{4e00}}-\x{{9fff}}A-Za-z]{{0,2}}|{lexicons.MARKS_ONLY}{{0,24}})$|(?:{head})[:：])"
+
+
 def is_template_line(line: Column, hints: Sequence[str] = lexicons.TEMPLATE_HINTS, meta: Sequence[str] = lexicons.META_PREFIXES) -> Column:
-    """Lines of a site or form rather than of the document. Hints that contain each other count each."""
+    """Lines of a site or form rather than of the document. Hints that contain each other count each. One pattern and one count of hints a line."""
     n = t.hits(line, hints)
-    return (
-        (line == "")
-        | line.rlike(r"(?i)^(?:https?://|www\.)\S+$")
-        | line.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
-        | line.rlike("^(?:" + "|".join(meta) + ")[:：]")
-        | ((F.length(line) <= 2) & ~line.rlike(r"[\x{4e00}-\x{9fff}A-Za-z]"))
-        | ((F.length(line) <= 24) & line.rlike(r"^[\s·|/\\\-_=—….\dA-Za-z]*$"))
-        | (n >= 2)
-        | ((n >= 1) & (F.length(line) <= 20) & ~line.rlike(r"[\x{4e00}-\x{9fff}]{4,}"))
-    )
+    hinted = F.when(F.length(line) > 20, n >= 2).otherwise((n >= 1) & ((n >= 2) | ~line.rlike(r"[\x{4e00}-\x{9fff}]{4,}")))
+    return line.rlike(template_pattern(meta)) | hinted
 
 
 def first_of_each(lines: Column) -> Column:
@@ -36,7 +34,8 @@ def first_of_each(lines: Column) -> Column:
 
 
 def clean_lines(text: Column, hints: Sequence[str] = lexicons.TEMPLATE_HINTS) -> Column:
-    lines = F.transform(F.split(text, t.LINE_END), t.normalize)
+    """A normalised text without template and repeated lines."""
+    lines = F.transform(F.split(text, t.LINE_END), t.strip)  # the text is normalised: all that is left to do for a line
     kept = F.filter(lines, lambda x: ~is_template_line(x, hints))
     return t.normalize(F.array_join(first_of_each(kept), "\n"))
 
@@ -47,6 +46,12 @@ def analysis_text(df: DataFrame, hints: Sequence[str] = lexicons.TEMPLATE_HINTS,
     return t.let(merged, lambda m: t.let(clean_lines(m, hints), lambda c: F.when(c != "", c).otherwise(m)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores where the input has fewer partitions than those (a file of one row group is one task). Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dataset_col: str = "source") -> DataFrame:
     """A table of texts in the shape of parsed documents; all text fields are normalised."""
     rows = df.select(df[id_col].alias("doc_id"), df[dataset_col].alias("dataset"), t.normalize(df[text_col]).alias("text"))  # once: used by several columns below

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import lexicons
 from folioscope.functions import text as t
+from folioscope.operators import views
 from folioscope.operators.classify import level
 
 #: How much more each criterion weighs than the others: risk, necessity, urgency.
@@ -67,17 +68,22 @@ def prioritize(rows: DataFrame, as_of: Column, urgency: Sequence[str] = lexicons
     )
 
 
-def with_rank(rows: DataFrame, score: str, *ties: Column, name: str = "priority_rank") -> DataFrame:
-    """1-based rank by score, the highest first, then by ties. Ranked within each score value, on top of how many rows have higher ones:
-    no task sees all rows. (Only the table of distinct scores, a million at six decimals, is summed in one.)"""
-    sizes = rows.groupBy(F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    above = sizes.withColumn("__above", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = rows.withColumn("__own", F.row_number().over(Window.partitionBy(score).orderBy(*ties)))
-    return own.join(above, own[score].eqNullSafe(above["__s"])).withColumn(name, (F.col("__own") + F.col("__above")).cast("long")).drop("__s", "__own", "__above")
+def with_rank(rows: DataFrame, *order: Column, name: str = "priority_rank") -> DataFrame:
+    """1-based rank in a total order. Rows are sorted in ranges, and a row's place is its place in the range on top of the sizes of the ranges before: no task sees more
+    than a range, however many rows share a score. The sorted rows are kept, since they are read twice."""
+    at = views.fresh(rows, "at")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()).persist()
+    part, before, starts = F.shiftright(at, 33), 0, []
+    for r in sorted(sorted_.groupBy(part.alias("part")).count().collect()):  # a row a range
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = sorted_.sparkSession.createDataFrame(starts, "part long, before long")
+    out = sorted_.join(F.broadcast(offsets.select(F.col("part").alias(f"{at}_part"), F.col("before").alias(f"{at}_before"))), part == F.col(f"{at}_part"))
+    return out.withColumn(name, F.col(f"{at}_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(at, f"{at}_part", f"{at}_before")
 
 
 def priority_rank(rows: DataFrame) -> DataFrame:
-    return with_rank(rows, "priority_score", F.desc("misclassification_risk_score"), F.desc("review_necessity_score"), F.col("doc_id").cast("string"))
+    return with_rank(rows, F.desc("priority_score"), F.desc("misclassification_risk_score"), F.desc("review_necessity_score"), F.col("doc_id").cast("string"))
 
 
 def summarize_priority(rows: DataFrame) -> DataFrame:
@@ -97,27 +103,26 @@ def candidates(ranked: DataFrame) -> DataFrame:
     """Review candidates in the order in which hours are spent: high before medium, then score per hour, score, rank."""
     rows = ranked.filter(F.col("priority_level").isin("high", "medium"))
     worth = F.round(F.col("priority_score") / F.greatest(F.col("estimated_review_hours"), F.lit(0.25)), 9)
-    rows = rows.withColumn("worth", worth + F.when(F.col("priority_level") == "high", 1e6).otherwise(0.0))
-    return with_rank(rows, "worth", F.desc("priority_score"), F.col("priority_rank"), name="turn")
+    return with_rank(rows, F.when(F.col("priority_level") == "high", 0).otherwise(1).asc(), worth.desc(), F.desc("priority_score"), F.asc("priority_rank"), name="turn")
 
 
 def allocate(spark: SparkSession, ranked: DataFrame, scenarios: Sequence[Scenario], step: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(allocations, plans). Candidates are walked in turn; one that doesn't fit is passed over, not the end of the walk.
 
-    Each choice depends on those before it, so the walk is on the driver; it takes ``step`` candidates (two numbers each) at a time, and ends when the count
-    limit is reached or less time is left than the shortest review of all takes. What is chosen is bounded by the scenario's own limits."""
-    order = candidates(ranked).select("turn", "doc_id", "priority_rank", "priority_level", "priority_score", "estimated_review_hours").persist()
-    low = with_rank(ranked.filter("priority_level = 'low'"), "priority_score", F.col("priority_rank"), name="turn")
-    least, n = order.agg(F.min("estimated_review_hours"), F.count(F.lit(1))).first()
-    n_low = low.count()
+    Each choice depends on those before it, so choices are made on the driver, from the next ``step`` candidates that still fit some scenario (two numbers each). Hours left only
+    shrink, so what doesn't fit now never will, and the first of each step is taken: what comes to the driver is bounded by the scenarios' own limits, not by the candidates."""
+    order = candidates(ranked).select("turn", "doc_id", "priority_rank", "priority_level", "priority_score", "estimated_review_hours")
+    low = with_rank(ranked.filter("priority_level = 'low'"), F.desc("priority_score"), F.asc("priority_rank"), name="turn")
+    n, n_low = order.count(), low.count()
     state = {s.scenario_id: [0.0, 0, 0] for s in scenarios}  # hours, documents, of these high
     picks: list[tuple[str, int]] = []
-    for first in range(1, n + 1, step):
-        alive = [s for s in scenarios if state[s.scenario_id][1] < s.manual_review_limit and state[s.scenario_id][0] + least <= s.manual_hours]
-        if not alive:
-            break
-        rows = order.filter(F.col("turn").between(first, first + step - 1)).select("turn", "estimated_review_hours", "priority_level").orderBy("turn").collect()
-        for s in alive:
+    first = 1
+    while open_ := [s for s in scenarios if state[s.scenario_id][1] < s.manual_review_limit]:
+        fits = F.lit(False)
+        for s in open_:
+            fits = fits | (F.lit(state[s.scenario_id][0]) + F.col("estimated_review_hours") <= F.lit(s.manual_hours))
+        rows = order.filter((F.col("turn") >= first) & fits).select("turn", "estimated_review_hours", "priority_level").orderBy("turn").limit(step).collect()
+        for s in open_:
             now = state[s.scenario_id]
             for turn, hours, rank in rows:
                 if now[1] < s.manual_review_limit and now[0] + hours <= s.manual_hours:
@@ -125,6 +130,9 @@ def allocate(spark: SparkSession, ranked: DataFrame, scenarios: Sequence[Scenari
                     now[1] += 1
                     now[2] += rank == "high"
                     picks.append((s.scenario_id, turn))
+        if len(rows) < step:
+            break
+        first = rows[-1]["turn"] + 1
     chosen = spark.createDataFrame(picks, "scenario_id string, turn long")
     cols = ["scenario_id", "doc_id", "priority_rank", "priority_level", "priority_score"]
     manual = order.join(chosen, "turn").select(*cols, F.lit("manual_review").alias("allocated_action"), "estimated_review_hours")

@@ -39,14 +39,29 @@ def select_texts(df: DataFrame, text: str, config: TopicConfig = TopicConfig())
     return df.filter(F.length(text) >= config.min_text_length).withColumn(text, F.substring(text, 1, config.max_text_chars))
 
 
+def vocabulary(df: DataFrame, tokens: Column, min_df: int = 2, max_df: float = 0.85, features: int = 4000) -> DataFrame:
+    """(term, idf): the most frequent terms, of equal ones the first in the alphabet; ln((1 + n) / (1 + df)) + 1. At most ``features`` rows."""
+    n = df.count()
+    once = df.select(F.monotonically_increasing_id().alias("row"), tokens.alias("tokens")).select("row", F.explode("tokens").alias("term"))
+    terms = once.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.count_distinct("row").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    return terms.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+
+
+def weigh(df: DataFrame, key: str, tokens: Column, words: DataFrame) -> DataFrame:
+    """(key, term, weight): counts times idf, rows at unit length. words: (term, idf), bounded, so it is sent to every task before anything is counted."""
+    known = df.select(F.col(key), F.explode(tokens).alias("term")).join(F.broadcast(words), "term")
+    raw = known.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def tfidf(df: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.85, features: int = 4000) -> DataFrame:
-    """(key, term, weight): counts times smoothed idf (ln((1+n)/(1+df)) + 1), rows at unit length; terms by corpus frequency, then alphabet.
-    Plain joins and sums: the vocabulary is bounded by ``features`` and sent to every task."""
+    """(key, term, weight): counts times smoothed idf, rows at unit length; terms by corpus frequency, then alphabet."""
     rows = df.select(F.col(key), F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.count()
     terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    vocabulary = F.broadcast(terms.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    raw = rows.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    words = F.broadcast(terms.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    raw = rows.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 

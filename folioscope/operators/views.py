@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as t
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until it is none of the table's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def merge_left(left: DataFrame, right: DataFrame, key: str, precedence_blank: bool = False) -> DataFrame:
     """Left join in which the right side's columns take the place of the left's of the same name, where the right has a row (precedence_blank) or a value.
     The right side must have one row per key (see classify.last_of_each)."""

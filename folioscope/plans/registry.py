@@ -13,6 +13,7 @@ from folioscope.functions import lexicons
 from folioscope.functions import text as t
 from folioscope.functions import vectors as v
 from folioscope.operators import classify, features, priority, rules, topics, views
+from folioscope.operators import prototypes as proto
 from folioscope.plans import sql
 from folioscope.sources import files
 
@@ -56,7 +57,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return features.as_documents(table(spark, d, "documents"))
+    return features.as_documents(texts(spark, d))
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, dealt out to all cores: what follows is work for the processor."""
+    return features.spread(table(spark, d, "documents"))
 
 
 def long(c):
@@ -73,7 +79,7 @@ def md5(c):
 @query(f"WITH n AS (SELECT doc_id, {sql.norm('text')} AS x FROM documents) SELECT doc_id, len(x) AS n, md5(x) AS digest FROM n")
 def text_normalize(spark, d):
     x = t.normalize(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
+    return texts(spark, d).select("doc_id", x.alias("x")).select("doc_id", long(F.length("x")).alias("n"), md5(F.col("x")).alias("digest"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, title FROM d")
@@ -107,7 +113,7 @@ def strip_tags(spark, d):
     return table(spark, d, "pages").select("page_id", long(F.length(x)).alias("n"), md5(x).alias("digest"))
 
 
-@query(rf"SELECT p_partkey, array_to_string(list_filter(string_split_regex(replace(p_type, ' ', '、') || ';' || p_brand || '|' || p_name, '[、,，;；/|\\{t.SPACE}]+'), lambda x: x <> ''), ' | ') AS terms FROM part")
+@query(f"SELECT p_partkey, array_to_string({sql.split_terms("replace(p_type, ' ', '、') || ';' || p_brand || '|' || p_name")}, ' | ') AS terms FROM part")
 def split_terms(spark, d):
     text = F.concat(F.replace("p_type", F.lit(" "), F.lit("、")), F.lit(";"), F.col("p_brand"), F.lit("|"), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", F.array_join(t.split_terms(text), " | ").alias("terms"))
@@ -154,7 +160,7 @@ def feature_row(spark, d):
 @query(f"WITH n AS (SELECT doc_id, {sql.money('text')} AS m FROM documents) SELECT doc_id, len(m) AS n, coalesce(list_max(m), 0.0) AS most FROM n")
 def money_values(spark, d):
     m = t.money_values(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", long(F.size("m")).alias("n"), F.coalesce(F.array_max("m"), F.lit(0.0)).alias("most"))
+    return texts(spark, d).select("doc_id", m.alias("m")).select("doc_id", long(F.size("m")).alias("n"), F.coalesce(F.array_max("m"), F.lit(0.0)).alias("most"))
 
 
 _PRICED = "SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || CASE o_orderkey % 4 WHEN 0 THEN '元' WHEN 1 THEN ' 万元' WHEN 2 THEN '千元' ELSE ' USD' END AS x FROM orders"
@@ -217,8 +223,7 @@ _RANKED = f"{_PRIORITY}, k2 AS (SELECT *, row_number() OVER (ORDER BY priority_s
 
 
 def ranked(spark, d):
-    """Ranking reads its rows twice, so they are kept after the first time."""
-    return priority.priority_rank(prioritized(spark, d).persist())
+    return priority.priority_rank(prioritized(spark, d))
 
 
 @query(f"WITH {_RANKED} SELECT doc_id, priority_score, priority_rank FROM k2")
@@ -248,7 +253,7 @@ walk(scenario_id, turn, used, n, taken) AS (
 SELECT w.scenario_id, c.doc_id, c.priority_rank, c.priority_level, c.priority_score, 'manual_review' AS allocated_action, c.h AS estimated_review_hours FROM walk w JOIN c2 c ON c.turn = w.turn WHERE w.taken
 UNION ALL SELECT s.scenario_id, l.doc_id, l.priority_rank, l.priority_level, l.priority_score, 'auto_archive', 0.0 FROM sc s JOIN low l ON l.turn <= s.auto""")
 def greedy_allocation(spark, d):
-    return priority.allocate(spark, ranked(spark, d).persist(), SCENARIOS)[0]
+    return priority.allocate(spark, ranked(spark, d), SCENARIOS)[0]
 
 
 @query(f"""WITH RECURSIVE {_TURNS},
@@ -258,7 +263,7 @@ SELECT s.scenario_id, s.hours AS manual_hours, CAST(s.docs AS BIGINT) AS manual_
   round(coalesce(used, 0.0), 3) AS used_manual_hours, round(greatest(0.0, s.hours - coalesce(used, 0.0)), 3) AS remaining_manual_hours, CAST(coalesce(t.n, 0) >= s.docs AS INTEGER) AS manual_limit_binding, CAST(coalesce(used, 0.0) >= s.hours AS INTEGER) AS hour_limit_binding
 FROM sc s LEFT JOIN t USING (scenario_id)""")
 def resource_plan(spark, d):
-    return priority.allocate(spark, ranked(spark, d).persist(), SCENARIOS)[1]
+    return priority.allocate(spark, ranked(spark, d), SCENARIOS)[1]
 
 
 @query("WITH RECURSIVE x(i, a, b, c, l) AS (SELECT 0, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 3.0::DOUBLE UNION ALL SELECT i + 1, (a + 2 * b + 3 * c) / s, (a / 2 + b + 2 * c) / s, (a / 3 + b / 2 + c) / s, s FROM (SELECT *, (a + 2 * b + 3 * c) + (a / 2 + b + 2 * c) + (a / 3 + b / 2 + c) AS s FROM x WHERE i < 200)) SELECT round(a, 9) AS risk, round(b, 9) AS necessity, round(c, 9) AS urgency, round(l, 9) AS lambda_max, round((l - 3) / 2 / 0.58::DOUBLE, 9) AS consistency_ratio FROM x WHERE i = 200")
@@ -400,7 +405,7 @@ def dataset_tag(spark, d):
 SELECT doc_id, CASE WHEN own THEN 'fixed family' WHEN list_max(q) > 0 THEN {sql.lit([r.name for r in FAMILY_RULES])}[list_position(q, list_max(q))] ELSE 'statistics' END AS name,
   round(CASE WHEN own THEN 1.0 WHEN list_max(q) > 0 THEN list_max(q) / list_sum(q) ELSE 0.1 END, 6) AS confidence FROM s""")
 def family_rule_score(spark, d):
-    rows = table(spark, d, "documents").withColumn("raw", F.when(F.col("doc_id") % 97 == 0, "raw name").otherwise(""))
+    rows = texts(spark, d).withColumn("raw", F.when(F.col("doc_id") % 97 == 0, "raw name").otherwise(""))
     made = rules.family(FAMILY_RULES, {"raw name": ("fixed family", "override")}, "statistics", F.col("raw"), F.col("text"))
     return rows.select("doc_id", made.alias("f")).select("doc_id", F.col("f.name").alias("name"), F.round("f.confidence", 6).alias("confidence"))
 
@@ -450,41 +455,22 @@ _CENTROIDS = """
 e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 len AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY 1),
 un AS (SELECT e.vec_id, label, i, CASE WHEN n > 0 THEN x / n ELSE 0 END AS x FROM e JOIN len USING (vec_id)),
-mean AS (SELECT label, i, avg(x) AS x, count(*) AS support FROM un WHERE vec_id % 5 <> 0 GROUP BY 1, 2),
+mean AS (SELECT label, i, avg(x) AS x, count(*) AS support FROM un GROUP BY 1, 2),
 ml AS (SELECT label, sqrt(sum(x * x)) AS n FROM mean GROUP BY 1),
 cen AS (SELECT label AS cluster_id, i, mean.x / ml.n AS x, support FROM mean JOIN ml USING (label))"""
 _TOP = f"""{_CENTROIDS},
-sc AS (SELECT u.vec_id, c.cluster_id, sum(u.x * c.x) AS score FROM un u JOIN cen c USING (i) WHERE u.vec_id % 5 = 0 GROUP BY 1, 2),
+sc AS (SELECT u.vec_id, c.cluster_id, sum(u.x * c.x) AS score FROM un u JOIN cen c USING (i) GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cluster_id DESC) AS rank FROM sc),
 tp AS (SELECT vec_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, max(score) FILTER (rank = 3) AS s3, max(cluster_id) FILTER (rank = 1) AS c1, max(cluster_id) FILTER (rank = 2) AS c2 FROM rk WHERE rank <= 3 GROUP BY 1),
-mm AS (SELECT *, s1 - s2 AS margin, 1 / (1 + exp(s2 - s1) + exp(s3 - s1)) AS confidence, (vec_id // 5 % 10) / 10.0::DOUBLE AS coverage, (vec_id // 5 % 7) / 7.0::DOUBLE AS overlap, CAST(20 + vec_id % 200 AS BIGINT) AS n, CASE WHEN vec_id % 11 = 0 THEN 'empty' ELSE 'ok' END AS ps, vec_id % 2 = 0 AS spec FROM tp),
-rs AS (SELECT *, CASE WHEN margin >= 0.06 THEN '' WHEN c1 % 3 = c2 % 3 THEN 'same_prototype_family' WHEN s1 >= 0.45 AND margin >= 0.02 AND overlap >= 0.30 AND spec THEN 'rule_disambiguation' ELSE '' END AS resolved, s1 >= 0.30 AND spec AS rescue FROM mm),
-st AS (SELECT *, CASE WHEN s1 < 0.35 AND rescue THEN 'assigned' WHEN s1 < 0.35 THEN 'unclassifiable' WHEN margin < 0.06 AND resolved = '' THEN 'multi_class' ELSE 'assigned' END AS status,
-  least(1.0, greatest(0.0, (CASE WHEN s1 < 0.35 AND rescue THEN 0.25 WHEN s1 < 0.35 THEN 0.55 WHEN margin < 0.06 AND resolved = '' THEN 0.35 ELSE 0.0 END)::DOUBLE
-  + CASE WHEN coverage < 0.45 THEN 0.20::DOUBLE * (0.45::DOUBLE - coverage) / 0.45::DOUBLE ELSE 0 END + CASE WHEN overlap < 0.30 THEN 0.20::DOUBLE * (0.30::DOUBLE - overlap) / 0.30::DOUBLE ELSE 0 END
-  + CASE WHEN margin < 0.08 THEN 0.25::DOUBLE * (0.08::DOUBLE - margin) / 0.08::DOUBLE ELSE 0 END + CASE WHEN confidence < 0.45 THEN 0.10::DOUBLE * (0.45::DOUBLE - confidence) / 0.45::DOUBLE ELSE 0 END
-  + (CASE WHEN n < 40 THEN 0.20 ELSE 0.0 END)::DOUBLE + (CASE WHEN ps <> 'ok' THEN 0.35 ELSE 0.0 END)::DOUBLE)) AS risk FROM rs),
-cl AS (SELECT vec_id AS doc_id, 'd' || CAST(vec_id // 5 % 3 AS VARCHAR) AS dataset, 't' || CAST(c1 % 3 AS VARCHAR) AS parent, status, risk AS risk_score, CASE WHEN risk >= 0.65 THEN 'high' WHEN risk >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level,
-  s1 AS top1_score, margin, confidence, CAST(risk >= 0.35 AS INTEGER) AS review_flag FROM st)"""
+mm AS (SELECT *, s1 - s2 AS margin, 1 / (1 + exp(s2 - s1) + exp(s3 - s1)) AS confidence FROM tp)"""
 
 
 def prototypes(spark, d):
-    return classify.centroids(table(spark, d, "embeddings").filter("vec_id % 5 <> 0"), "label", "embedding")
+    return classify.centroids(table(spark, d, "embeddings"), "label", "embedding")
 
 
 def nearest(spark, d):
-    return classify.top_prototypes(table(spark, d, "embeddings").filter("vec_id % 5 = 0"), prototypes(spark, d), "vec_id", "embedding")
-
-
-def classified(spark, d):
-    x = classify.ranking(nearest(spark, d), "vec_id")
-    n = F.floor(F.col("vec_id") / 5)
-    x = x.withColumns({"coverage": n % 10 / 10.0, "overlap": n % 7 / 7.0, "length": 20 + F.col("vec_id") % 200, "parse_status": F.when(F.col("vec_id") % 11 == 0, "empty").otherwise("ok"), "specific": F.col("vec_id") % 2 == 0})
-    top1, margin = F.col("top1_score"), F.col("margin")
-    x = x.withColumns({"rescue": (top1 >= 0.30) & F.col("specific"), "resolved": classify.resolution(margin, F.col("top1_id") % 3 == F.col("top2_id") % 3, top1, F.col("overlap"), F.col("specific"))})
-    x = x.withColumns({"status": classify.status(top1, margin, F.col("rescue"), F.col("resolved")), "risk_score": classify.risk_score(top1, margin, F.col("rescue"), F.col("resolved"), F.col("coverage"), F.col("overlap"), F.col("confidence"), F.col("length"), F.col("parse_status"))})
-    x = x.withColumn("risk_level", classify.level(F.col("risk_score")))
-    return x.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("d"), (n % 3).cast("string")).alias("dataset"), F.concat(F.lit("t"), (F.col("top1_id") % 3).cast("string")).alias("parent"), "status", "risk_score", "risk_level", "top1_score", "margin", "confidence", F.when(F.col("risk_level") == "low", 0).otherwise(1).alias("review_flag"))
+    return classify.top_prototypes(table(spark, d, "embeddings"), prototypes(spark, d), "vec_id", "embedding")
 
 
 @query(f"WITH {_CENTROIDS} SELECT cluster_id, CAST(max(support) AS BIGINT) AS support, round(sum(x * i), 6) AS moment, round(sum(x * x), 6) AS size FROM cen GROUP BY 1")
@@ -503,32 +489,129 @@ def softmax_confidence(spark, d):
     return classify.ranking(nearest(spark, d), "vec_id").select("vec_id", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"))
 
 
-@query(f"WITH {_TOP} SELECT doc_id, status FROM cl")
+# ---- documents against prototypes
+
+#: Topics that have a name of their own; the others are named by their number.
+TOPICS = [(0, "and、the类", "raw and", "the、and"), (1, "and、the类", "", ""), (2, "les、des类", "raw les", "des|les"), (4, "der、die类", "", "die, der"), (6, "los、para类", "raw los", None)]
+FLAT = proto.ClassifierConfig(dims=None)
+RULES = proto.RuleSet(SPLIT_RULES, DOMAINS, "government", "unsplit", CHILDREN, CHILD_FALLBACK)
+_CLUSTER = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 2 WHEN 'de' THEN 4 ELSE 6 END + quality"
+_MODEL = f"""{DOCS},
+lab AS (SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS n FROM labels) WHERE n = 1),
+tr AS (SELECT doc_id, {_CLUSTER} AS cluster_id, substring(body, 1, 6000) AS x FROM a JOIN lab USING (doc_id) WHERE body <> ''),
+sup AS (SELECT cluster_id, count(*) AS n FROM tr GROUP BY 1),
+ttok AS (SELECT doc_id, cluster_id, unnest({sql.tokens('x')}) AS term FROM tr),
+ttf AS (SELECT doc_id, cluster_id, term, count(*) AS tf FROM ttok GROUP BY ALL),
+nt AS (SELECT count(*) AS n FROM tr),
+voc AS (SELECT term, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM ttf GROUP BY 1), nt WHERE df >= 2 AND df <= 0.85::DOUBLE * n ORDER BY cf DESC, term LIMIT 4000),
+traw AS (SELECT doc_id, cluster_id, term, tf * idf AS w FROM ttf JOIN voc USING (term)),
+tnm AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM traw GROUP BY 1),
+pm AS (SELECT cluster_id, term, sum(w / l) / any_value(n) AS m FROM traw JOIN tnm USING (doc_id) JOIN sup USING (cluster_id) GROUP BY 1, 2),
+pl AS (SELECT cluster_id, sqrt(sum(m * m)) AS l FROM pm GROUP BY 1),
+pc AS (SELECT cluster_id, term, m / l AS x FROM pm JOIN pl USING (cluster_id) WHERE l > 0),
+pr8 AS (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(m, 9) DESC, term DESC) AS rank FROM pm WHERE round(m, 9) > 0),
+own AS (SELECT cluster_id, list(term ORDER BY rank) AS own FROM pr8 WHERE rank <= 8 GROUP BY 1),
+nam(cluster_id, topic_name, raw_topic_name, top_terms) AS (VALUES {', '.join(f"({i}, '{a}', '{b}', {'NULL' if c is None else f"'{c}'"})" for i, a, b, c in TOPICS)}),
+dic0 AS (SELECT cluster_id, n AS support, coalesce(own, []) AS own, coalesce(nullif(topic_name, ''), '主题' || CAST(cluster_id AS VARCHAR)) AS topic_name, nullif(raw_topic_name, '') AS raw, {sql.split_terms("coalesce(top_terms, '')")} AS told FROM sup LEFT JOIN own USING (cluster_id) LEFT JOIN nam USING (cluster_id)),
+dic1 AS (SELECT *, CASE WHEN len(told) > 0 THEN told ELSE list_slice(own, 1, 3) END AS top FROM dic0),
+dic2 AS (SELECT *, list_concat(list_concat({sql.split_terms('topic_name')}, top), own) AS everything FROM dic1),
+dic AS (SELECT cluster_id, support, topic_name, coalesce(raw, topic_name) AS raw_topic_name, list_slice(top, 1, 6) AS top_terms, list_slice({sql.once('everything')}, 1, 12) AS terms FROM dic2)"""
+_CLASSIFIED = f"""{_MODEL},
+fld AS (SELECT * FROM (SELECT doc_id, 1 AS f, 1.6::DOUBLE AS wt, substring(title, 1, 6000) AS x FROM d UNION ALL SELECT doc_id, 2, 1.0, substring(info, 1, 6000) FROM d UNION ALL SELECT doc_id, 3, 1.2, substring(text, 1, 6000) FROM d) WHERE x <> ''),
+act AS (SELECT doc_id, sum(wt) AS active, sum(wt) / 5.5::DOUBLE AS coverage, CAST(sum(len(x)) AS BIGINT) AS n, {sql.norm("string_agg(x, ' ' ORDER BY f)")} AS whole FROM fld GROUP BY 1),
+ftok AS (SELECT doc_id, f, unnest({sql.tokens('x')}) AS term FROM fld),
+fraw AS (SELECT doc_id, f, term, count(*) * any_value(idf) AS w FROM ftok JOIN voc USING (term) GROUP BY 1, 2, 3),
+fnm AS (SELECT doc_id, f, sqrt(sum(w * w)) AS l FROM fraw GROUP BY 1, 2),
+fcos AS (SELECT doc_id, f, cluster_id, sum(w / l * c.x) AS cos FROM fraw JOIN fnm USING (doc_id, f) JOIN pc c USING (term) GROUP BY 1, 2, 3),
+fs AS (SELECT fld.doc_id, fld.f, wt, dic.cluster_id, coalesce(cos, 0.0) AS cos, list_filter(terms, lambda w: contains(fld.x, w)) AS hit, len(terms) AS k FROM fld CROSS JOIN dic LEFT JOIN fcos ON fcos.doc_id = fld.doc_id AND fcos.f = fld.f AND fcos.cluster_id = dic.cluster_id),
+fd AS (SELECT doc_id, cluster_id, sum(wt * (cos + 0.10::DOUBLE * len(hit) / k)) / any_value(active) * (0.75::DOUBLE + 0.25::DOUBLE * any_value(coverage)) AS score, flatten(list(hit ORDER BY f)) AS found FROM fs JOIN act USING (doc_id) GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cluster_id DESC) AS rank FROM fd),
+tp3 AS (SELECT doc_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, max(score) FILTER (rank = 3) AS s3, max(cluster_id) FILTER (rank = 1) AS c1, max(cluster_id) FILTER (rank = 2) AS c2, any_value(found) FILTER (rank = 1) AS found FROM fr GROUP BY 1),
+bd AS (SELECT tp3.*, s1 - s2 AS margin, 1 / (1 + exp(s2 - s1) + exp(s3 - s1)) AS confidence, coverage, act.n, p.topic_name AS p1, q.topic_name AS p2, p.raw_topic_name AS r1, p.support, p.terms, len(list_filter(p.terms, lambda w: contains(whole, w)))::DOUBLE / len(p.terms) AS overlap, a.title, a.body, a.source, CASE WHEN len(a.text) = 0 THEN 'empty' ELSE 'ok' END AS ps
+  FROM tp3 JOIN act USING (doc_id) JOIN dic p ON p.cluster_id = c1 JOIN dic q ON q.cluster_id = c2 JOIN a ON a.doc_id = tp3.doc_id),
+z AS (SELECT *, p1 || ' ' || r1 AS names, concat_ws(' ', nullif(title, ''), nullif(body, ''), p1 || ' ' || r1) AS z FROM bd),
+y AS (SELECT *, {_SPLIT_LATIN} AS latin FROM z),
+x AS (SELECT *, [{', '.join(sql.rule(r, 'title', 'body', 'names', 'latin') for r in SPLIT_RULES)}] AS q FROM y),
+u AS (SELECT *, CASE WHEN list_max(q) > 0 THEN {sql.lit([r.name for r in SPLIT_RULES])}[list_position(q, list_max(q))] ELSE 'unsplit' END AS winner, {_DOMAIN} AS domain FROM x),
+b AS (SELECT *, CASE WHEN winner = 'government' THEN coalesce(domain, winner) ELSE winner END AS parent FROM u),
+rs AS (SELECT *, CASE WHEN margin >= 0.06 THEN '' WHEN p1 = p2 THEN 'same_prototype_family' WHEN s1 >= 0.45 AND margin >= 0.02 AND overlap >= 0.30 THEN 'rule_disambiguation' ELSE '' END AS resolved, s1 >= 0.30 AS rescue FROM b),
+st AS (SELECT *, CASE WHEN s1 < 0.35 AND rescue THEN 'assigned' WHEN s1 < 0.35 THEN 'unclassifiable' WHEN margin < 0.06 AND resolved = '' THEN 'multi_class' ELSE 'assigned' END AS status,
+  least(1.0, greatest(0.0, (CASE WHEN s1 < 0.35 AND rescue THEN 0.25 WHEN s1 < 0.35 THEN 0.55 WHEN margin < 0.06 AND resolved = '' THEN 0.35 ELSE 0.0 END)::DOUBLE
+  + CASE WHEN coverage < 0.45 THEN 0.20::DOUBLE * (0.45::DOUBLE - coverage) / 0.45::DOUBLE ELSE 0 END + CASE WHEN overlap < 0.30 THEN 0.20::DOUBLE * (0.30::DOUBLE - overlap) / 0.30::DOUBLE ELSE 0 END
+  + CASE WHEN margin < 0.08 THEN 0.25::DOUBLE * (0.08::DOUBLE - margin) / 0.08::DOUBLE ELSE 0 END + CASE WHEN confidence < 0.45 THEN 0.10::DOUBLE * (0.45::DOUBLE - confidence) / 0.45::DOUBLE ELSE 0 END
+  + (CASE WHEN n < 40 THEN 0.20 ELSE 0.0 END)::DOUBLE + (CASE WHEN ps <> 'ok' THEN 0.35 ELSE 0.0 END)::DOUBLE)) AS risk FROM rs),
+cl AS (SELECT doc_id, source AS dataset, parent, status, risk AS risk_score, CASE WHEN risk >= 0.65 THEN 'high' WHEN risk >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level, s1 AS top1_score, margin, confidence, CAST(risk >= 0.35 AS INTEGER) AS review_flag,
+  CAST(c1 AS BIGINT) AS cluster_id, p1, CAST(support AS BIGINT) AS support, overlap, coverage, found, terms FROM st)"""
+
+
+def model(spark, d):
+    """Prototypes from the documents that have a label: a topic for each language and quality."""
+    rows = docs(spark, d)
+    rows = rows.select("doc_id", features.analysis_text(rows, HINTS, True).alias("analysis_text"))
+    own = classify.last_of_each(table(spark, d, "labels"), "doc_id", "quality", "toxic").select("doc_id", "quality")
+    assigned = table(spark, d, "documents").join(own, "doc_id").select("doc_id", F.expr(_CLUSTER).cast("long").alias("cluster_id"))
+    summary = spark.createDataFrame(TOPICS, "cluster_id long, topic_name string, raw_topic_name string, top_terms string")
+    return proto.build(rows, assigned, summary, t.tokens, FLAT)
+
+
+def classified(spark, d):
+    rows = docs(spark, d)
+    return proto.classify_documents(model(spark, d), rows.withColumn("analysis_text", features.analysis_text(rows, HINTS, True)), RULES, t.tokens, FLAT)
+
+
+def classes(spark, d):
+    """Classified documents in the shape of the summaries."""
+    return classified(spark, d).select("doc_id", "dataset", F.col("topic_parent_name").alias("parent"), F.col("classification_status").alias("status"), "risk_score", "risk_level", "top1_score", F.col("score_margin").alias("margin"), F.col("confidence_score").alias("confidence"), "review_flag")
+
+
+@query(f"WITH {_MODEL} SELECT CAST(cluster_id AS BIGINT) AS cluster_id, topic_name, raw_topic_name, CAST(support AS BIGINT) AS support, CAST(len(terms) AS BIGINT) AS dictionary_size, array_to_string(top_terms, '、') AS top_terms, array_to_string(terms, '、') AS dictionary_terms FROM dic")
+def dictionary_rows(spark, d):
+    return proto.dictionary_rows(spark, model(spark, d))
+
+
+@query(f"WITH {_MODEL} SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) FILTER (x > 0) AS terms, round(sum(x), 6) AS total, round(max(x), 6) AS most FROM pc GROUP BY 1")
+def prototype_build(spark, d):
+    m = model(spark, d)
+    rows = [(p["cluster_id"], int((c > 0).sum()), round(float(c.sum()), 6), round(float(c.max()), 6)) for p, c in zip(m.prototypes, m.centroids, strict=True)]
+    return spark.createDataFrame(rows, "cluster_id long, terms long, total double, most double")
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT doc_id, dataset, cluster_id, p1 AS prototype, parent, support, status, risk_level, round(coverage, 6) AS coverage, round(top1_score, 6) AS top1_score, round(margin, 6) AS margin, round(confidence, 6) AS confidence, round(overlap, 6) AS overlap, round(risk_score, 6) AS risk_score,
+  array_to_string(list_slice({sql.once('(CASE WHEN len(found) > 0 THEN found ELSE list_slice(terms, 1, 6) END)')}, 1, 6), '、') AS evidence FROM cl""")
+def classify_documents(spark, d):
+    six = lambda c, n: F.round(c, 6).alias(n)
+    return classified(spark, d).select(
+        "doc_id", "dataset", F.col("topic_cluster_id").alias("cluster_id"), F.col("topic_prototype_name").alias("prototype"), F.col("topic_parent_name").alias("parent"), F.col("topic_support").alias("support"), F.col("classification_status").alias("status"), "risk_level",
+        six("field_coverage", "coverage"), six("top1_score", "top1_score"), six("score_margin", "margin"), six("confidence_score", "confidence"), six("top1_dictionary_overlap", "overlap"), six("risk_score", "risk_score"), F.col("evidence_terms").alias("evidence"),
+    )
+
+
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, status FROM cl")
 def margin_status(spark, d):
-    return classified(spark, d).select("doc_id", "status")
+    return classes(spark, d).select("doc_id", "status")
 
 
-@query(f"WITH {_TOP} SELECT doc_id, round(risk_score, 6) AS risk_score, risk_level FROM cl")
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, round(risk_score, 6) AS risk_score, risk_level FROM cl")
 def risk_score(spark, d):
-    return classified(spark, d).select("doc_id", F.round("risk_score", 6).alias("risk_score"), "risk_level")
+    return classes(spark, d).select("doc_id", F.round("risk_score", 6).alias("risk_score"), "risk_level")
 
 
 _SUMMARY = "count(*) AS document_count, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}_count" for s in ("assigned", "multi_class", "unclassifiable")) + ", count(*) FILTER (risk_level = 'high') AS high_risk_count, count(*) FILTER (risk_level = 'medium') AS medium_risk_count, count(*) FILTER (risk_level = 'low') AS low_risk_count, CAST(sum(review_flag) AS BIGINT) AS review_count, round(sum(review_flag)::DOUBLE / count(*), 6) AS review_rate, " + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in ("top1_score", "margin", "confidence", "risk_score"))
 
 
-@query(f"WITH {_TOP} SELECT dataset, parent, {_SUMMARY} FROM cl GROUP BY ALL")
+@query(f"WITH {_CLASSIFIED} SELECT dataset, parent, {_SUMMARY} FROM cl GROUP BY ALL")
 def classification_summary(spark, d):
-    return classify.summarize(classified(spark, d), "dataset", "parent")
+    return classify.summarize(classes(spark, d), "dataset", "parent")
 
 
-@query(f"WITH {_TOP} SELECT {_SUMMARY} FROM cl")
+@query(f"WITH {_CLASSIFIED} SELECT {_SUMMARY} FROM cl")
 def classification_meta(spark, d):
-    return classify.summarize(classified(spark, d))
+    return classify.summarize(classes(spark, d))
 
 
-@query(f"WITH {_TOP} SELECT doc_id, risk_level, CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS review_priority, round(risk_score, 6) AS risk_score FROM cl WHERE review_flag = 1")
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, risk_level, CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS review_priority, round(risk_score, 6) AS risk_score FROM cl WHERE review_flag = 1")
 def review_queue(spark, d):
-    return classify.review_queue(classified(spark, d)).select("doc_id", "risk_level", "review_priority", F.round("risk_score", 6).alias("risk_score"))
+    return classify.review_queue(classes(spark, d)).select("doc_id", "risk_level", "review_priority", F.round("risk_score", 6).alias("risk_score"))
 
 
 # ---- topics
@@ -547,7 +630,7 @@ tt AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, te
 
 
 def source_terms(spark, d, k=10):
-    rows = table(spark, d, "documents").filter(F.length("text") >= 80)
+    rows = texts(spark, d).filter(F.length("text") >= 80)
     weights = topics.tfidf(rows, "doc_id", topics.default_tokens("text")).join(rows.select("doc_id", "source"), "doc_id")
     return topics.top_terms(weights, "source", rows.groupBy("source").agg(F.count(F.lit(1)).alias("size")), k)
 
@@ -582,12 +665,6 @@ def representatives(spark, d):
     return topics.representatives(distances(spark, d), "label", "dist", "vec_id").select("label", "vec_id", long("rank").alias("rank"))
 
 
-@query("SELECT label, size, terms FROM (SELECT label, count(*) AS size, string_agg(CAST(vec_id AS VARCHAR), '、' ORDER BY vec_id) AS terms FROM embeddings WHERE vec_id < 200 GROUP BY 1)")
-def dictionary_rows(spark, d):
-    rows = table(spark, d, "embeddings").filter("vec_id < 200").groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("vec_id")).alias("x"))
-    return rows.select("label", "size", F.array_join(F.transform("x", lambda e: e.cast("string")), "、").alias("terms"))
-
-
 # ---- reviews
 
 _LATEST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"

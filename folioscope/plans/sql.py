@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscope.functions import lexicons
 from folioscope.functions import text as t
 
 
@@ -26,6 +27,19 @@ def hits(x: str, words, any_case: bool = False) -> str:
     return f"len({contained(x, words, any_case)})"
 
 
+def tokens(x: str) -> str:
+    return rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: regexp_matches(w, '[a-z]|[\x{{4e00}}-\x{{9fff}}]'))"
+
+
+def split_terms(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '[、,，;；/|\\{t.SPACE}]+'), lambda x: x <> '')"
+
+
+def once(x: str) -> str:
+    """Each element of a list at its first place."""
+    return f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+
+
 def count(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
 
@@ -50,8 +64,8 @@ def template(y: str, hints) -> str:
     n = hits(y, hints)
     return (
         rf"({y} = '' OR regexp_matches({y}, '(?i)^(?:https?://|www\.)\S+$') OR regexp_matches({y}, '^[^@\s]+@[^@\s]+\.[^@\s]+$')"
-        rf" OR regexp_matches({y}, '^(?:发布者|发布时间|来源|作者|记者|通讯员|原文链接|网址|URL|地址|电话|邮箱|传真)[:：]') OR (len({y}) <= 2 AND NOT regexp_matches({y}, '[\x{{4e00}}-\x{{9fff}}A-Za-z]'))"
-        rf" OR (len({y}) <= 24 AND regexp_matches({y}, '^[\s·|/\\\-_=—….\dA-Za-z]*$')) OR {n} >= 2 OR ({n} >= 1 AND len({y}) <= 20 AND NOT regexp_matches({y}, '[\x{{4e00}}-\x{{9fff}}]{{4,}}')))"
+        rf" OR regexp_matches({y}, '^(?:{'|'.join(lexicons.META_PREFIXES)})[:：]') OR (len({y}) <= 2 AND NOT regexp_matches({y}, '[\x{{4e00}}-\x{{9fff}}A-Za-z]'))"
+        rf" OR (len({y}) <= 24 AND regexp_matches({y}, '^{lexicons.MARKS_ONLY}*$')) OR {n} >= 2 OR ({n} >= 1 AND len({y}) <= 20 AND NOT regexp_matches({y}, '[\x{{4e00}}-\x{{9fff}}]{{4,}}')))"
     )
 
 

@@ -5,8 +5,10 @@ each, the increasing list of positions at which it occurs. Positions run through
 documents with one free position between neighbours, so no phrase can cross documents. The index
 is stored; any number of searches read it.
 
-Search: each phrase of a benchmark item is looked up in each shard. A phrase with a word that the shard lacks
-is done. Otherwise the lists are intersected, offset by the word's place in the phrase, from the rarest word on.
+Search: each phrase of a benchmark item is looked up in each shard. A phrase with a word that the shard lacks, or with
+two neighbours that it never has side by side, is done; this is told for a whole block of the benchmark at once. For the others the lists are
+intersected, offset by the word's place in the phrase, from the rarest word on. A large benchmark is searched block by block: neither
+the driver nor a task ever holds more than one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes, text_key
 
 #: Bytes of benchmark text sent to every task at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Neighbouring words of a shard are marked in a table of so many places (a power of two); a mark by chance costs an intersection.
+PAIRS_BITS = 23
 WINDOW = 10
 
 #: Words are runs of digits, letters a-z (after lower-casing) and all bytes of non-ASCII characters.
@@ -72,6 +76,7 @@ class _Shard:
         self.postings = np.cumsum(np.frombuffer(row["postings"], np.int32), dtype=np.int32)
         self.n_words = np.array(row["n_words"], np.int32)
         self.first = np.cumsum(self.n_words + 1, dtype=np.int64) - self.n_words - 1
+        self.pairs: np.ndarray | None = None
 
     def list_of(self, term: int) -> np.ndarray:
         return self.postings[self.ends[term - 1] if term else 0 : self.ends[term]]
@@ -79,6 +84,20 @@ class _Shard:
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, side="right") - 1
 
+    def side_by_side(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether each pair of terms (-1: none) may be neighbours somewhere. All that are, are told so."""
+        if self.pairs is None:
+            sequence = np.full(int(self.n_words.sum()) + len(self.n_words) + 1, -1, np.int64)
+            sequence[self.postings] = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+            self.pairs = np.zeros(1 << PAIRS_BITS, bool)
+            self.pairs[self._place(sequence[:-1], sequence[1:])] = True
+        return (one >= 0) & (two >= 0) & self.pairs[self._place(one, two)]
+
+    @staticmethod
+    def _place(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        mixed = (one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - PAIRS_BITS)).astype(np.int64)
+
     def phrase(self, terms: list[int]) -> np.ndarray:
         """Places at which the phrase begins."""
         lists = sorted(((self.list_of(t), k) for k, t in enumerate(terms)), key=lambda x: len(x[0]))
@@ -105,43 +124,64 @@ class _Shard:
         return start[ok], end[ok] + 1
 
 
-def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
-    """All runs of n consecutive words; the whole, if it is shorter but not empty."""
-    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
-
+class Phrases:
+    """The phrases of one block of the benchmark, as arrays: all runs of ``window`` consecutive words of each item; the whole item, if it is shorter but not empty."""
 
-def _search(blocks: list[tuple[str, list[bytes]]], window: int):
-    phrases: dict[tuple[bytes, ...], set[str]] = {}
-    for item, words in blocks:
-        for w in windows_of(words, window):
-            phrases.setdefault(w, set()).add(item)
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        self.names = [name for name, words in items if words]
+        sizes = np.array([len(words) for _, words in items if words], np.int64)
+        self.tokens = np.fromiter((ids[w] for _, words in items for w in words), np.int32, int(sizes.sum()))
+        self.words = list(ids)
+        count = np.maximum(1, sizes - window + 1)
+        self.item = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
+        self.start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(sizes) - sizes, count)
+        self.size = np.repeat(np.minimum(sizes, window), count)
+
+    def possible(self, shard: _Shard) -> tuple[np.ndarray, np.ndarray]:
+        """The shard's number of each token (-1: the shard lacks it), and the phrases whose words it has, neighbours side by side."""
+        here = np.fromiter((shard.terms.get(w, -1) for w in self.words), np.int64, len(self.words))[self.tokens]
+        lacking = np.concatenate([[0], np.cumsum(here < 0)])
+        apart = np.concatenate([[0], np.cumsum(~shard.side_by_side(here[:-1], here[1:]))]) if len(here) > 1 else np.zeros(1, np.int64)
+        end = self.start + self.size
+        whole = lacking[end] == lacking[self.start]
+        pairs = apart[np.minimum(end - 1, len(apart) - 1)] == apart[np.minimum(self.start, len(apart) - 1)]
+        return here, np.flatnonzero(whole & (pairs | (self.size == 1)))
+
+
+def _search(items: list[tuple[str, list[bytes]]], window: int, all_rows: bool):
+    """Rows of the index -> a row for each document; without all_rows, for documents with a hit only."""
+    phrases = Phrases(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard, items = _Shard(row), defaultdict(set)
+                shard, found = _Shard(row), defaultdict(set)
                 cover = np.zeros(int(shard.n_words.sum()) + len(shard.n_words) + 1, np.int32)
-                for phrase, of in phrases.items():
-                    terms = [shard.terms.get(w) for w in phrase]
-                    if None in terms:
-                        continue
-                    at = shard.phrase(terms)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + len(phrase), -1)
-                    for d in np.unique(shard.doc_of(at)).tolist():
-                        items[d] |= of
+                here, possible = phrases.possible(shard)
+                known: dict[bytes, tuple[np.ndarray, list[int]]] = {}
+                for p in possible.tolist():
+                    terms = here[phrases.start[p] : phrases.start[p] + phrases.size[p]]
+                    if (key := terms.tobytes()) not in known:
+                        at = shard.phrase(terms.tolist())
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + len(terms), -1)
+                        known[key] = at, np.unique(shard.doc_of(at)).tolist()
+                    for d in known[key][1]:
+                        found[d].add(phrases.names[phrases.item[p]])
                 hit = np.cumsum(cover) > 0
                 edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
                 spans = defaultdict(lambda: ([], []))
                 for a, b, d in zip(edge[::2].tolist(), edge[1::2].tolist(), shard.doc_of(edge[::2]).tolist(), strict=True):
                     spans[d][0].append(a - int(shard.first[d]))
                     spans[d][1].append(b - int(shard.first[d]))
-                n = len(row["doc_ids"])
-                none = ([], [])
+                told, none = list(range(len(row["doc_ids"]))) if all_rows else sorted(spans), ([], [])
+                pick = lambda c: [row[c][d] for d in told]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["shard"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()), pa.array(row["n_words"], pa.int64()),
-                        *(pa.array([spans.get(d, none)[k] for d in range(n)], pa.list_(pa.int32())) for k in (0, 1)), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                        pa.array([row["shard"]] * len(told), pa.int64()), pa.array(told, pa.int32()), pa.array(pick("doc_ids"), pa.int64()), pa.array(pick("text_keys"), pa.int64()), pa.array(pick("n_words"), pa.int64()),
+                        *(pa.array([spans.get(d, none)[k] for d in told], pa.list_(pa.int32())) for k in (0, 1)), pa.array([sorted(found.get(d, ())) for d in told], pa.list_(pa.string())),
                     ],
                     ["shard", "ord", "doc_id", "text_key", "n_words", "starts", "ends", "items"],
                 )
@@ -149,36 +189,45 @@ def _search(blocks: list[tuple[str, list[bytes]]], window: int):
     return run
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark in blocks of about ``limit`` bytes."""
+def _blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    """How many blocks of about ``limit`` bytes the benchmark has (one item at least each), and these, one after the other."""
     rows = bench.select(F.coalesce(bench[id_col].cast("string"), F.lit("")).alias("item"), F.coalesce(bench[text_col], F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
     n = size // limit + 1
-    for k in range(n):
+
+    def block(k: int) -> list[tuple[str, list[bytes]]]:
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], split_words(r["text"].encode())) for r in part.collect()]
+        return [(r["item"], split_words(r["text"].encode())) for r in part.collect()]
+
+    return n, (block(k) for k in range(n))
 
 
-def search_phrases(index: DataFrame, bench: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search_phrases(index: DataFrame, bench: DataFrame, scratch: Scratch, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per indexed document: doc_id, text_key, n_words, the merged runs of words hit [starts, ends), and the items found.
 
     An item is found where any of its windows (``window`` consecutive words; the whole item if it has fewer) occurs.
     Items without words are never found. Null item ids count as the empty text; items that share an id are one."""
-    parts = [index.mapInArrow(_search(block, window), _FOUND) for block in _blocks(bench, item_col, item_text, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].drop("shard", "ord")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    n, blocks = _blocks(bench, item_col, item_text, block_bytes)
+    if n == 1:
+        return index.mapInArrow(_search(next(blocks), window, True), _FOUND).drop("shard", "ord")
+    hits = None
+    for block in blocks:  # each is searched and its hits are stored before the next one is fetched
+        own = scratch.save(index.mapInArrow(_search(block, window, False), _FOUND).select("shard", "ord", "starts", "ends", "items"), "hits")
+        hits = own if hits is None else hits.unionByName(own)
     runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
         runs, F.expr("array()").cast("array<struct<starts:int,ends:int>>"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= r["starts"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], r["ends"]).alias("ends")))))
+        lambda acc, r: F.when((F.size(acc) > 0) & (last(acc)["ends"] >= r["starts"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["starts"].alias("starts"), F.greatest(last(acc)["ends"], r["ends"]).alias("ends")))))
         .otherwise(F.concat(acc, F.array(F.struct(r["starts"].alias("starts"), r["ends"].alias("ends"))))),
     )
-    union = union.groupBy("shard", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), merged.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return union.select("doc_id", "text_key", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
+    hits = hits.groupBy("shard", "ord").agg(merged.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = scratch.save(hits.select(F.col("shard").alias("s"), F.col("ord").alias("o"), F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items"), "all-hits")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("ord", "d")).select("shard", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").cast("long").alias("n_words"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    both = rows.join(hits, (F.col("shard") == F.col("s")) & (F.col("ord") == F.col("o")), "left")
+    return both.select("doc_id", "text_key", "n_words", none("starts", "int"), none("ends", "int"), none("items", "string"))
 
 
 def search_near(index: DataFrame, queries: list[tuple[str, str]], span: int) -> DataFrame:
@@ -202,16 +251,18 @@ def search_near(index: DataFrame, queries: list[tuple[str, str]], span: int) ->
     return index.mapInArrow(run, "doc_id long, query string, start int, end int")
 
 
-def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row, as search_phrases gives it. An empty table gives an empty result; an empty benchmark hits nothing."""
-    scratch = Scratch(df.sparkSession, "decontamination")
-    return search_phrases(build_index(df, scratch, id_col, text_col), bench, item_col, item_text, window, block_bytes)
+    scratch = scratch or Scratch(df.sparkSession, "decontamination")
+    return search_phrases(build_index(df, scratch, id_col, text_col), bench, scratch, item_col, item_text, window, block_bytes)
 
 
 def drop_contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df without any hit; all columns stay, under whatever names. Rows are found again by doc_id and a hash of the text, so rows repeated
     as a whole stay or go together. Null and empty texts stay; an empty table gives an empty result, an empty benchmark drops nothing."""
-    scratch = Scratch(df.sparkSession, "decontamination-filter")
-    bad = contamination(df, bench, id_col, text_col, **options).filter(F.size("items") > 0)
+    scratch = Scratch(df.sparkSession, "decontamination")
+    bad = contamination(df, bench, id_col, text_col, **options, scratch=scratch).filter(F.size("items") > 0)
     rows = bad.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.lit(False).alias("kept"))
-    return drop_rows(df, id_col, text_key(df[text_col]), rows, scratch)
+    out = drop_rows(df, id_col, text_key(df[text_col]), rows, Scratch(df.sparkSession, "decontamination-filter"))
+    scratch.close()
+    return out

@@ -22,8 +22,12 @@ def sample_labels(labels: DataFrame, keep: Column, id_col: str, label_col: str,
 
 
 def labelled_texts(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
-    """(id, the named columns of chosen, text) of the chosen ids; null texts are empty. Of several rows with one id the least text is taken, so the sample's bound holds."""
+    """(id, the named columns of chosen, text) of the chosen ids; null texts are empty. Of several rows with one id the least text is taken, so the sample's bound
+    holds; texts are only shuffled if there are such rows."""
+    ids = df.select(df[id_col].alias("id")).join(F.broadcast(chosen.select("id")), "id")
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    if ids.groupBy("id").count().filter("count > 1").isEmpty():
+        return rows.select("id", *columns, "text")
     return rows.groupBy("id").agg(*(F.min(c).alias(c) for c in (*columns, "text")))
 
 

@@ -218,7 +218,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def quality_score(text: Column, network: Network) -> Column:
-    return text_scores(text, lambda texts: network.score(*encode(texts)), 2 << 20)
+    return text_scores(text, lambda texts: network.score(*encode(texts)), PIECE)
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:

@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python at once, where the session has Spark's own setting.
+BATCH = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts are bounded by bytes, not by 10,000 rows alone. A setting of the session's own stays."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, BATCH)
+
+
 class Scratch:
     """Work tables of one operator call, as Parquet in the shared folder.
 
@@ -35,6 +46,7 @@ class Scratch:
     Tables are deleted by ``drop`` once nothing reads them, the rest when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.at, self.numbers = spark, f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}", count()
         atexit.register(self.close)
 

@@ -32,7 +32,9 @@ from folioscope.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 200, 64
 #: Different contexts of an anchor beyond which it is made longer.
-CROWD = 1024
+CROWD = 4096
+#: Contexts of crowds are asked for by sending their places to every task, up to so many (some 60 MB).
+SENT = 1_000_000
 #: Bytes of contexts that one suffix array holds (more only if a single anchor has more).
 ARRAY_BYTES = 1 << 20
 
@@ -329,7 +331,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_anchor = cut.filter(~F.col("crowded")).select("h", "doc_id", "text_key", "single", "span", "bytes")
     found = [copies.join(key, "rid").select("doc_id", "text_key", "span")]
     if not open_.filter("crowded").isEmpty():
-        few = asked.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0)
+        few = scratch.save(asked.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0), "asked-of-crowds")
+        if (few.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= SENT:  # then texts aren't shuffled once more
+            few = F.broadcast(few)
         crowd = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
         more, parts = _parted(scratch.save(crowd.withColumns({"at": F.lit(0), "width": F.lit(0)}), "crowd"), scratch, length, gram, crowd_size)
         found += more

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import crc_mod, fresh, text_batches
+from folioscope.llm.shared import bound_batches, crc_mod, fresh, text_batches
 
 DIMENSIONS, ORDER, SEED = 1024, 3, 20_011
 NO_LANGUAGE = "und"
+#: Bytes of text that are bundled at once.
+SLICE = 2 << 20
 #: Direct tables are used for up to so many letter trigrams, sorting beyond.
 TABLE = 1 << 22
 
@@ -40,35 +42,38 @@ def _bmp_letters() -> np.ndarray:
 
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of lower-cased letters, each run of other characters (and each text's border) as one 0, and the text of each."""
-    codes = np.frombuffer("\0".join(["", *(t.lower() for t in texts), ""]).encode("utf-32-le", "replace"), np.uint32)
+    texts = [t.lower() for t in texts]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     letter = _bmp_letters()[np.minimum(codes, 0xFFFF)]
     for c in np.unique(codes[codes > 0xFFFF]).tolist():
         letter[codes == c] = chr(c).isalpha()
-    lengths = np.array([len(t.lower()) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts) + 1), np.append(lengths + 1, 1))
+    owner = np.repeat(np.arange(len(texts) + 1, dtype=np.int32), np.append(lengths + 1, 1))
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]  # a gap stays at its first character
-    return np.where(letter, codes, 0)[keep], owner[keep]
+    return np.where(letter[keep], codes[keep], 0).astype(np.uint32), owner[keep]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams (rows of three code points); for each trigram read, its number and its text."""
     codes, owner = letter_runs(texts)
-    alphabet, ids = np.unique(codes, return_inverse=True)
-    k = len(alphabet)
-    if len(ids) < ORDER:
-        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = (ids[:-2].astype(np.int64) * k + ids[1:-1]) * k + ids[2:]
-    middle = codes[1:-1] != 0  # a trigram with a gap in its middle spans two words
-    key, of = key[middle], owner[1:-1][middle]
+    if len(codes) < ORDER:
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    alphabet = np.flatnonzero(np.bincount(codes)).astype(np.uint32)  # at most 0x110000 code points
+    place = np.zeros(int(alphabet[-1]) + 1, np.int32)
+    place[alphabet] = np.arange(len(alphabet))
+    k, ids = len(alphabet), place[codes]
+    middle = np.flatnonzero(codes[1:-1] != 0)  # a trigram with a gap in its middle spans two words
+    of = owner[1:-1][middle]
     if k**3 <= TABLE:
+        key = (ids[middle] * np.int32(k) + ids[middle + 1]) * np.int32(k) + ids[middle + 2]
         seen = np.flatnonzero(np.bincount(key, minlength=1))
-        number = np.zeros(k**3, np.int64)
+        number = np.zeros(k**3, np.int32)
         number[seen] = np.arange(len(seen))
         at = number[key]
     else:
-        seen, at = np.unique(key, return_inverse=True)
+        seen, at = np.unique((ids[middle].astype(np.int64) * k + ids[middle + 1]) * k + ids[middle + 2], return_inverse=True)
     return np.stack([alphabet[seen // (k * k)], alphabet[seen // k % k], alphabet[seen % k]], axis=1), at, of
 
 
@@ -88,11 +93,11 @@ def bundle(texts: list[str], dims: int) -> np.ndarray:
     grams, at, of = trigrams(texts)
     vectors = bind(grams, dims)
     out = np.zeros((len(texts), dims), np.float32)
-    step = max(1, (1 << 23) // max(len(grams), 1))
+    step = max(1, (1 << 21) // max(len(grams), 1))
     for a in range(0, len(texts), step):
         lo, hi = np.searchsorted(of, [a, a + step])
         n = min(step, len(texts) - a)
-        counts = np.bincount((of[lo:hi] - a) * len(grams) + at[lo:hi], minlength=n * len(grams)).astype(np.float32)
+        counts = np.bincount((of[lo:hi] - a).astype(np.int64) * len(grams) + at[lo:hi], minlength=n * len(grams)).astype(np.float32)
         out[a : a + n] = counts.reshape(n, len(grams)) @ vectors
     return out
 
@@ -104,7 +109,7 @@ def _texts(column: pa.Array) -> list[str]:
 def _bundle_labels(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, limit=SLICE):
             texts, langs = _texts(batch.column(0)), batch.column(1).to_pylist()
             grams, at, of = trigrams(texts)
             if not len(grams):
@@ -123,6 +128,7 @@ def _bundle_labels(dims: int):
 
 def learn_prototypes(df: DataFrame, text_col: str = "text", label_col: str = "lang", dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """A prototype for each label that isn't null, from all rows of df; each text weighs the same. One row per label and dimension comes to the driver."""
+    bound_batches(df.sparkSession)
     rows = df.filter(df[label_col].isNotNull() & df[text_col].isNotNull()).select(df[text_col].alias("text"), df[label_col].cast("string").alias("lang"))
     sums = rows.mapInArrow(_bundle_labels(dims), "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).collect()
     out: dict[str, np.ndarray] = {}
@@ -147,7 +153,7 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], dims: int = DIMENSI
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             langs, scores, cosines = [], [], []
-            for part in text_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+            for part in text_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=SLICE):
                 texts = _texts(part.column(0))
                 x = bundle(texts, dims)
                 size = np.linalg.norm(x, axis=1)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as v
 
-#: Prototypes sent to every task: at most so many; the fit's k is 160. More are joined in blocks of this size.
-PROTOTYPE_LIMIT = 10_000
+#: Prototypes sent to every task: at most so many, with so many bytes of vectors; the fit's k is 160. More are refused.
+PROTOTYPE_LIMIT, PROTOTYPE_BYTES = 10_000, 256 << 20
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,9 @@ def top_prototypes(vectors: DataFrame, prototypes: DataFrame, key: str, vector:
     """(key, cluster_id, score, rank): the k prototypes of the highest cosine for each row; of equal ones the larger id.
 
     The prototypes travel as one literal-sized array per task (their number is checked), and each row ranks them by itself: no row is multiplied and nothing is shuffled."""
-    n = prototypes.count()
-    if n > PROTOTYPE_LIMIT:
-        raise ValueError(f"{n} prototypes; at most {PROTOTYPE_LIMIT} can be sent to every task")
+    n, numbers = prototypes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()
+    if n > PROTOTYPE_LIMIT or 8 * numbers > PROTOTYPE_BYTES:
+        raise ValueError(f"{n} prototypes of {8 * numbers} bytes; at most {PROTOTYPE_LIMIT} of {PROTOTYPE_BYTES} bytes can be sent to every task")
     packed = F.broadcast(prototypes.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("all")))
     unit = vectors.select(F.col(key), v.unit(v.doubles(F.col(vector))).alias("x")).join(packed)
     scored = F.transform("all", lambda p: F.struct(v.dot(F.col("x"), p["centroid"]).alias("score"), p["cluster_id"].alias("cluster_id")))
@@ -138,3 +138,18 @@ def last_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key in that order: what a lookup map built row by row would hold."""
     w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def meta(rows: DataFrame) -> DataFrame:
+    """One row with one JSON text: numbers of documents and of those to review, and counts by dataset, status, risk and decision. rows: dataset, status, risk_level, review_flag.
+    Rows are read once, into a small table of combinations."""
+    kinds = {"by_dataset": F.col("dataset"), "status_counts": F.col("status"), "risk_counts": F.col("risk_level"), "decision_counts": decision(F.col("risk_level"))}
+    small = rows.groupBy("dataset", "status", "risk_level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_flag") == 1).alias("flagged"))
+    told = F.array(F.struct(F.lit("").alias("kind"), F.lit("total_documents").alias("k"), F.col("n").alias("n")), F.struct(F.lit(""), F.lit("review_count"), F.col("flagged")), *(F.struct(F.lit(name), F.coalesce(c, F.lit("")), F.col("n")) for name, c in kinds.items()))
+    sums = small.select(F.explode(told).alias("x")).groupBy("x.kind", "x.k").agg(F.sum("x.n").alias("n"))
+    maps = sums.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m"))
+    of = maps.agg(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("all"))
+    whole = F.try_element_at(F.col("all"), F.lit(""))
+    number = lambda c: F.coalesce(F.try_element_at(whole, F.lit(c)), F.lit(0)).alias(c)
+    counts = (F.coalesce(F.try_element_at(F.col("all"), F.lit(k)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias(k) for k in kinds)
+    return of.select(F.to_json(F.struct(number("total_documents"), number("review_count"), *counts)).alias("meta"))

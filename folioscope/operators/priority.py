@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import lexicons
+from folioscope.functions import display, lexicons
 from folioscope.functions import text as t
 from folioscope.operators import views
 from folioscope.operators.classify import level
@@ -163,3 +163,50 @@ def audit_sample(rows: DataFrame, key: str, buckets: dict[str, tuple[Column, int
     drawn = flat.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("draw", key))).filter("n <= quota")
     found = drawn.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bucket"))), lambda x: x["bucket"]).alias("all"))
     return found.select(key, F.array_join("all", ";").alias("audit_bucket"), F.element_at("all", 1).alias("primary_audit_bucket"))
+
+
+# Topics that count as one bucket, and the names that a status gives.
+EDUCATION_TOPICS = ("院校概况类", "科研项目类", "校园活动类", "论文期刊类", "招生学位类", "教务培养类", "国际合作类", "科研创新类")
+OPEN_TOPIC = "综合待判别类"
+STATUS_TOPICS = {"unclassifiable": "无法归类", "noise": "噪声无效", "uncertain": "暂不确定"}
+EVALUABLE = ("confirmed", "noise", "uncertain", "unclassifiable")
+# End of fixed values.
+
+
+def original_bucket(topic: Column, own: Sequence[str] = EDUCATION_TOPICS, open_topic: str = OPEN_TOPIC) -> Column:
+    return F.when(topic == open_topic, "综合待判别").when(topic.isin(*own), "教育科研原类").otherwise("其他原类")
+
+
+def final_bucket(topic: Column, original: Column, own: Sequence[str] = EDUCATION_TOPICS) -> Column:
+    """Noise, unsure and unclassifiable by their names, then the same topic as before, then one of the own topics, then any other."""
+    out = F.when(topic == STATUS_TOPICS["noise"], "噪声无效").when(topic == STATUS_TOPICS["uncertain"], "暂不确定").when(topic == STATUS_TOPICS["unclassifiable"], "无法归类")
+    return out.when(topic.eqNullSafe(original), "保持原类").when(topic.isin(*own), "教育科研细类").otherwise("其他业务类")
+
+
+def transition_matrix(reviews: DataFrame, own: Sequence[str] = EDUCATION_TOPICS, open_topic: str = OPEN_TOPIC) -> DataFrame:
+    """Reviewed documents by original bucket (rows) and final bucket (columns). reviews: manual_status, original_topic, final_topic; other statuses than the four that tell a result are left out."""
+    columns = ["噪声无效", "暂不确定", "无法归类", "教育科研细类", "其他业务类", "保持原类"]
+    rows = reviews.filter(F.col("manual_status").isin(*EVALUABLE))
+    rows = rows.select(original_bucket(F.col("original_topic"), own, open_topic).alias("original"), final_bucket(F.col("final_topic"), F.col("original_topic"), own).alias("final"))
+    return rows.groupBy("original").pivot("final", columns).agg(F.count(F.lit(1))).fillna(0)
+
+
+def review_action(rows: DataFrame, status: Column, at: Column, final_topic: Column | None = None, note: Column | None = None, operator: Column | None = None) -> DataFrame:
+    """Log rows for review actions. rows: doc_id, topic_name. A quick action has neither topic nor note: it keeps the topic unless its status names one."""
+    topic = F.coalesce("topic_name", F.lit(""))
+    wanted = topic if final_topic is None else F.coalesce(F.nullif(final_topic, F.lit("")), topic)
+    named = {k: v for k, v in STATUS_TOPICS.items() if final_topic is not None or k != "uncertain"}
+    for k, v in named.items():
+        wanted = F.when(status == k, F.lit(v)).otherwise(wanted)
+    told = note if note is not None else F.concat(F.lit("快速处理："), display.label(status))
+    return rows.select("doc_id", status.alias("status"), topic.alias("original_topic"), wanted.alias("final_topic"), told.alias("note"), (operator if operator is not None else F.lit("reviewer")).alias("operator"), at.alias("updated_at"))
+
+
+def review_inputs(classified: DataFrame, parsed: DataFrame, features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Classified documents with their parsed text (column analysis_text) and feature row; without a parsed row the title is the text. The right sides have one row a document."""
+    sides = [x.withColumnRenamed(key, fresh_) for x, fresh_ in ((parsed, "__p"), (features, "__f"))]
+    both = classified.join(sides[0].select("__p", F.col("analysis_text").alias("__text")), classified[key] == F.col("__p"), "left")
+    text = F.when(F.col("__p").isNull(), F.coalesce("title", F.lit(""))).otherwise(F.col("__text")).alias("analysis_text")
+    own = [c for c in features.columns if c != key and c not in classified.columns and c != "analysis_text"]
+    both = both.join(sides[1].select("__f", *own), both[key] == F.col("__f"), "left")
+    return both.select(*(c for c in classified.columns if c != "analysis_text"), text, *own)

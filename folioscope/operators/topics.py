@@ -158,3 +158,27 @@ def choose_k(df: DataFrame, config: TopicConfig = TopicConfig()) -> tuple[int, d
 
 def default_tokens(column: str, config: TopicConfig = TopicConfig()) -> Column:
     return t.tokens(F.col(column), config.stopwords)
+
+
+def family_rollup(summary: DataFrame, families: int = 8, terms: int = 3) -> DataFrame:
+    """(family, size, mean_confidence, terms): the largest families with their terms of the largest summed size. summary: family, size, confidence, top_terms (joined by 、)."""
+    sizes = summary.groupBy("family").agg(F.sum("size").alias("size"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    top = sizes.orderBy(F.desc("size"), "family").limit(families)
+    words = F.filter(F.transform(F.split(F.replace("top_terms", F.lit("，"), F.lit("、")), "、"), t.strip), lambda x: x != "")
+    counts = summary.select("family", "size", F.explode(words).alias("term")).groupBy("family", "term").agg(F.sum("size").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n"), "term"))
+    best = counts.join(F.broadcast(top.select("family")), "family").withColumn("rank", rank).filter(F.col("rank") <= terms)
+    told = best.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "、").alias("terms"))
+    return top.join(told, "family", "left").select("family", "size", "mean_confidence", F.coalesce("terms", F.lit("")).alias("terms"))
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str, most: int = 1000, seed: str = "silhouette") -> DataFrame:
+    """One row: the mean Euclidean silhouette of a sample of at most ``most`` rows, drawn by a hash of their keys. A member alone in its cluster counts 0. The sample meets itself, so its size is squared."""
+    some = df.withColumn("__draw", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))).orderBy("__draw", key).limit(most)
+    some = some.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("x"))
+    other = F.broadcast(some.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("x").alias("x2")))
+    pairs = some.join(other, F.col("k") != F.col("k2"))
+    gap = F.sqrt(F.aggregate(F.zip_with("x", "x2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    means = pairs.groupBy("k", "c", "c2").agg(F.avg(gap).alias("d"))
+    by = means.groupBy("k", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
+    return by.agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))

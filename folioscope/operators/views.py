@@ -37,10 +37,12 @@ def merge_left(left: DataFrame, right: DataFrame, key: str, precedence_blank: bo
 
 
 def matches(filters: Mapping[str, object], least: Mapping[str, float] | None = None, most: Mapping[str, float] | None = None) -> Column:
-    """Equalities, lower and upper bounds together; a blank value filters nothing, text that isn't a number counts as 0."""
+    """Equalities (or membership, for a list or set of values), lower and upper bounds together; a blank value filters nothing, text that isn't a number counts as 0."""
     out = F.lit(True)
     for c, v in filters.items():
-        if v not in (None, ""):
+        if isinstance(v, (list, tuple, set, frozenset)):
+            out = out & F.col(c).cast("string").isin(*map(str, v))
+        elif v not in (None, ""):
             out = out & (F.col(c).cast("string") == str(v))
     for c, v in (least or {}).items():
         out = out & (t.safe_double(F.col(c)) >= v)
@@ -108,3 +110,72 @@ def before_after(before: DataFrame, after: DataFrame, metric: str, value: str) -
     both = b.join(a, "metric", "full")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return both.select("metric", zero("before"), zero("after"), (F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("delta"))
+
+
+def review_status(log_status: Column, manual: Column | None = None) -> Column:
+    """The newest log's status, else the decision in the audit sheet (if there is one), else pending."""
+    parts = [log_status, *([F.nullif(manual, F.lit(""))] if manual is not None else [])]
+    return F.coalesce(*parts, F.lit("pending"))
+
+
+def with_review(rows: DataFrame, log: DataFrame, key: str, manual: str | None = None) -> DataFrame:
+    """Adds review_local_status. log: key and status, one row a document (see priority.latest_review)."""
+    status, other = fresh(rows, "log_status"), fresh(rows, "log_key")
+    newest = log.select(F.col(key).alias(other), F.col("status").alias(status))
+    both = rows.join(newest, rows[key] == newest[other], "left")
+    return both.withColumn("review_local_status", review_status(F.col(status), F.col(manual) if manual else None)).drop(status, other)
+
+
+def audit_view(audit: DataFrame, parsed: DataFrame, classification: DataFrame, priority: DataFrame, log: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The audit sample with what all stages tell of its documents: parsed, then classification, then priority, then the sample's own columns take precedence where they have a row,
+    blank values too. The title falls back to the file's name and the document's id. All sides but the sample have one row a document."""
+    rows = audit.select(key)
+    for side in (parsed, classification, priority, audit):
+        rows = merge_left(rows, side, key, precedence_blank=True)
+    blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("title", F.coalesce(blank("title_snippet"), blank("title"), blank("file_name"), blank(key)))
+    return with_review(rows, log, key, "manual_decision" if "manual_decision" in rows.columns else None)
+
+
+def first_found(key: str, *tables: tuple[str, DataFrame]) -> DataFrame:
+    """(key, found_in): for each document, the first of the named tables that has it."""
+    sides = [df.select(key).withColumn("at", F.lit(i)) for i, (_, df) in enumerate(tables)]
+    union = sides[0]
+    for side in sides[1:]:
+        union = union.unionByName(side)
+    names = F.array(*(F.lit(n) for n, _ in tables))
+    return union.groupBy(key).agg(F.min("at").alias("at")).select(key, F.get(names, F.col("at")).alias("found_in"))
+
+
+def dynamic_order(column: str, descending: bool = False, collation: str = "zh") -> list[Column]:
+    """An order for a column of mixed text: numbers by value, before or after all other text by collation. (A pairwise comparison of numbers with other text has no
+    consistent order; here they are apart.)"""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    number = F.when(F.trim(text) == "", 0.0).otherwise(text.try_cast("double"))
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    parts = [F.when(finite, 0).otherwise(1), F.when(finite, number), F.when(~finite, F.collate(text, collation))]
+    return [p.desc() if descending else p.asc() for p in parts]
+
+
+def file_type(dataset: Column, file_name: Column, row_dataset: str = "dataset3") -> Column:
+    """docx, txt or another format by the name's suffix; records of sheets by their dataset."""
+    suffix = F.lower(F.regexp_extract(file_name, r"[^.]\.([^.]+)$", 1))
+    return F.when(dataset == row_dataset, "xlsx 行记录").when(suffix.isin("docx", "txt"), suffix).otherwise("其他格式")
+
+
+def audit_kpis(classification: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: documents, and those to review; where no row is flagged, the length of the queue counts."""
+    told = classification.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("review_flag") == 1).alias("flagged"))
+    length = queue.agg(F.count(F.lit(1)).alias("queue_length"))
+    return told.join(F.broadcast(length)).select("documents", "queue_length", F.when(F.col("flagged") > 0, F.col("flagged")).otherwise(F.col("queue_length")).alias("review_count"))
+
+
+def register(spark, tables: Mapping[str, DataFrame]) -> None:
+    """Each table as a temporary view of its name."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows in a total order."""
+    return df.orderBy(*order).limit(n)

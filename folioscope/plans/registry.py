@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import lexicons
+from folioscope.functions import display, lexicons
 from folioscope.functions import text as t
 from folioscope.functions import vectors as v
 from folioscope.operators import classify, features, priority, rules, topics, views
@@ -367,11 +367,14 @@ def priority_histogram(spark, d):
     return views.histogram(rows, "x", [0.0, 0.35, 0.65, 1.0])
 
 
-@query("WITH b AS (SELECT event_type AS metric, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT event_type AS metric, count(*) AS n FROM events WHERE event_id % 3 = 0 AND event_type <> 'error' GROUP BY 1) SELECT metric, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM b FULL JOIN a USING (metric)")
+@query("WITH h AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events), b AS (SELECT event_type AS metric, count(*) AS n FROM events, h WHERE ts < half GROUP BY 1), a AS (SELECT event_type AS metric, count(*) AS n FROM events, h WHERE ts >= half GROUP BY 1) SELECT metric, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM b FULL JOIN a USING (metric)")
 def before_after(spark, d):
+    """Events of the first half of the time against those of the second."""
     rows = table(spark, d, "events")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    half = F.lit(first + (last - first) / 2) if first else F.lit(None).cast("timestamp_ntz")
     count = lambda x: x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return views.before_after(count(rows.filter("event_id % 2 = 0")), count(rows.filter("event_id % 3 = 0 AND event_type <> 'error'")), "event_type", "n")
+    return views.before_after(count(rows.filter(F.col("ts") < half)), count(rows.filter(F.col("ts") >= half)), "event_type", "n")
 
 
 @query("WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS clusters, count(*) FILTER (n <= 5) AS le_5, count(*) FILTER (n <= 10) AS le_10, max(n) AS largest FROM s")
@@ -398,6 +401,153 @@ def dataset_tag(spark, d):
     return table(spark, d, "documents").select("doc_id", files.dataset_of(path).alias("dataset"))
 
 
+@query("SELECT c_custkey, c_name, l.o_orderstatus, l.o_totalprice FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1) l ON l.o_custkey = c_custkey")
+def last_wins_join(spark, d):
+    """Of several rows of a key the last one in order is what the join sees."""
+    last = classify.last_of_each(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice")
+    return views.merge_left(table(spark, d, "customer").select("c_custkey", "c_name"), last, "c_custkey")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0 GROUP BY 1, 2")
+def in_set_filter(spark, d):
+    rows = table(spark, d, "customer").filter(views.matches({"c_mktsegment": ["BUILDING", "MACHINERY"], "c_name": ""}, {"c_acctbal": 0}))
+    return rows.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reviewed(spark, d):
+    """Review actions as a log: events, whose users are documents."""
+    rows = table(spark, d, "events")
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "confirmed").when(kind == "signup", "changed").when(kind == "purchase", "noise").when(kind == "click", "unclassifiable").otherwise("uncertain")
+    return rows.select(F.col("user_id").alias("doc_id"), F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("topic_name"), status.alias("status"), F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("chosen"), "ts", "event_id")
+
+
+_REVIEWED = "rv AS (SELECT user_id AS doc_id, 't' || CAST(user_id % 3 AS VARCHAR) AS topic_name, CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'signup' THEN 'changed' WHEN 'purchase' THEN 'noise' WHEN 'click' THEN 'unclassifiable' ELSE 'uncertain' END AS status, 't' || CAST(event_id % 4 AS VARCHAR) AS chosen, ts, event_id FROM events)"
+_ACTION = "CASE status WHEN 'unclassifiable' THEN '无法归类' WHEN 'noise' THEN '噪声无效' WHEN 'uncertain' THEN '暂不确定' ELSE chosen END"
+
+
+@query(f"WITH {_REVIEWED} SELECT doc_id, status, topic_name AS original_topic, {_ACTION} AS final_topic, '' AS note, 'reviewer' AS operator, ts AS updated_at FROM rv")
+def review_action(spark, d):
+    return priority.review_action(reviewed(spark, d), F.col("status"), F.col("ts"), F.col("chosen"), F.lit(""))
+
+
+_LABELS = "CASE status WHEN 'confirmed' THEN '已确认' WHEN 'changed' THEN '已改类' WHEN 'noise' THEN '噪声无效' WHEN 'unclassifiable' THEN '无法归类' ELSE '暂不确定' END"
+
+
+@query(f"WITH {_REVIEWED} SELECT doc_id, status, CASE status WHEN 'unclassifiable' THEN '无法归类' WHEN 'noise' THEN '噪声无效' ELSE topic_name END AS final_topic, '快速处理：' || {_LABELS} AS note, count(*) AS n FROM rv GROUP BY ALL")
+def quick_review(spark, d):
+    made = priority.review_action(reviewed(spark, d), F.col("status"), F.col("ts"))
+    return made.groupBy("doc_id", "status", "final_topic", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_REVIEWED}, m AS (SELECT CASE topic_name WHEN 't0' THEN '综合待判别' WHEN 't1' THEN '教育科研原类' ELSE '其他原类' END AS original, status,
+  CASE WHEN status IN ('noise', 'uncertain', 'unclassifiable') THEN CASE status WHEN 'noise' THEN '噪声无效' WHEN 'uncertain' THEN '暂不确定' ELSE '无法归类' END WHEN chosen = topic_name THEN '保持原类' WHEN chosen = 't1' THEN '教育科研细类' ELSE '其他业务类' END AS final FROM rv WHERE status <> 'changed')
+SELECT original, {', '.join(f"count(*) FILTER (final = '{c}') AS {c}" for c in ('噪声无效', '暂不确定', '无法归类', '教育科研细类', '其他业务类', '保持原类'))} FROM m GROUP BY 1""")
+def review_correction_matrix(spark, d):
+    made = priority.review_action(reviewed(spark, d), F.col("status"), F.col("ts"), F.col("chosen"), F.lit(""))
+    return priority.transition_matrix(made.withColumnRenamed("status", "manual_status"), own=("t1",), open_topic="t0")
+
+
+_SAMPLE = "WITH t AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, '{b}' AS bucket, {q} AS quota FROM documents WHERE {c}" for i, (b, c, q) in enumerate([("short", "n_chars < 300", 20), ("long", "n_chars > 6000", 15), ("other_language", "lang <> 'en'", 30)])) + "), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('audit|' || bucket || '|' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM t), au AS (SELECT doc_id, string_agg(bucket, ';' ORDER BY i) AS audit_bucket, arg_min(bucket, i) AS primary_audit_bucket FROM r WHERE n <= quota GROUP BY 1)"
+
+
+@query(f"{_SAMPLE} SELECT primary_audit_bucket AS bucket, count(*) AS n FROM au GROUP BY 1")
+def audit_bucket_counts(spark, d):
+    return audit_buckets(spark, d).groupBy(F.col("primary_audit_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEWEST = f"WITH {_REVIEWED}, nl AS (SELECT doc_id, status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) AS n FROM rv) WHERE n = 1), "
+
+
+@query(f"""{_NEWEST}{_SAMPLE[5:]}
+SELECT au.doc_id, audit_bucket, primary_audit_bucket, d.n_chars, CASE WHEN l.doc_id IS NOT NULL THEN l.source ELSE d.source END AS source, l.quality, CAST(d.n_chars % 7 AS BIGINT) AS score, coalesce(nullif(CASE WHEN au.doc_id % 2 = 0 THEN 'snippet' ELSE '' END, ''), d.source || '.txt') AS title,
+  coalesce(nl.status, nullif(CASE WHEN au.doc_id % 3 = 0 THEN 'kept' ELSE '' END, ''), 'pending') AS review_local_status
+FROM au LEFT JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, quality, CASE WHEN quality = 0 THEN '' ELSE 'labelled' END AS source FROM labels) l ON l.doc_id = au.doc_id LEFT JOIN nl ON nl.doc_id = au.doc_id""")
+def audit_view(spark, d):
+    """Sample, parsed documents, classification (labels), priority and the review log, joined with precedence."""
+    own = table(spark, d, "documents")
+    audit = audit_buckets(spark, d).withColumns({"title_snippet": F.when(F.col("doc_id") % 2 == 0, "snippet").otherwise(""), "manual_decision": F.when(F.col("doc_id") % 3 == 0, "kept").otherwise("")})
+    parsed = own.select("doc_id", "source", "n_chars", F.concat("source", F.lit(".txt")).alias("file_name"))
+    classification = table(spark, d, "labels").select("doc_id", "quality", F.when(F.col("quality") == 0, "").otherwise("labelled").alias("source"))
+    log = priority.latest_review(reviewed(spark, d), "doc_id", "ts", "event_id")
+    made = views.audit_view(audit, parsed, classification, own.select("doc_id", (F.col("n_chars") % 7).alias("score")), log)
+    return made.select("doc_id", "audit_bucket", "primary_audit_bucket", "n_chars", "source", "quality", "score", "title", "review_local_status")
+
+
+@query(f"{_NEWEST[:-2]} SELECT d.doc_id, coalesce(nl.status, 'pending') AS review_local_status FROM documents d LEFT JOIN nl USING (doc_id)")
+def review_state(spark, d):
+    log = priority.latest_review(reviewed(spark, d), "doc_id", "ts", "event_id")
+    return views.with_review(table(spark, d, "documents").select("doc_id"), log, "doc_id").select("doc_id", "review_local_status")
+
+
+@query(f"{_SAMPLE} SELECT doc_id, CASE WHEN au.doc_id IS NOT NULL THEN 'audit' WHEN l.doc_id IS NOT NULL THEN 'classification' ELSE 'parsed' END AS found_in FROM documents d LEFT JOIN au USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def first_found(spark, d):
+    return views.first_found("doc_id", ("audit", audit_buckets(spark, d)), ("classification", table(spark, d, "labels")), ("parsed", table(spark, d, "documents")))
+
+
+@query("SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN d.source || ' title' ELSE p.text END AS analysis_text, l.quality FROM documents d LEFT JOIN (SELECT doc_id, md5(text) AS text FROM documents WHERE n_chars >= 300) p USING (doc_id) LEFT JOIN labels l USING (doc_id)")
+def review_inputs(spark, d):
+    """Documents under 300 characters have no parsed row here, so their title takes the text's place."""
+    own = table(spark, d, "documents")
+    parsed = own.filter("n_chars >= 300").select("doc_id", md5(F.col("text")).alias("analysis_text"))
+    classified = own.select("doc_id", F.concat("source", F.lit(" title")).alias("title"))
+    return priority.review_inputs(classified, parsed, table(spark, d, "labels").select("doc_id", "quality")).select("doc_id", "analysis_text", "quality")
+
+
+@query("WITH s AS (SELECT p_brand AS family, p_size AS size, p_retailprice / 10000.0::DOUBLE AS confidence, string_split(replace(p_type, ' ', '、'), '、') AS w FROM part), f AS (SELECT family, CAST(sum(size) AS BIGINT) AS size, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8), c AS (SELECT family, term, sum(size) AS n FROM (SELECT family, size, unnest(w) AS term FROM s) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, term) AS rank FROM c) SELECT family, size, mean_confidence, terms FROM f JOIN (SELECT family, string_agg(term, '、' ORDER BY rank) AS terms FROM r WHERE rank <= 3 GROUP BY 1) USING (family)")
+def family_rollup(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_size").alias("size"), (F.col("p_retailprice") / 10000.0).alias("confidence"), F.replace("p_type", F.lit(" "), F.lit("、")).alias("top_terms"))
+    return topics.family_rollup(rows)
+
+
+@query("WITH f AS (SELECT CASE WHEN c_nationkey = 3 THEN 'dataset3' ELSE 'dataset2' END AS dataset, c_name || CASE c_custkey % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' ELSE '' END AS name FROM customer) SELECT dataset, CASE WHEN dataset = 'dataset3' THEN 'xlsx 行记录' WHEN lower(name) LIKE '%.docx' THEN 'docx' WHEN lower(name) LIKE '%.txt' THEN 'txt' ELSE '其他格式' END AS file_type, count(*) AS n FROM f GROUP BY ALL")
+def file_types(spark, d):
+    k = F.col("c_custkey") % 4
+    rows = table(spark, d, "customer").select(F.when(F.col("c_nationkey") == 3, "dataset3").otherwise("dataset2").alias("dataset"), F.concat("c_name", F.when(k == 0, ".docx").when(k == 1, ".TXT").when(k == 2, ".pdf").otherwise("")).alias("name"))
+    return rows.groupBy("dataset", views.file_type(F.col("dataset"), F.col("name")).alias("file_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS documents, (SELECT count(*) FROM labels WHERE quality = 0) AS queue_length, CASE WHEN count(*) FILTER (n_chars < 0) > 0 THEN count(*) FILTER (n_chars < 0) ELSE (SELECT count(*) FROM labels WHERE quality = 0) END AS review_count FROM documents")
+def audit_kpis(spark, d):
+    return views.audit_kpis(table(spark, d, "documents").select(F.when(F.col("n_chars") < 0, 1).otherwise(0).alias("review_flag")), table(spark, d, "labels").filter("quality = 0"))
+
+
+@query("WITH s AS (SELECT vec_id, label, embedding FROM embeddings ORDER BY md5('silhouette|' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 200), p AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), m AS (SELECT vec_id, max(d) FILTER (c = c2) AS a, min(d) FILTER (c <> c2) AS b FROM p GROUP BY vec_id, c) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0.0)), 6) AS silhouette, count(*) AS n FROM m")
+def sampled_silhouette(spark, d):
+    return topics.silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding", most=200)
+
+
+@query("WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_retailprice AS VARCHAR) END AS v FROM part), y AS (SELECT *, try_cast(v AS DOUBLE) AS num FROM x) SELECT p_partkey, row_number() OVER (ORDER BY num IS NULL, num, CASE WHEN num IS NULL THEN v END, p_partkey) AS place FROM y")
+def mixed_order(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_retailprice").cast("string")).alias("v"))
+    return priority.with_rank(rows, *views.dynamic_order("v", collation="UTF8_BINARY"), F.asc("p_partkey"), name="place").select("p_partkey", "place")
+
+
+@query("SELECT s_suppkey, format('{:,}', CAST(floor(s_acctbal + 0.5) AS BIGINT)) AS whole, printf('%.3f', s_acctbal / 7) AS score, printf('%.1f%%', s_acctbal / 130.0 * 100) AS percent, replace(replace('<' || s_name || '>&', '&', '&amp;'), '<', '&lt;') AS half FROM supplier")
+def display_values(spark, d):
+    x = F.col("s_acctbal")
+    half = F.replace(display.escaped(F.concat(F.lit("<"), F.col("s_name"), F.lit(">&"))), F.lit("&gt;"), F.lit(">"))
+    return table(spark, d, "supplier").select("s_suppkey", display.whole(x).alias("whole"), display.score(x / 7).alias("score"), display.percent(x / 130.0).alias("percent"), half.alias("half"))
+
+
+@query("SELECT r_regionkey AS k, r_name, count(*) AS small FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def ablation_sizes(spark, d):
+    """An inner join on k of two summaries."""
+    sizes = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.count(F.lit(1)).alias("small"))
+    return table(spark, d, "region").select(F.col("r_regionkey").alias("k"), "r_name").join(sizes, "k")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY source, doc_id LIMIT 40")
+def first_rows(spark, d):
+    return views.first_rows(table(spark, d, "documents").select("doc_id", "source", "n_chars"), 40, "source", "doc_id")
+
+
+@query("SELECT 'documents' AS part, doc_id, md5(text) AS digest FROM documents UNION ALL SELECT 'pages', page_id, md5(coalesce(html, '')) FROM pages")
+def union_of_parsed(spark, d):
+    one = table(spark, d, "documents").select(F.lit("documents").alias("part"), "doc_id", md5(F.col("text")).alias("digest"))
+    return one.unionByName(table(spark, d, "pages").select(md5(F.coalesce("html", F.lit(""))).alias("digest"), F.lit("pages").alias("part"), F.col("page_id").alias("doc_id")))
+
+
 # ---- rules
 
 
@@ -609,6 +759,12 @@ def classification_meta(spark, d):
     return classify.summarize(classes(spark, d))
 
 
+@query(f"""WITH {_CLASSIFIED}, t AS (SELECT count(*) AS total_documents, count(*) FILTER (review_flag = 1) AS review_count FROM cl)
+SELECT '{{"total_documents":' || total_documents || ',"review_count":' || review_count || ',' || {" || ',' || ".join(f"""'"{n}":{{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM (SELECT {c} AS k, count(*) AS n FROM cl GROUP BY 1)) || '}}'""" for n, c in (("by_dataset", "dataset"), ("status_counts", "status"), ("risk_counts", "risk_level"), ("decision_counts", "CASE risk_level WHEN 'high' THEN 'must_review' WHEN 'medium' THEN 'review_if_capacity' ELSE 'auto_archive' END")))} || '}}' AS meta FROM t""")
+def meta_json(spark, d):
+    return classify.meta(classes(spark, d))
+
+
 @query(f"WITH {_CLASSIFIED} SELECT doc_id, risk_level, CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS review_priority, round(risk_score, 6) AS risk_score FROM cl WHERE review_flag = 1")
 def review_queue(spark, d):
     return classify.review_queue(classes(spark, d)).select("doc_id", "risk_level", "review_priority", F.round("risk_score", 6).alias("risk_score"))

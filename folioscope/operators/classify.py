@@ -145,7 +145,8 @@ def meta(rows: DataFrame) -> DataFrame:
     Rows are read once, into a small table of combinations."""
     kinds = {"by_dataset": F.col("dataset"), "status_counts": F.col("status"), "risk_counts": F.col("risk_level"), "decision_counts": decision(F.col("risk_level"))}
     small = rows.groupBy("dataset", "status", "risk_level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_flag") == 1).alias("flagged"))
-    told = F.array(F.struct(F.lit("").alias("kind"), F.lit("total_documents").alias("k"), F.col("n").alias("n")), F.struct(F.lit(""), F.lit("review_count"), F.col("flagged")), *(F.struct(F.lit(name), F.coalesce(c, F.lit("")), F.col("n")) for name, c in kinds.items()))
+    entry = lambda kind, k, n: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.col(n).alias("n"))
+    told = F.array(entry("", F.lit("total_documents"), "n"), entry("", F.lit("review_count"), "flagged"), *(entry(name, F.coalesce(c, F.lit("")), "n") for name, c in kinds.items()))
     sums = small.select(F.explode(told).alias("x")).groupBy("x.kind", "x.k").agg(F.sum("x.n").alias("n"))
     maps = sums.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m"))
     of = maps.agg(F.map_from_entries(F.collect_list(F.struct("kind", "m"))).alias("all"))

@@ -59,6 +59,8 @@ def score_rule(rule: Rule, low: Column) -> Column:
 
 def ranked(rules: Sequence[Rule], title: Column, body: Column, prior: Column, latin: Column | None = None) -> Column:
     """The rules that apply, best first. Texts are put in lower case once for all rules."""
+    if not rules:
+        return F.array().cast("array<struct<score:double,name:string,evidence:array<string>>>")
     low = F.struct(F.lower(title).alias("title"), F.lower(body).alias("body"), F.lower(prior).alias("prior"), title.alias("raw"), (latin if latin is not None else F.lit(0.0)).alias("latin"))
 
     def order(z: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from folioscope.functions import text as t
 from folioscope.operators.priority import Scenario
+from folioscope.sources import files
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +31,16 @@ def read_scenarios(df: DataFrame, names: tuple[str, str, str, str] = ("场景编
     return [Scenario(r["i"] or "", r["h"], int(r["l"]), int(r["a"])) for r in rows]
 
 
+def read_scenario_sheet(spark: SparkSession, path: str, **names: tuple[str, str, str, str]) -> list[Scenario]:
+    """Resource scenarios of the first sheet of an XLSX file (a small one, read on the driver)."""
+    data = spark.read.format("binaryFile").load(path).select("content").first()
+    rows = files.read_scenario_rows(bytes(data["content"])) if data else []
+    if not rows:
+        return []
+    columns = list(rows[0])
+    return read_scenarios(spark.createDataFrame([tuple(r.get(c, "") for c in columns) for r in rows], ", ".join(f"`{c}` string" for c in columns)), **names)
+
+
 def write_stage(df: DataFrame, path: str, index_columns: tuple[str, ...] = (), csv: bool = False) -> DataFrame:
     """Writes a stage's table once as Parquet, reads it back, and derives the index from the written rows. Spark's committer makes the output appear as a whole."""
     df.write.mode("overwrite").parquet(path)

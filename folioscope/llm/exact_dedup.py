@@ -102,6 +102,8 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty; of texts that are equal but for the case of A-Z, that of the largest doc_id stays. Rows are found again by doc_id and a
     hash of their text; of rows repeated as a whole one stays. An empty table gives an empty result."""
-    scratch = Scratch(df.sparkSession, "exact-dedup-filter")
+    scratch = Scratch(df.sparkSession, "exact-dedup")
     groups = _groups(df, scratch, id_col, text_col, block_bytes, -1)
-    return drop_rows(df, id_col, text_key(df[text_col]), groups.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), scratch)
+    out = drop_rows(df, id_col, text_key(df[text_col]), groups.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"), Scratch(df.sparkSession, "exact-dedup-filter"))
+    scratch.close()
+    return out

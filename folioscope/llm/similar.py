@@ -6,7 +6,7 @@ loses none: under any order of the shingles, two sets that are similar enough sh
 shows to be frequent come last in the order; the sample decides the cost only.
 
 Only groups matter, so texts with close fingerprints are compared first, and texts that share a shingle with one of them each; then all pairs that
-aren't in one group yet. Each pair is verified on the whole sets.
+aren't in one group yet and whose shingles before the shared one, as far as any other text has them, leave room for enough. Each pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import simhash
 from folioscope.llm.components import components
-from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes, text_key
+from folioscope.llm.shared import BROADCAST_KEYS, Scratch, drop_rows, text_batches, text_bytes, text_key
 from folioscope.llm.simhash import majority
 
 WORDS = 5
@@ -42,6 +42,8 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def _set_rows(words: int, frequent: np.ndarray, ranks: np.ndarray):
+    """Columns doc_id, text_key, text -> the name, size, fingerprint and prefix of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -49,10 +51,22 @@ def _set_rows(words: int, frequent: np.ndarray, ranks: np.ndarray):
             sets = [shingle_set(t, words) for t in text_bytes(batch.column(2))]
             names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             counts, grams = np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
-            owner, _, prefix = prefixes(grams, counts, frequent, ranks)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *k]).astype(np.int32)), pa.array(x)) for k, x in ((counts, grams), (np.bincount(owner, minlength=len(sets)), prefix))]
             prints = majority(grams.view(np.uint64), counts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts.astype(np.int32)), pa.array(prints), *lists], ["doc_id", "text_key", "set_id", "n", "fp", "grams", "prefix"])
+            owner, _, prefix = prefixes(grams, counts, frequent, ranks)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.bincount(owner, minlength=len(sets))]).astype(np.int32)), pa.array(prefix))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(counts.astype(np.int32)), pa.array(prints), lists], ["doc_id", "text_key", "set_id", "n", "fp", "prefix"])
+
+    return run
+
+
+def _gram_rows(words: int):
+    """Columns set_id, text -> the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, limit=1 << 20):
+            sets = [shingle_set(t, words) for t in text_bytes(batch.column(1))]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["set_id", "grams"])
 
     return run
 
@@ -70,14 +84,18 @@ def prefixes(grams: np.ndarray, counts: np.ndarray, frequent: np.ndarray, ranks:
     return owner[own], place[own], grams[order][own]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (u, v) whose sets are similar enough. Whole sets are made for texts that are in a pair only, one text for each set."""
     pairs = scratch.save(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("set_id")).unionByName(pairs.select(F.col("v").alias("set_id"))).distinct()
-    whole = scratch.save(sets.select("set_id", "grams").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "whole")
+    one = sets.select("set_id", F.struct("doc_id", "text_key").alias("k")).join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min("k").alias("k"))
+    keys = scratch.save(one.select("set_id", F.col("k.doc_id").alias("i"), F.col("k.text_key").alias("t")), "keys")
+    sent = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    texts = rows.join(sent, rows["doc_id"].eqNullSafe(keys["i"]) & (rows["text_key"] == keys["t"])).select("set_id", "text")
+    whole = scratch.save(texts.mapInArrow(_gram_rows(words), "set_id long, grams array<long>"), "whole")
     both = pairs.join(whole.withColumnsRenamed({"set_id": "u", "grams": "a"}), "u").join(whole.withColumnsRenamed({"set_id": "v", "grams": "b"}), "v")
-    links = scratch.save(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "similar")
-    scratch.drop(pairs, whole)
+    links = scratch.save(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v").distinct(), "similar")
+    scratch.drop(pairs, keys, whole)
     return links
 
 
@@ -91,32 +109,35 @@ def close_prints(sets: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
     return ends.select("a", "b").unionByName(own).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def links(sets: DataFrame, scratch: Scratch, max_bits: int = simhash.MAX_BITS) -> DataFrame:
-    """Links (u, v) between set_ids; all similar pairs are linked, directly or by way of others, and nothing else is. sets: set_id, n, fp, grams, prefix."""
-    entries = sets.select("set_id", "n", F.posexplode("prefix").alias("place", "gram"))
-    by_gram = Window.partitionBy("gram")
-    met = entries.withColumns({"a": F.min("set_id").over(by_gram), "b": F.max("set_id").over(by_gram)}).filter("a <> b").drop("a", "b")
-    met = scratch.save(met.distinct(), "met")
-
-    def may(n, m, i, j):  # sizes and places of the shingle: what both sets can share at most
-        return 9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)
+def links(sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """Links (u, v) between set_ids; all similar pairs are linked, directly or by way of others, and nothing else is.
 
-    other = lambda df: df.select("gram", *(F.col(c).alias(f"{c}_v") for c in ("set_id", "n", "place", "root")))
-    apart = (F.col("root") != F.col("root_v")) & may(F.col("n"), F.col("n_v"), F.col("place"), F.col("place_v"))
+    sets: doc_id, text_key, set_id, n, fp, prefix; rows: doc_id, text_key, text."""
+    entries = sets.select("set_id", "n", F.posexplode("prefix").alias("place", "gram"))
+    by_gram, by_set = Window.partitionBy("gram"), Window.partitionBy("set_id")
+    met = entries.withColumns({"a": F.min("set_id").over(by_gram), "b": F.max("set_id").over(by_gram)}).filter("a <> b").drop("a", "b").distinct()
+    # only shingles that another set has too are left: how many of them come before this one in its set, and how many there are
+    met = scratch.save(met.withColumns({"nth": F.row_number().over(by_set.orderBy("place")) - 1, "k": F.count(F.lit(1)).over(by_set)}), "met")
+
+    columns = ("set_id", "n", "place", "nth", "root")
+    other = lambda df: df.select("gram", *(F.col(c).alias(f"{c}_v") for c in columns))
+    # what both sets can share at most: as many as either has met before this shingle, and as many as either has from it on
+    may = 9 * (F.least("nth", "nth_v") + F.least(F.col("n") - F.col("place"), F.col("n_v") - F.col("place_v"))) >= 4 * (F.col("n") + F.col("n_v"))
+    apart = (F.col("root") != F.col("root_v")) & may
     pair = (F.least("set_id", "set_id_v").alias("u"), F.greatest("set_id", "set_id_v").alias("v"), F.least("n", "n_v").alias("n"), F.greatest("n", "n_v").alias("m"))
     often = lambda pairs, enough: pairs.filter(apart).select(*pair).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("shared")).filter(enough).select("u", "v")
-    # fingerprints, and all with one of them where they meet three times; then all that is left
+    # fingerprints, and all with one of them where they meet three times: that with the least of its own, for it is closest to most; then all that is left
     named = met.withColumn("root", F.col("set_id"))
-    least = named.groupBy("gram").agg(F.min_by(F.struct("set_id", "n", "place", "root"), F.col("set_id")).alias("x")).select("gram", "x.*")
-    stars = often(named.join(other(least), "gram"), F.col("shared") > 2)
-    found = _verified(close_prints(sets, scratch, max_bits).unionByName(stars).distinct(), sets, scratch)
+    central = named.groupBy("gram").agg(F.max_by(F.struct(*columns), F.struct("k", "set_id")).alias("x")).select("gram", "x.*")
+    stars = often(named.join(other(central), "gram"), F.col("shared") > 2)
+    found = _verified(close_prints(sets, scratch, max_bits).unionByName(stars).distinct(), sets, rows, words, scratch)
     of = scratch.save(components(found, scratch), "star-components")
-    named = scratch.save(met.join(of, met["set_id"] == of["node"], "left").select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root")), "named")
+    named = scratch.save(met.join(of, met["set_id"] == of["node"], "left").select("gram", "set_id", "n", "place", "nth", F.coalesce("root", "set_id").alias("root")), "named")
     several = named.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("gram")
     named = scratch.save(named.join(several, "gram", "left_semi"), "open")
     # of what both share, all up to the end of the prefix that ends first is in both prefixes; the rest of that set comes on top
     enough = 9 * (F.col("shared") + F.floor((4 * F.col("m") + 4) / 5) - 1) >= 4 * (F.col("n") + F.col("m"))
-    more = _verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, scratch)
+    more = _verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, rows, words, scratch)
     scratch.drop(met, named)
     return found.unionByName(more)
 
@@ -129,16 +150,18 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(df.sparkSession, "similar")
     text = F.coalesce(df[text_col], F.lit(""))
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    form, none = "doc_id long, text_key long, set_id long, n int, fp long, grams array<long>, prefix array<long>", np.zeros(0, np.int64)
-    sample = rows.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).mapInArrow(_set_rows(words, none, none), form).select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2")
+    some = rows.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text_key", "text")
+    sample = some.mapInArrow(_gram_rows(words), "set_id long, grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2")
     often = sorted((r["gram"], FREQUENT - k) for k, r in enumerate(sample.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()))
     frequent, ranks = (np.array([x[k] for x in often], np.int64) for k in (0, 1))
-    sets = scratch.save(rows.mapInArrow(_set_rows(words, frequent, ranks), form), "sets")
-    of = scratch.save(components(links(sets, scratch), scratch), "components")
+    sets = scratch.save(rows.mapInArrow(_set_rows(words, frequent, ranks), "doc_id long, text_key long, set_id long, n int, fp long, prefix array<long>"), "sets")
+    of = scratch.save(components(links(sets, rows, words, scratch), scratch), "components")
     own = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("text_key"))
     least = sets.groupBy("set_id").agg(F.min(own).alias("keep"))
     rooted = scratch.save(least.join(of, least["set_id"] == of["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "keep"), "rooted")
     keep = rooted.groupBy("root").agg(F.min("keep").alias("group_keep"))
     told = sets.select("doc_id", "text_key", "set_id").join(rooted.join(keep, "root").select("set_id", "group_keep"), "set_id")
     kept = F.col("doc_id").eqNullSafe(F.col("group_keep.doc_id")) & (F.col("text_key") == F.col("group_keep.text_key"))
-    return drop_rows(df, id_col, text_key(df[text_col]), told.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), kept.alias("kept")), scratch)
+    out = drop_rows(df, id_col, text_key(df[text_col]), told.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), kept.alias("kept")), Scratch(df.sparkSession, "similar-filter"))
+    scratch.close()
+    return out

@@ -77,6 +77,23 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([alphabet[seen // (k * k)], alphabet[seen // k % k], alphabet[seen % k]], axis=1), at, of
 
 
+def pieces(texts: list[str], limit: int = SLICE) -> tuple[list[str], np.ndarray]:
+    """Texts cut into pieces of about ``limit`` characters between words, where no trigram is lost or made, and the text of each piece."""
+    if all(len(t) <= limit for t in texts):
+        return texts, np.arange(len(texts))
+    out, owner = [], []
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            cut = at + limit
+            while cut < len(text) and text[cut].isalpha():
+                cut += 1
+            out.append(text[at:cut])
+            owner.append(k)
+            at = max(cut, 1)
+    return out, np.array(owner)
+
+
 def bind(grams: np.ndarray, dims: int) -> np.ndarray:
     """One vector a trigram."""
     letters, at = np.unique(grams, return_inverse=True)
@@ -88,8 +105,14 @@ def bind(grams: np.ndarray, dims: int) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def bundle(texts: list[str], dims: int) -> np.ndarray:
+def bundle(texts: list[str], dims: int, limit: int = SLICE) -> np.ndarray:
     """One vector a text: the sum of its trigrams' vectors."""
+    parts, owner = pieces(texts, limit)
+    if len(parts) > len(texts):
+        out = np.zeros((len(texts), dims), np.float32)
+        for part, k in zip(parts, owner.tolist(), strict=True):
+            out[k] += bundle([part], dims, len(part))[0]
+        return out
     grams, at, of = trigrams(texts)
     vectors = bind(grams, dims)
     out = np.zeros((len(texts), dims), np.float32)
@@ -111,11 +134,16 @@ def _bundle_labels(dims: int):
         sums: dict[str, np.ndarray] = {}
         for batch in text_batches(batches, limit=SLICE):
             texts, langs = _texts(batch.column(0)), batch.column(1).to_pylist()
+            names, number = np.unique(np.array(langs, object), return_inverse=True)
+            if len(texts) == 1 and len(texts[0]) > SLICE:  # a long text has a slice of its own
+                x = bundle(texts, dims)[0].astype(np.float64)
+                letters = sum(len(trigrams([p])[1]) for p in pieces(texts)[0])
+                sums[names[0]] = sums.get(names[0], 0) + x / max(letters, 1)
+                continue
             grams, at, of = trigrams(texts)
             if not len(grams):
                 continue
             vectors, share = bind(grams, dims), 1 / np.maximum(np.bincount(of, minlength=len(texts)), 1)
-            names, number = np.unique(np.array(langs, object), return_inverse=True)
             for i, lang in enumerate(names.tolist()):
                 own = number[of] == i
                 weights = np.bincount(at[own], share[of[own]], len(grams)).astype(np.float32)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset (tests), a local folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only in local mode, where there is one machine, a local folder takes its place if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: work tables need a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/folioscope-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

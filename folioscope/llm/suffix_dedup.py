@@ -33,6 +33,8 @@ from folioscope.llm.suffix_array import suffix_array
 LENGTH, GRAM = 200, 64
 #: Different contexts of an anchor beyond which it is made longer.
 CROWD = 4096
+#: Longer texts are looked through in stretches of so many starts of strings.
+STRETCH = 1 << 20
 #: Contexts of crowds are asked for by sending their places to every task, up to so many (some 60 MB).
 SENT = 1_000_000
 #: Bytes of contexts that one suffix array holds (more only if a single anchor has more).
@@ -101,16 +103,31 @@ def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return doc[opens], begin, end, grams[anchor[opens]], rolling.of(begin, end), anchor[opens]
 
 
+def contexts_of(texts: list[bytes], length: int, gram: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end, anchor hash, context hash) of all contexts, places counted in their texts. A context is cut where a stretch of a long text ends; each string is in one of the parts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if all(n <= 2 * stretch for n in sizes.tolist()):
+        ends = np.cumsum(sizes)
+        doc, begin, end, h, g, _ = contexts(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+        base = (ends - sizes)[doc]
+        return doc, begin - base, end - base, h, g
+    parts = []
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), stretch):
+            part = text[at : at + stretch + length - 1]
+            doc, begin, end, h, g, _ = contexts(np.frombuffer(part, np.uint8), np.array([len(part)]), length, gram)
+            parts.append((doc + k, begin + at, end + at, h, g))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _contexts_of(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, limit=1 << 20):
             texts = text_bytes(batch.column(2))
             sizes = np.array([len(t) for t in texts], np.int64)
-            ends = np.cumsum(sizes)
-            doc, begin, end, h, g, _ = contexts(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
-            base = (ends - sizes)[doc]
+            doc, begin, end, h, g = contexts_of(texts, length, gram)
             cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64), pa.int64())) for x in (h, g, (begin - base) << 32 | (end - base))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.view(np.int64), pa.int64())) for x in (h, g, begin << 32 | end)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([sha256(t).digest() for t in texts], pa.binary()), *lists], ["doc_id", "text_key", "n_bytes", "sha", "hs", "gs", "spans"])
 
     return run
@@ -302,6 +319,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds ``kept``, the text that is left (bytes that aren't UTF-8 any more replaced).
 
     Strings are judged on the input: no occurrence stays. A null text is empty; texts shorter than ``length`` never lose anything.
+    Very long texts are looked through in stretches, so memory is some ten bytes a byte of the longest text.
     Rows repeated as a whole are occurrences of their own, so all of their strings are repeated. ``gram``, ``crowd`` and ``array_bytes`` steer the
     work, not the result. An empty table gives an empty result; other columns are ignored."""
     spark = df.sparkSession

@@ -275,3 +275,55 @@ def test_extra_columns_and_clashes(spark):
     rows = spark.createDataFrame([(1, "http://h/1", "<p>a</p>"), (1, "http://h/1", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string")
     clash = rows.select("*", *(F.lit("x").alias(c) for c in ("host", "path", "whole", "shared", "lines", "kinds", "h", "w", "text")))
     assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(clash).collect()) == [(0, ""), (1, "a"), (1, "a")]
+
+
+def test_long_texts_in_language_pieces():
+    rng = random.Random(11)
+    long = "".join(rng.choice(["wort ", "être, ", "niño", "x1 ", "über\n", "ABC"]) for _ in range(3000))
+    texts = [long, "", "short text", "abc" * 500]
+    whole = language_id.bundle(texts, 64)
+    for limit in (1, 50, 999):
+        parts, owner = language_id.pieces(texts, limit)
+        assert ["".join(p for p, k in zip(parts, owner, strict=True) if k == i) for i in range(4)] == texts
+        assert np.allclose(language_id.bundle(texts, 64, limit), whole, atol=1e-3)
+
+
+def test_suffix_stretches_and_crowds(spark):
+    """Long texts in stretches give all strings; crowds of contexts are split, down to whole strings, and lose nothing."""
+    from folioscope.llm import suffix_dedup
+
+    rng = random.Random(21)
+    text = bytes(rng.choice(b"abcd ") for _ in range(5000))
+    for stretch in (10_000, 700, 64):
+        doc, begin, end, h, _ = suffix_dedup.contexts_of([text, b"", text[:30]], 40, 12, stretch)
+        starts = [s for b, e in zip(begin.tolist(), end.tolist(), strict=True) for s in range(b, e - 39)]
+        assert sorted(starts) == list(range(len(text) - 39)) and not doc.any()
+    part = bytes(rng.choice(b"abcdefgh") for _ in range(70))
+    for at, width in ((20, 12), (0, 12), (28, 12), (10, 39), (15, 40)):
+        strings = [s for s in range(len(part) - 39) if s <= at and s + 40 >= at + width]
+        whole = part[strings[0] : strings[-1] + 40]
+        own = at - strings[0]
+        found = [(b + s, whole[b + s : b + s + 40]) for b, e, a, w in suffix_dedup.halves(whole, own, width, 40) for s in range(e - b - 39) if s <= a and s + 40 >= a + w]
+        assert sorted(found) == [(s, whole[s : s + 40]) for s in range(len(whole) - 39)]
+
+
+def test_suffix_crowd_of_ten_thousand(spark):
+    """Ten thousand different texts around one passage: the passage goes from all of them, in parts where texts agree beyond it."""
+    from folioscope.llm import suffix_dedup
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = word(60)
+    rows = [(i, f"{word(50)} {i % 7} {passage} {i % 11} {word(50)}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, length=40, gram=12, crowd=1000).collect()}
+    counts = Counter()
+    for _, t in rows:
+        b = t.encode()
+        counts.update({b[k : k + 40] for k in range(len(b) - 39)})
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for k in range(len(b) - 39):
+            if counts[b[k : k + 40]] > 1:
+                gone |= set(range(k, k + 40))
+        assert got[i] == (len(gone), sum(k - 1 not in gone for k in gone))

@@ -5,11 +5,13 @@ its own row and nothing is shuffled. Cosines are formed in numpy, a batch of tok
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,8 @@ from folioscope.functions import text as t
 from folioscope.functions import vectors as v
 from folioscope.operators import classify, rules, topics
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes of centroids that may be sent to every task.
 MODEL_BYTES = 256 << 20
 
@@ -113,11 +117,14 @@ def build(records: DataFrame, assignments: DataFrame, summary: DataFrame, tokens
     """Fit on the assigned records. records: doc_id, analysis_text; assignments: doc_id, cluster_id (one row a document, see classify.last_of_each);
     summary: cluster_id, topic_name, raw_topic_name, top_terms (missing clusters are named by their number). Records without text are left out."""
     spark = records.sparkSession
-    rows = records.select("doc_id", F.substring("analysis_text", 1, config.max_text_chars).alias("text")).filter("text <> ''")
-    rows = rows.join(assignments.select("doc_id", "cluster_id"), "doc_id").select("doc_id", "cluster_id", tokens(F.col("text")).alias("tokens")).persist()
+    # tokens are made before the join, where texts lie, and kept; a record without text has none
+    text = F.substring("analysis_text", 1, config.max_text_chars)
+    rows = records.select("doc_id", t.let(text, lambda x: F.when(x != "", tokens(x))).alias("tokens"))
+    kept = rows.join(assignments.select("doc_id", "cluster_id"), "doc_id").persist()
+    rows = kept.filter("tokens IS NOT NULL")
     support = {r["cluster_id"]: r["n"] for r in rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not support:
-        rows.unpersist()
+        kept.unpersist()
         return Model([], np.zeros(0), None, [], np.zeros((0, 0)))
     if len(support) > classify.PROTOTYPE_LIMIT:
         raise ValueError(f"{len(support)} clusters; at most {classify.PROTOTYPE_LIMIT} prototypes can be sent to every task")
@@ -141,7 +148,7 @@ def build(records: DataFrame, assignments: DataFrame, summary: DataFrame, tokens
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("mean"), F.desc("term")))
     best = scored.withColumn("rank", rank).filter("rank <= 8").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("x")).select("cluster_id", F.transform("x", lambda e: e["term"]).alias("own"))
     model.prototypes = [r.asDict() for r in dictionary(sizes, best, summary, config.dictionary_terms).orderBy("cluster_id").collect()]
-    rows.unpersist()
+    kept.unpersist()
     return model
 
 

@@ -165,4 +165,19 @@ FAMILY_OVERRIDES = {
     "企业、编号、时间类": ("企业统计与经营情况类", "raw_topic_override:企业/编号/时间"),
 }
 FAMILY_FALLBACK = "综合统计指标类"
+
+# The ten domains that a title names by two words or more, in the order in which they are tried, and the names of the content split.
+DOMAINS = [
+    ("财政金融与宏观经济类", ("生产总值", "国内生产总值", "国民经济", "财政", "预算", "决算", "金融", "税收", "贷款", "存款", "证券", "价格", "财政收入", "财政支出", "公共预算"), 2),
+    ("企业投资与房地产类", ("企业", "投资", "固定资产", "房地产", "市场主体", "建设项目", "开发区", "招商", "营商", "产业链", "供应链"), 2),
+    ("工业交通与能源通信类", ("工业", "交通", "运输", "铁路", "公路", "港口", "物流", "邮政", "通信", "电信", "能源", "电力", "煤炭", "石油", "燃气"), 2),
+    ("人口就业与社会保障类", ("人口", "就业", "失业", "民生", "社保", "养老", "居民收入", "医疗保障", "社会保障", "住房保障", "脱贫", "扶贫", "疫情", "健康"), 2),
+    ("资源环境与城市建设类", ("生态", "环境", "环保", "污染", "城市", "基础设施", "水利", "供水", "排水", "绿化", "地震", "气象", "碳达峰", "碳中和"), 2),
+    ("农业农村与土地资源类", ("农业", "农村", "农民", "粮食", "耕地", "土地", "农作物", "畜牧", "乡村", "扶贫", "脱贫"), 2),
+    ("科技专利与标准规范类", ("科技", "创新", "专利", "技术", "研发", "标准", "规范", "知识产权", "数字技术", "人工智能"), 2),
+    ("文化旅游与居民消费类", ("文化", "旅游", "游客", "景区", "消费", "零售", "餐饮", "住宿", "体育", "娱乐", "服务业", "休闲"), 2),
+    ("医药卫生与药品类", ("卫生", "医疗", "医院", "诊疗", "药品", "医药", "药学", "疾病", "疫情防控", "核酸"), 2),
+    ("教育科研与学术文献类", ("教育", "学校", "大学", "学院", "学生", "教师", "科研", "论文", "课题", "学术"), 2),
+]
+SPLIT_FALLBACK, OVERRIDDEN = "综合内容待判别类", "政府治理与公共管理类"
 # End of fixed values.

@@ -142,3 +142,14 @@ def test_summary_counts_unknown_values(spark):
     rows = spark.createDataFrame([("assigned", "odd", 1, 0.5, 0.1, 0.4, 0.2), ("strange", "high", 0, 0.5, 0.1, 0.4, 0.9)], "status string, risk_level string, review_flag int, top1_score double, margin double, confidence double, risk_score double")
     r = classify.summarize(rows).first()
     assert (r.document_count, r.assigned_count, r.low_risk_count, r.high_risk_count) == (2, 1, 1, 1)
+
+
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [("公共预算与财政支出", "财政金融与宏观经济类"), ("乡村土地确权", "农业农村与土地资源类"), ("企业", None), ("铁路与公路运输", "工业交通与能源通信类"), ("医院药品采购", "医药卫生与药品类"), ("大学学生", "教育科研与学术文献类"), ("脱贫与扶贫", "人口就业与社会保障类"), ("", None), (None, None)],
+)
+def test_domains(spark, title, want):
+    found = one(spark, rules.domain_override(rules.DOMAINS, F.lit(title).cast("string")))
+    assert (found["name"] if found else None) == want
+    split = rules.content_split([rules.Rule(rules.OVERRIDDEN, ("的",), ("通知",), None, 2.4, 0.85, 0.0, needs_content=True)], rules.DOMAINS, rules.OVERRIDDEN, rules.SPLIT_FALLBACK, F.coalesce(F.lit(title).cast("string"), F.lit("")), F.lit("通知"), F.lit(""))
+    assert one(spark, split)["name"] == (want or rules.OVERRIDDEN)

@@ -6,7 +6,9 @@ A suffix array of all texts can't be built in one place, so equal strings are fi
 anchor: the run of ``GRAM`` bytes in it whose hash is least, the last of equals. It depends on the string alone, so equal strings
 have equal anchors at equal offsets. All strings of a text that share an anchor form its context, a stretch of a few hundred bytes.
 1. Anchors that occur once in the corpus are done: nothing in their context is repeated.
-2. Contexts that occur more than once as a whole are repeated as a whole (hash of the anchor and hash of the context agree).
+2. Contexts that occur more than once as a whole are repeated as a whole. Hashes of the anchor and of the context tell where to look; then each is compared byte by byte
+   with another one: the first in its part of the table, which is compared with the first of all. Neighbouring contexts that
+   have the same offset to the same text are compared as one stretch, so a copy is sent about once.
 3. What is left are different contexts around one anchor: where passages begin and end, or copies differ. They are brought together by
    anchor, one for each distinct context. A suffix array (grouping construction, over the words of all of a task's contexts) puts
    equal strings side by side, and neighbours are compared byte by byte.
@@ -133,17 +135,48 @@ def _contexts_of(length: int, gram: int):
     return run
 
 
+_CUT = "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, to_doc long, to_key long, bytes binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text_key, text, wanted list of (h, crowded, single, span) -> a row for each wanted context."""
+    """Columns doc_id, text_key, text, wanted list of (h, crowded, single, span, to_doc, to_key) -> a row for each wanted stretch."""
+    names = [c.split()[0] for c in _CUT.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    rows: list[tuple] = []
+    size = 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
+
     for batch in batches:
         ids, keys, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
         for k in range(batch.num_rows):
-            text, want = batch.column(2)[k].as_buffer().to_pybytes(), wanted[k].as_py()
-            spans = [w["span"] for w in want]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k]] * len(want), pa.int64()), pa.array([keys[k]] * len(want), pa.int64()), pa.array([w["h"] for w in want], pa.int64()), pa.array([w["crowded"] for w in want], pa.bool_()), pa.array([w["single"] for w in want], pa.bool_()), pa.array(spans, pa.int64()), pa.array([text[s >> 32 : s & 0xFFFFFFFF] for s in spans], pa.binary())],
-                ["doc_id", "text_key", "h", "crowded", "single", "span", "bytes"],
-            )
+            text = batch.column(2)[k].as_buffer().to_pybytes()
+            for w in wanted[k].as_py():
+                span = w["span"]
+                rows.append((ids[k], keys[k], w["h"], w["crowded"], w["single"], span, w["to_doc"], w["to_key"], text[span >> 32 : span & 0xFFFFFFFF]))
+                size += len(rows[-1][-1])
+            if size > 1 << 21:
+                yield told()
+                rows, size = [], 0
+    yield told()
+
+
+def _stretches(copies: DataFrame) -> DataFrame:
+    """(rid, trid, delta, b, e): what is to be compared, text[b : e] of row rid with the bytes at the same places less delta of row trid. copies: rid, h, g, span, first (rid and span of the first of all such)."""
+    part, own = F.shiftright("rid", 33).alias("part"), F.struct("rid", "span")
+    here = copies.groupBy("h", "g", part).agg(F.min(own).alias("here"))
+    both = copies.withColumn("part", part).join(here, ["h", "g", "part"])
+    other = F.when(F.col("here") != own, F.col("here")).when(F.col("first") != own, F.col("first"))
+    begin = lambda c: F.shiftright(c, 32)
+    pairs = both.select("rid", "span", other.alias("o")).filter("o IS NOT NULL").select("rid", F.col("o.rid").alias("trid"), (begin(F.col("span")) - begin(F.col("o.span"))).alias("delta"), F.struct(begin(F.col("span")).alias("b"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e")).alias("s"))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    joined = F.aggregate(
+        F.array_sort(F.collect_list("s")), F.expr("array()").cast("array<struct<b:bigint,e:bigint>>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["e"] >= x["b"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["b"].alias("b"), F.greatest(last(acc)["e"], x["e"]).alias("e")))))
+        .otherwise(F.concat(acc, F.array(F.struct(x["b"].alias("b"), x["e"].alias("e"))))),
+    )
+    return pairs.groupBy("rid", "trid", "delta").agg(joined.alias("all")).select("rid", "trid", "delta", F.explode("all").alias("x")).select("rid", "trid", "delta", "x.b", "x.e")
 
 
 def repeated_strings(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -293,10 +326,13 @@ def _parted(crowd: DataFrame, scratch: Scratch, length: int, gram: int, most: in
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text_key, text, spans -> what is left of the text."""
+    """Columns doc_id, text_key, text, spans, checks list of (at, bytes) -> what is left of the text. Bytes that aren't those of the text stop the job."""
     for batch in batches:
         removed, runs, shas, kept = [], [], [], []
-        for text, spans in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        for k, (text, spans) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+            for check in batch.column(4)[k].as_py():
+                if text[check["at"] : check["at"] + len(check["bytes"])] != check["bytes"]:
+                    raise ValueError(f"two different stretches have equal hashes of anchor and context, at byte {check['at']} of document {batch.column(0)[k].as_py()}")
             left, at, n, out = [], 0, 0, 0
             for s in sorted(spans):
                 b, e = s >> 32, s & 0xFFFFFFFF
@@ -333,35 +369,42 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flat = rows.select("rid", F.explode(F.arrays_zip("hs", "gs", "spans")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.gs").alias("g"), F.col("x.spans").alias("span"))
     near = scratch.save(flat.join(anchors, "h"), "near")
     kinds = scratch.save(near.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "span")).alias("first")), "distinct-contexts")
-    copies = near.join(kinds.filter("n > 1").select("h", "g"), ["h", "g"]).select("rid", "span")
+    copies = scratch.save(near.join(kinds.filter("n > 1").select("h", "g", "first"), ["h", "g"]), "copies")
 
     open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1")
-    crowd_size = crowd
-    open_ = scratch.save(open_.select("h", (F.col("kinds") > crowd_size).alias("crowded")), "open-anchors")
-    asked = kinds.join(open_, "h").select(F.col("first.rid").alias("rid"), F.struct("h", "crowded", (F.col("n") == 1).alias("single"), F.col("first.span").alias("span")).alias("w"))
+    open_ = scratch.save(open_.select("h", (F.col("kinds") > crowd).alias("crowded")), "open-anchors")
     key = rows.select("rid", "doc_id", "text_key")
-    asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted")).join(key, "rid")
+    none = F.lit(None).cast("long")
+    asked = kinds.join(open_, "h").select(F.col("first.rid").alias("rid"), F.struct("h", "crowded", (F.col("n") == 1).alias("single"), F.col("first.span").alias("span"), none.alias("to_doc"), none.alias("to_key")).alias("w"))
+    whose = key.withColumnsRenamed({"rid": "r", "doc_id": "to_doc", "text_key": "to_key"})
+    compared = scratch.save(_stretches(copies).join(whose, F.col("rid") == F.col("r")), "stretches")
+    there = F.shiftleft(F.col("b") - F.col("delta"), 32) + F.col("e") - F.col("delta")
+    no = F.lit(False)
+    checks = compared.select(F.col("trid").alias("rid"), F.struct(F.col("b").alias("h"), no.alias("crowded"), no.alias("single"), there.alias("span"), "to_doc", "to_key").alias("w"))
+    asked = asked.unionByName(checks).groupBy("rid").agg(F.collect_list("w").alias("wanted")).join(key, "rid")
     asked = scratch.save(asked.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "asked").withColumnsRenamed({"doc_id": "i", "text_key": "k"})
 
     same = docs["doc_id"].eqNullSafe(F.col("i")) & (docs["text_key"] == F.col("k"))
-    cut = docs.join(asked, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
-    span_schema = "doc_id long, text_key long, span long"
-    by_anchor = cut.filter(~F.col("crowded")).select("h", "doc_id", "text_key", "single", "span", "bytes")
+    cut = docs.join(asked, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, _CUT)
+    by_anchor = cut.filter("NOT crowded AND to_key IS NULL").select("h", "doc_id", "text_key", "single", "span", "bytes")
     found = [copies.join(key, "rid").select("doc_id", "text_key", "span")]
     if not open_.filter("crowded").isEmpty():
         few = scratch.save(asked.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"])).filter(F.size("wanted") > 0), "asked-of-crowds")
         if (few.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= SENT:  # then texts aren't shuffled once more
             few = F.broadcast(few)
-        crowd = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, "doc_id long, text_key long, h long, crowded boolean, single boolean, span long, bytes binary")
-        more, parts = _parted(scratch.save(crowd.withColumns({"at": F.lit(0), "width": F.lit(0)}), "crowd"), scratch, length, gram, crowd_size)
+        many = docs.join(few, same).select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_out, _CUT)
+        more, parts = _parted(scratch.save(many.withColumns({"at": F.lit(0), "width": F.lit(0)}), "crowd"), scratch, length, gram, crowd)
         found += more
         for part in parts:
             by_anchor = by_anchor.unionByName(part.select("h", "doc_id", "text_key", "single", "span", "bytes"))
-    spans = by_anchor.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length, array_bytes), span_schema)
+    spans = by_anchor.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length, array_bytes), "doc_id long, text_key long, span long")
     for more in found:
         spans = spans.unionByName(more)
-    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
-    left = docs.join(spans, same).select("doc_id", "text_key", "text", "spans").mapInArrow(_remove, "doc_id long, text_key long, n_removed long, n_spans long, sha binary, kept string")
+    check = F.struct(F.col("h").alias("at"), "bytes")  # h is where the stretch begins in the text that it is compared with
+    wanted = cut.filter("to_key IS NOT NULL").select(F.col("to_doc").alias("doc_id"), F.col("to_key").alias("text_key"), F.lit(None).cast("long").alias("span"), check.alias("check"))
+    spans = spans.withColumn("check", F.lit(None).cast("struct<at:bigint,bytes:binary>")).unionByName(wanted)
+    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.collect_list("check").alias("checks")).withColumnsRenamed({"doc_id": "i", "text_key": "k"})
+    left = docs.join(spans, same).select("doc_id", "text_key", "text", "spans", "checks").mapInArrow(_remove, "doc_id long, text_key long, n_removed long, n_spans long, sha binary, kept string")
     if not with_text:
         left = left.drop("kept")
     left = scratch.save(left.dropDuplicates(["doc_id", "text_key"]), "left").withColumnsRenamed({"doc_id": "i", "text_key": "k", "sha": "rest"})

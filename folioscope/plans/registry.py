@@ -821,6 +821,44 @@ def representatives(spark, d):
     return topics.representatives(distances(spark, d), "label", "dist", "vec_id").select("label", "vec_id", long("rank").alias("rank"))
 
 
+FIT = topics.TopicConfig(dims=12, starts=2, k_min=3, k_max=4, max_text_chars=1500)
+
+
+def fitted(spark, d):
+    rows = topics.select_texts(texts(spark, d).select("doc_id", "text"), "text", FIT)
+    return topics.embed(rows, topics.default_tokens("text", FIT), FIT)
+
+
+@query("SELECT count(*) AS documents, true AS has_unit_length, true AS is_reduced FROM documents WHERE length(text) >= 80")
+def topic_embedding(spark, d):
+    """What must hold for a reduced space, whose axes are free: all selected documents, unit length (or zero, where no term is known), no more than the wanted dimensions."""
+    size = v.norm(F.col("embedding"))
+    rows = fitted(spark, d).select(size.alias("s"), F.size("embedding").alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.every((F.abs(F.col("s") - 1) < 1e-6) | (F.col("s") == 0)).alias("has_unit_length"), F.every(F.col("n") <= FIT.dims).alias("is_reduced"))
+
+
+@query("SELECT count(*) AS documents, 4 AS clusters, true AS is_best, true AS is_nearest FROM documents WHERE length(text) >= 80")
+def topic_clusters(spark, d):
+    """Four clusters: the fit is no worse than a single start's, and each document is in the cluster whose center is nearest."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = fitted(spark, d).select("doc_id", "embedding").persist()
+    found, model, cost = topics.cluster(rows, 4, FIT)
+    single = KMeans(k=4, seed=FIT.seed).fit(rows.select(array_to_vector("embedding").alias("features"))).summary.trainingCost
+    centers = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+    least = F.array_min(F.transform(centers, lambda c: v.distance(F.col("embedding"), c)))
+    out = found.select("cluster_id", (F.abs(least - F.col("distance_to_centroid")) < 1e-9).alias("near"))
+    return out.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("cluster_id").cast("int").alias("clusters"), F.lit(bool(cost <= single * (1 + 1e-9))).alias("is_best"), F.every("near").alias("is_nearest"))
+
+
+@query("SELECT true AS is_in_range, true AS is_the_best")
+def topic_number(spark, d):
+    """The number of clusters is one of those tried, and none of them has a better silhouette."""
+    k, told = topics.choose_k(fitted(spark, d).select("doc_id", "embedding").persist(), FIT)
+    return spark.createDataFrame([(FIT.k_min <= k <= FIT.k_max, told[k] == max(told.values()))], "is_in_range boolean, is_the_best boolean")
+
+
 # ---- reviews
 
 _LATEST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"

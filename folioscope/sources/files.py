@@ -49,18 +49,18 @@ def dataset_of(path: Column, prefixes: tuple[str, ...] = ("数据集1", "数据
     return out
 
 
-def manifest(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """One row per file under root: dataset, file_path, file_name, suffix, size_bytes (and content)."""
+def manifest(spark: SparkSession, root: str, content: bool = False, modified: bool = False) -> DataFrame:
+    """One row per file under root: dataset, file_path, file_name, suffix, size_bytes (and content, and modified; files of no bytes have no time)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    read = files.select(plain(F.col("path")).alias("path"), F.col("length"), *(["content"] if content else []))
+    read = files.select(plain(F.col("path")).alias("path"), F.col("length"), *(["content"] if content else []), *([F.col("modificationTime").alias("modified")] if modified else []))
     # the reader leaves out files of no bytes, though its listing has them
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(plain(F.col("path")).alias("path"))
-    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), *([F.lit(b"").cast("binary").alias("content")] if content else []))
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), *([F.lit(b"").cast("binary").alias("content")] if content else []), *([F.lit(None).cast("timestamp").alias("modified")] if modified else []))
     rows = read.unionByName(empty)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.when(name.rlike(r"[^.]\.[^.]+$"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))).otherwise("")
-    return rows.select(dataset_of(F.col("path")).alias("dataset"), F.col("path").alias("file_path"), name.alias("file_name"), suffix.alias("suffix"), F.col("length").alias("size_bytes"), *(["content"] if content else []))
+    return rows.select(dataset_of(F.col("path")).alias("dataset"), F.col("path").alias("file_path"), name.alias("file_name"), suffix.alias("suffix"), F.col("length").alias("size_bytes"), *(["content"] if content else []), *(["modified"] if modified else []))
 
 
 def decode_text(data: bytes) -> tuple[str, str]:
@@ -388,6 +388,20 @@ def without_cached(files: DataFrame, cache: DataFrame, *key: str) -> DataFrame:
     return files.join(cache.select(*key).distinct(), list(key), "left_anti")
 
 
+def parse_with_cache(files: DataFrame, cache: str, backend: Callable[[bytes, str], str], name: str, config: ReadConfig = ReadConfig()) -> DataFrame:
+    """Parsed documents, where files that the backend has read before come from the table at ``cache``; what is read now is added to it. files: a manifest with content and modified.
+    The key of a file changes with the backend's name, the file's place, size and time."""
+    spark = files.sparkSession
+    key = F.sha1(F.concat_ws("|", F.lit(name), F.col("file_path"), F.col("size_bytes").cast("string"), F.unix_micros("modified").cast("string")).cast("binary"))
+    keyed = files.withColumn("cache_key", key)
+    there = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    known = spark.read.parquet(cache) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
+    todo = keyed if known is None else without_cached(keyed, known, "cache_key")
+    fresh = parse_files(todo, config, backend).join(todo.select("file_path", "cache_key"), "file_path")
+    fresh.write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(F.broadcast(keyed.select("cache_key").distinct()) if keyed.count() <= 100_000 else keyed.select("cache_key").distinct(), "cache_key", "left_semi").drop("cache_key")
+
+
 def union_parsed(*parts: DataFrame) -> DataFrame:
     """Parsed documents of several datasets as one table; columns that a part lacks are null."""
     out = parts[0]

@@ -140,8 +140,28 @@ def test_written_stages(spark, parsed, tmp_path):
     log = spark.createDataFrame([(i, i) for i in range(30)], "doc_id long, updated_at long")
     stages.export_logs(log, f"{root}/logs", "updated_at", most=10)
     assert {r.doc_id for r in spark.read.json(f"{root}/logs").collect()} == set(range(20, 30))
-    keys = spark.createDataFrame([("a", 1), ("a", 2)], "p string, n long").select(stages.cache_key("b", F.col("p"), F.col("n"), F.lit("2024-01-01").cast("timestamp")).alias("k")).collect()
-    assert keys[0].k != keys[1].k and len(keys[0].k) == 40
+
+
+def test_cache_of_read_texts(spark, tmp_path):
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
+    folder.mkdir()
+    for n in "ab":
+        (folder / f"{n}.pdf").write_bytes(b"%PDF" + n.encode())
+    reads = tmp_path / "reads"
+    reads.mkdir()
+
+    def backend(data, suffix, reads=str(reads)):
+        import uuid
+
+        open(f"{reads}/{uuid.uuid4().hex}", "w").close()
+        return f"text {data[-1:].decode()}"
+
+    read = lambda: {r.file_name: r.clean_text for r in files.parse_with_cache(files.manifest(spark, str(folder), True, True), cache, backend, "own").collect()}
+    assert read() == {"a.pdf": "text a", "b.pdf": "text b"}
+    n = len(list(reads.iterdir()))
+    assert read() == {"a.pdf": "text a", "b.pdf": "text b"} and len(list(reads.iterdir())) == n
+    (folder / "b.pdf").write_bytes(b"%PDF c")
+    assert read() == {"a.pdf": "text a", "b.pdf": "text c"}
 
 
 def test_allocation_is_the_walk(spark):

@@ -223,7 +223,7 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         "risk_score": classify.risk_score(top1, margin, *told, coverage, overlap, confidence, F.col("text_length"), F.col("parse_status"), at),
         "review_reason": classify.review_reasons(margin, told[1], low & told[0], coverage, overlap, confidence, F.col("text_length"), F.col("parse_status"), at),
     }).withColumn("risk_level", classify.level(F.col("risk_score"), at.high, at.medium))
-    return rows.select(
+    out = rows.select(
         "doc_id", "dataset", "title", *(c for c in ("file_name", "char_count") if c in records.columns), "parse_status", F.round("field_coverage", 6).alias("field_coverage"),
         F.array_join(F.array_compact(F.array(*(F.when(F.col(f) != "", f) for f in fields))), ";").alias("available_fields"),
         F.col("one.cluster_id").alias("topic_cluster_id"), F.col("fine.name").alias("topic_name"), F.col("broad.name").alias("topic_parent_name"), F.col("broad.name").alias("topic_broad_name"), F.col("one.topic_name").alias("topic_prototype_name"), F.col("one.raw_topic_name").alias("raw_topic_name"),
@@ -234,3 +234,9 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         F.array_join(F.slice(F.array_distinct(F.when(F.size("found") > 0, F.col("found")).otherwise(F.slice(F.col("one.terms"), 1, 6))), 1, 6), "、").alias("evidence_terms"),
         F.array_join(F.transform("top", lambda x: F.concat(F.get(F.col("all"), x["i"])["topic_name"], F.lit(":"), F.format_string("%.4f", x["score"]))), " | ").alias("candidate_topics"),
     )
+    return settled(out)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows. A filter on a column stays above this step: pushed down, it would take along a copy of each expression that the column is made of, and of theirs in turn."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from folioscope.plans import registry
 
 #: A query of each kind; the others are checked at larger scale by the driver.
-CHECKED = "title_guess analysis_text line_filter feature_row money_score urgency_date review_priority priority_rank greedy_allocation resource_plan view_merge top_n_other page_offset family_rule_score content_split child_label cosine_top3 risk_score classification_summary tfidf_top_terms cluster_median_confidence latest_review review_transition_matrix audit_buckets".split()
+CHECKED = "title_guess analysis_text line_filter feature_row money_score urgency_date review_priority priority_rank greedy_allocation resource_plan view_merge top_n_other page_offset family_rule_score content_split child_label cosine_top3 risk_score classification_summary tfidf_top_terms cluster_median_confidence latest_review review_transition_matrix audit_buckets classify_documents review_queue dictionary_rows audit_view review_correction_matrix last_wins_join family_rollup".split()
 
 
 @pytest.fixture(scope="module")

@@ -26,13 +26,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         stars = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(stars) == state or not stars[0]:
             break
-        state = tuple(stars)
+        state, n = tuple(stars), stars[0]  # rows of the tables below are bounded by the number of edges
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(_least(both).select("u", F.least("u", "m").alias("m")), "least")
-        large = scratch.save(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        lower = scratch.save(_least(large), "lower")
+        least = scratch.save(_least(both).select("u", F.least("u", "m").alias("m")), "least", 2 * n)
+        large = scratch.save(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", 2 * n)
+        lower = scratch.save(_least(large), "lower", 2 * n)
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.save(small, "small-star")
+        after = scratch.save(small, "small-star", 4 * n)
         scratch.drop(now, least, large, lower)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

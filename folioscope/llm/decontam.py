@@ -25,8 +25,10 @@ from folioscope.llm.shared import Scratch, drop_rows, text_batches, text_bytes,
 
 #: Bytes of benchmark text sent to every task at once; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text in a shard of the index.
+SHARD_BYTES = 2 << 20
 #: Neighbouring words of a shard are marked in a table of so many places (a power of two); a mark by chance costs an intersection.
-PAIRS_BITS = 23
+PAIRS_BITS = 22
 WINDOW = 10
 
 #: Words are runs of digits, letters a-z (after lower-casing) and all bytes of non-ASCII characters.
@@ -44,13 +46,14 @@ def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     from pyspark import TaskContext
 
     task, schema = TaskContext.get().partitionId(), None
-    for n, batch in enumerate(text_batches(batches)):
+    for n, batch in enumerate(text_batches(batches, limit=SHARD_BYTES)):
         docs = [split_words(x) for x in text_bytes(batch.column(2))]
         lengths = np.array([len(d) for d in docs], np.int32)
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__
         total = int(lengths.sum())
         tokens = np.fromiter((ids[w] for d in docs for w in d), np.int32, total)
+        ids.default_factory = None  # or the dictionary would hold itself
         places = np.arange(total, dtype=np.int32) + np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
         postings = places[np.argsort(tokens, kind="stable")]
         ends = np.cumsum(np.bincount(tokens, minlength=len(ids)), dtype=np.int64)
@@ -133,6 +136,7 @@ class Phrases:
         self.names = [name for name, words in items if words]
         sizes = np.array([len(words) for _, words in items if words], np.int64)
         self.tokens = np.fromiter((ids[w] for _, words in items for w in words), np.int32, int(sizes.sum()))
+        ids.default_factory = None  # or the dictionary would hold itself
         self.words = list(ids)
         count = np.maximum(1, sizes - window + 1)
         self.item = np.repeat(np.arange(len(sizes), dtype=np.int32), count)

@@ -42,6 +42,10 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
+#: Rows of a file of a work table whose size is bounded beforehand.
+ROWS_A_FILE = 500_000
+
+
 class Scratch:
     """Work tables of one operator call, as Parquet in the shared folder.
 
@@ -59,8 +63,11 @@ class Scratch:
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
+        """most: an upper bound of the rows, if one is known; then no more files are written than that takes."""
         path = f"{self.at}/{next(self.numbers)}-{tag}"
+        if most is not None:
+            df = df.coalesce(4 + most // ROWS_A_FILE)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -129,6 +136,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system, as far as the platform can: Python workers live on between tasks, beside those of the next stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text each (one row at least), so that memory follows the slice and not the batch."""
     import numpy as np
@@ -142,6 +159,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        give_back()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -329,7 +329,7 @@ def test_suffix_crowd_of_ten_thousand(spark):
         assert got[i] == (len(gone), sum(k - 1 not in gone for k in gone))
 
 
-def test_suffix_copies_are_compared_by_bytes(spark, monkeypatch):
+def test_suffix_copies_are_compared_by_bytes(spark):
     """Stretches that hashes call equal are compared; where they differ the job stops instead of removing anything."""
     import pyarrow as pa
 
@@ -341,8 +341,8 @@ def test_suffix_copies_are_compared_by_bytes(spark, monkeypatch):
     assert out.column(5).to_pylist() == ["some  here"] and out.column(2).to_pylist() == [4]
     with pytest.raises(ValueError, match="equal hashes"):
         next(suffix_dedup._remove(iter([batch(b"tent")])))
-    rows = [(1, 10, 5, (1, 10 << 32 | 50)), (1, 10, 9, (9, 20 << 32 | 60)), (2, 11, 9, (9, 40 << 32 | 80)), (3, 12, 9, (9, 300 << 32 | 340))]
-    copies = spark.createDataFrame([(h, g, rid, span[1], (5, 10 << 32 | 50)) for g, (rid, h, _, span) in zip((1, 1, 2, 3), [(5, 1, 0, (0, 10 << 32 | 50)), (9, 1, 0, (0, 20 << 32 | 60)), (9, 2, 0, (0, 40 << 32 | 80)), (9, 3, 0, (0, 300 << 32 | 340))], strict=True)], "h long, g long, rid long, span long, first struct<rid:long,span:long>")
-    assert len(rows) == copies.count()
+    first = (5, 10 << 32 | 50)
+    places = [(1, 1, 5, 10 << 32 | 50), (1, 1, 9, 20 << 32 | 60), (2, 1, 9, 40 << 32 | 80), (3, 1, 9, 300 << 32 | 340)]
+    copies = spark.createDataFrame([(*p, first) for p in places], "h long, g long, rid long, span long, first struct<rid:long,span:long>")
     told = {(r.rid, r.trid, r.delta, r.b, r.e) for r in suffix_dedup._stretches(copies).collect()}
     assert (9, 5, 10, 20, 60) in told and all(b < e for *_, b, e in told)

@@ -17,6 +17,7 @@ from folioscope.llm.language_id import identify
 from folioscope.llm.mixing import mix
 from folioscope.llm.simhash import as_hex, near_groups
 from folioscope.llm.suffix_dedup import remove_repeats
+from folioscope.llm.token_align import align_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+#: Where the public vocabularies lie; a parameter of the query.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    found, _ = align_tokens(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -81,6 +92,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_token_align": op13_token_align,
     "pipeline": pipeline,
 }
 

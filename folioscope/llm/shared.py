@@ -63,12 +63,14 @@ class Scratch:
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
-    def save(self, df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
-        """most: an upper bound of the rows, if one is known; then no more files are written than that takes."""
+    def save(self, df: DataFrame, tag: str, most: int | None = None, rows_a_group: int | None = None) -> DataFrame:
+        """most: an upper bound of the rows, if one is known; then no more files are written than that takes. rows_a_group: for tables of large rows,
+        how many are written, and read, at once."""
         path = f"{self.at}/{next(self.numbers)}-{tag}"
         if most is not None:
             df = df.coalesce(4 + most // ROWS_A_FILE)
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.option("parquet.block.row.count.limit", str(rows_a_group)) if rows_a_group else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

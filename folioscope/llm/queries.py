@@ -14,10 +14,12 @@ from folioscope.llm.exact_dedup import exact_groups
 from folioscope.llm.hmm_lm import score_texts
 from folioscope.llm.html_extract import extract
 from folioscope.llm.language_id import identify
+from folioscope.llm.minhash import similar_groups
 from folioscope.llm.mixing import mix
 from folioscope.llm.simhash import as_hex, near_groups
 from folioscope.llm.suffix_dedup import remove_repeats
 from folioscope.llm.token_align import align_tokens
+from folioscope.llm.wand import rank_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Where the public vocabularies lie; a parameter of the query.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -92,6 +102,8 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_minhash": op11_minhash,
+    "op12_wand": op12_wand,
     "op13_token_align": op13_token_align,
     "pipeline": pipeline,
 }
@@ -175,6 +187,58 @@ WITH bench AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hits h ON h.r = d.r LEFT JOIN items t ON t.r = d.r
+""",
+    "op11_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 1], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, CAST(count(*) AS BIGINT) AS n FROM shingles GROUP BY r
+), pairs AS (
+  SELECT a.r AS u, b.r AS v, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.r = u JOIN sizes y ON y.r = v WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(r, root) AS (
+  SELECT r, r FROM words
+  UNION
+  SELECT e.v, x.root FROM reach x JOIN edges e ON e.u = x.r
+), component AS (
+  SELECT x.r, min(d.doc_id) AS component_id FROM reach x JOIN words d ON d.r = x.root GROUP BY x.r
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM words d JOIN component c ON c.r = d.r LEFT JOIN sizes s ON s.r = d.r
+""",
+    "op12_wand": r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, row_number() OVER () AS i,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), wanted AS (
+  SELECT item_id, i, t, count(*) AS q FROM items GROUP BY ALL
+), corpus AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words WHERE len(w) > 0
+), postings AS (
+  SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM words) WHERE t IN (SELECT t FROM wanted) GROUP BY r, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, corpus GROUP BY t, n_docs
+), scored AS (
+  SELECT x.item_id, x.i, d.r, d.doc_id,
+         CAST(sum(x.q * g.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + (75 * CAST(len(d.w) AS BIGINT) * c.n_docs) // c.n_terms)))) AS BIGINT) AS score
+  FROM wanted x JOIN postings p ON p.t = x.t JOIN weights g ON g.t = x.t JOIN words d ON d.r = p.r, corpus c
+  GROUP BY x.item_id, x.i, d.r, d.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
 

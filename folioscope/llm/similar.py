@@ -84,7 +84,7 @@ def prefixes(grams: np.ndarray, counts: np.ndarray, frequent: np.ndarray, ranks:
     return owner[own], place[own], grams[order][own]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (u, v) whose sets are similar enough. Whole sets are made for texts that are in a pair only, one text for each set."""
     pairs = scratch.save(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("set_id")).unionByName(pairs.select(F.col("v").alias("set_id"))).distinct()
@@ -130,14 +130,14 @@ def links(sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch, max_bi
     named = met.withColumn("root", F.col("set_id"))
     central = named.groupBy("gram").agg(F.max_by(F.struct(*columns), F.struct("k", "set_id")).alias("x")).select("gram", "x.*")
     stars = often(named.join(other(central), "gram"), F.col("shared") > 2)
-    found = _verified(close_prints(sets, scratch, max_bits).unionByName(stars).distinct(), sets, rows, words, scratch)
+    found = verified(close_prints(sets, scratch, max_bits).unionByName(stars).distinct(), sets, rows, words, scratch)
     of = scratch.save(components(found, scratch), "star-components")
     named = scratch.save(met.join(of, met["set_id"] == of["node"], "left").select("gram", "set_id", "n", "place", "nth", F.coalesce("root", "set_id").alias("root")), "named")
     several = named.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("gram")
     named = scratch.save(named.join(several, "gram", "left_semi"), "open")
     # of what both share, all up to the end of the prefix that ends first is in both prefixes; the rest of that set comes on top
     enough = 9 * (F.col("shared") + F.floor((4 * F.col("m") + 4) / 5) - 1) >= 4 * (F.col("n") + F.col("m"))
-    more = _verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, rows, words, scratch)
+    more = verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, rows, words, scratch)
     scratch.drop(met, named)
     return found.unionByName(more)
 

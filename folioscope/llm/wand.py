@@ -115,8 +115,8 @@ def wand(lists: list[tuple[list[int], list[int], int]], heap: list, k: int, floo
                     heappush(heap, (score, -rank[pivot]))
                 else:
                     heappushpop(heap, (score, -rank[pivot]))
-                if len(heap) == k:
-                    least = max(least, heap[0][0])
+                if len(heap) == k:  # ids rise within a shard: none that follows wins by its id against a smaller one
+                    least = max(least, heap[0][0] + (-heap[0][1] <= rank[pivot]))
             now = sorted(moved + now[place + 1 :])
         else:
             moved = []

@@ -4,8 +4,8 @@ A text's set is that of its word shingles. Two collections of sketches are made,
 collection. So 24 x 24 tables of eight minhashes each take 2 x 24 x 4 = 192 minhashes instead of 4,608. A pair of sets meets in some table if it shares a sketch of both collections: at a similarity
 of 0.8 with a chance of 0.999994, above it with more.
 
-A sketch that no other set has meets nothing, so keys are only formed from sketches that at least two sets have. In each bucket all sets are first compared with one, the same in as many
-buckets as possible, twice over; then all pairs of a bucket that aren't in one group yet. Candidates pass by their sizes and by one bit of each minhash (a bound six standard deviations off),
+A sketch that no other set has meets nothing, so keys are only formed from sketches that at least two sets have. In each bucket one set is the center, the same in as many
+buckets as possible; each set is first compared with the center that it meets most often, twice over with other centers; then all pairs of a bucket that aren't in one group yet. Candidates pass by their sizes and by one bit of each minhash (a bound six standard deviations off),
 and every link is verified on the whole sets. Groups of copies thus cost as many comparisons as members, not as pairs."""
 
 from __future__ import annotations
@@ -116,8 +116,10 @@ def groups(sets: DataFrame, docs: DataFrame, rows: DataFrame, words: int, scratc
         if step < STARS:
             order = F.struct(F.xxhash64(F.lit(step), "set_id").alias("o"), F.col("set_id").alias("center"), F.col("n").alias("m"), F.col("root").alias("other"))
             center = now.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.center", "c.m", "c.other")
-            met = now.join(center, "key").filter((F.col("root") != F.col("other")) & _near_sizes(F.col("n"), F.col("m"))).select(*pair).distinct()
-            met = met.join(side("u"), "u").join(side("v"), "v").filter(_near_bits("u", "v")).select("u", "v")
+            met = now.join(center, "key").filter((F.col("root") != F.col("other")) & _near_sizes(F.col("n"), F.col("m"))).groupBy("set_id", "center").agg(F.count(F.lit(1)).alias("times"))
+            met = met.join(side("set_id"), "set_id").join(side("center"), "center").filter(_near_bits("set_id", "center"))
+            # the one that a set meets most often; the others come later, if they are needed
+            met = met.groupBy("set_id").agg(F.max_by("center", F.struct("times", F.xxhash64(F.lit(step), "center"))).alias("center")).select(*pair).distinct()
         else:  # all that is left
             whole = scratch.save(now.join(side("set_id").withColumnsRenamed({f"b{k}set_id": f"b{k}u" for k in range(3)}), "set_id"), "open")
             other = whole.select("key", F.col("set_id").alias("center"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"b{k}u").alias(f"b{k}v") for k in range(3)))

@@ -114,8 +114,10 @@ def links(sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch, max_bi
 
     sets: doc_id, text_key, set_id, n, fp, prefix; rows: doc_id, text_key, text."""
     entries = sets.select("set_id", "n", F.posexplode("prefix").alias("place", "gram"))
-    by_gram, by_set = Window.partitionBy("gram"), Window.partitionBy("set_id")
-    met = entries.withColumns({"a": F.min("set_id").over(by_gram), "b": F.max("set_id").over(by_gram)}).filter("a <> b").drop("a", "b").distinct()
+    by_set = Window.partitionBy("set_id")
+    # found by sums that are formed where entries arise, and a join that Spark can split: no task needs all sets of a shingle
+    shared = scratch.save(entries.groupBy("gram").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b").select("gram"), "shared")
+    met = entries.join(shared, "gram").distinct()
     # only shingles that another set has too are left: how many of them come before this one in its set, and how many there are
     met = scratch.save(met.withColumns({"nth": F.row_number().over(by_set.orderBy("place")) - 1, "k": F.count(F.lit(1)).over(by_set)}), "met")
 
@@ -138,7 +140,7 @@ def links(sets: DataFrame, rows: DataFrame, words: int, scratch: Scratch, max_bi
     # of what both share, all up to the end of the prefix that ends first is in both prefixes; the rest of that set comes on top
     enough = 9 * (F.col("shared") + F.floor((4 * F.col("m") + 4) / 5) - 1) >= 4 * (F.col("n") + F.col("m"))
     more = verified(often(named.join(other(named), "gram").filter(F.col("set_id") < F.col("set_id_v")), enough), sets, rows, words, scratch)
-    scratch.drop(met, named)
+    scratch.drop(shared, met, named)
     return found.unionByName(more)
 
 

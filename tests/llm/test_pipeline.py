@@ -4,7 +4,22 @@ import zlib
 
 import corpus_pipeline
 from folioscope.llm import mixing
-from tests.llm.test_operators import bench_words, fingerprint, groups_of, lower
+from tests.llm.test_operators import bench_words, lower
+
+
+def least_of_similar(texts):
+    """The smallest doc_id of each group of texts that share four fifths of their shingles of five words."""
+    sets = {}
+    for i, t in texts.items():
+        w = lower(t).encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if x == old else x for k, x in root.items()}
+    return set(root.values())
 
 
 def test_stages(spark, sf, tmp_path):
@@ -24,12 +39,7 @@ def test_stages(spark, sf, tmp_path):
     for r in b:
         best[lower(r.text)] = max(best.get(lower(r.text), -1), r.doc_id)
     assert {r.doc_id for r in c} == set(best.values())
-    root = groups_of({fingerprint(r.text) for r in c}, 3)
-    least = {}
-    for r in c:
-        k = root[fingerprint(r.text)]
-        least[k] = min(least.get(k, r.doc_id), r.doc_id)
-    assert {r.doc_id for r in d} == set(least.values())
+    assert {r.doc_id for r in d} == least_of_similar({r.doc_id: r.text for r in c})
     phrases = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         w = bench_words(r.text)
@@ -50,15 +60,5 @@ def test_near_finds_all_similar_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = [(90001, None), (90002, ""), (90003, "a b"), (90004, "A  b"), (90005, " ".join(f"w{k}" for k in range(50))), (90006, " ".join(f"w{k}" for k in range(45))), (90007, " ".join(f"w{k}" for k in range(40)))]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
-    sets = {}
-    for r in rows.collect():
-        w = lower(r.text).encode().split()
-        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    root = {k: k for k in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                old, new = max(root[a], root[b]), min(root[a], root[b])
-                root = {k: new if x == old else x for k, x in root.items()}
     kept = [r.doc_id for r in corpus_pipeline.near(spark, rows, sf).collect()]
-    assert sorted(kept) == sorted(set(root.values())) and not {90002, 90004, 90006, 90007, 145, 177} & set(kept)
+    assert sorted(kept) == sorted(least_of_similar({r.doc_id: r.text for r in rows.collect()})) and not {90002, 90004, 90006, 90007, 145, 177} & set(kept)

@@ -5,7 +5,7 @@ collection. So 24 x 24 tables of eight minhashes each take 2 x 24 x 4 = 192 minh
 of 0.8 with a chance of 0.999994, above it with more.
 
 A sketch that no other set has meets nothing, so keys are only formed from sketches that at least two sets have. In each bucket one set is the center, the same in as many
-buckets as possible; each set is first compared with the center that it meets most often, twice over with other centers; then all pairs of a bucket that aren't in one group yet. Candidates pass by their sizes and by one bit of each minhash (a bound six standard deviations off),
+buckets as possible; each set is first compared with the center that it meets most often, twice over with other centers; then all pairs of a bucket that aren't in one group yet. Candidates pass by their sizes and by one bit of each minhash (a bound five standard deviations off),
 and every link is verified on the whole sets. Groups of copies thus cost as many comparisons as members, not as pairs."""
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from folioscope.llm.similar import shingle_set, verified
 WORDS = 2
 #: Sketches of a collection, and minhashes of a sketch.
 SKETCHES, ROWS = 24, 4
-#: Bits, one of each minhash, in which two sets of similarity 0.8 may differ: a tenth is expected, and six standard deviations.
+#: Bits, one of each minhash, in which two sets of similarity 0.8 may differ: a tenth is expected, and five standard deviations (which one pair in 3.5 million exceeds).
 BITS = 2 * SKETCHES * ROWS
-MOST_BITS = round(BITS / 10 + 6 * (BITS * 0.09) ** 0.5)
+MOST_BITS = round(BITS / 10 + 5 * (BITS * 0.09) ** 0.5)
 STARS = 2
 
 _DOCS = "doc_id long, text_key long, set_id long, n int, sketches array<long>, b0 long, b1 long, b2 long"
@@ -42,8 +42,8 @@ def minhashes(grams: np.ndarray, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 1 << 63, (2, BITS, 1), dtype=np.uint64)
     a, out = 2 * a + np.uint64(1), np.full(BITS, np.iinfo(np.uint64).max)
-    for k in range(0, len(grams), 4096):
-        np.minimum(out, (a * grams[None, k : k + 4096].view(np.uint64) + b).min(axis=1), out=out)
+    for k in range(0, len(grams), 512):  # products that stay in the processor's cache
+        np.minimum(out, (a * grams[None, k : k + 512].view(np.uint64) + b).min(axis=1), out=out)
     return out
 
 
@@ -120,11 +120,16 @@ def groups(sets: DataFrame, docs: DataFrame, rows: DataFrame, words: int, scratc
             met = met.join(side("set_id"), "set_id").join(side("center"), "center").filter(_near_bits("set_id", "center"))
             # the one that a set meets most often; the others come later, if they are needed
             met = met.groupBy("set_id").agg(F.max_by("center", F.struct("times", F.xxhash64(F.lit(step), "center"))).alias("center")).select(*pair).distinct()
-        else:  # all that is left
-            whole = scratch.save(now.join(side("set_id").withColumnsRenamed({f"b{k}set_id": f"b{k}u" for k in range(3)}), "set_id"), "open")
-            other = whole.select("key", F.col("set_id").alias("center"), F.col("n").alias("m"), F.col("root").alias("other"), *(F.col(f"b{k}u").alias(f"b{k}v") for k in range(3)))
-            on = (F.col("set_id") < F.col("center")) & (F.col("root") != F.col("other")) & _near_sizes(F.col("n"), F.col("m")) & _near_bits("u", "v")
-            met = whole.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & on).select(*pair).distinct()
+        else:  # all that is left: each pair that meets in a table comes once, from the first sketch of the first collection that it shares
+            whole = now.select("set_id", "root").distinct().join(sets.drop("keep"), "set_id").withColumnsRenamed({f"b{k}": f"b{k}u" for k in range(3)})
+            slots = scratch.save(whole, "open").select("*", F.posexplode(F.slice("sketches", 1, SKETCHES)).alias("i", "x"))
+            several = slots.groupBy("i", "x").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("i", "x")
+            slots = scratch.save(slots.join(several, ["i", "x"], "left_semi"), "open-slots")
+            other = slots.select(*(F.col(c).alias(d) for c, d in (("i", "k"), ("x", "z"), ("set_id", "center"), ("n", "m"), ("root", "other"), ("sketches", "theirs"), ("b0u", "b0v"), ("b1u", "b1v"), ("b2u", "b2v"))))
+            shared = F.zip_with("sketches", "theirs", lambda x, z: x == z)
+            first = (F.array_position(shared, F.lit(True)) == F.col("i") + 1) & F.exists(F.slice(shared, SKETCHES + 1, SKETCHES), lambda x: x)
+            on = (F.col("set_id") < F.col("center")) & (F.col("root") != F.col("other")) & _near_sizes(F.col("n"), F.col("m")) & _near_bits("u", "v") & first
+            met = slots.join(other, (F.col("i") == F.col("k")) & (F.col("x") == F.col("z")) & on).select(*pair)
         own = verified(met, docs, rows, words, scratch)
         if not own.isEmpty():
             found = own if found is None else found.unionByName(own)

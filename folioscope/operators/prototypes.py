@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.functions import vectors as v
-from folioscope.operators import classify, rules, topics
+from folioscope.operators import classify, matcher, rules, topics
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,8 +118,8 @@ def build(records: DataFrame, assignments: DataFrame, summary: DataFrame, tokens
     summary: cluster_id, topic_name, raw_topic_name, top_terms (missing clusters are named by their number). Records without text are left out."""
     spark = records.sparkSession
     # tokens are made before the join, where texts lie, and kept; a record without text has none
-    text = F.substring("analysis_text", 1, config.max_text_chars)
-    rows = records.select("doc_id", t.let(text, lambda x: F.when(x != "", tokens(x))).alias("tokens"))
+    rows = records.select("doc_id", F.substring("analysis_text", 1, config.max_text_chars).alias("text"))
+    rows = rows.select("doc_id", F.when(F.col("text") != "", tokens(F.col("text"))).alias("tokens"))
     kept = rows.join(assignments.select("doc_id", "cluster_id"), "doc_id").persist()
     rows = kept.filter("tokens IS NOT NULL")
     support = {r["cluster_id"]: r["n"] for r in rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -206,9 +206,12 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         "top1_score": F.col("a.score"), "score_margin": F.col("a.score") - F.col("b.score"), "confidence_score": v.softmax_first(F.transform("top", lambda x: x["score"])), "text_length": sum((F.length(f) for f in fields), F.lit(0)),
         "overlap": t.let(whole, lambda x: F.when(F.size(F.col("one.terms")) > 0, F.size(F.filter(F.col("one.terms"), lambda w: F.contains(x, w))) / F.size(F.col("one.terms"))).otherwise(0.0)),
         "found": F.flatten(F.array(*(F.get(F.col(f"hit_{f}"), F.col("a")["i"]) for f in fields))),
-        "broad": rules.content_split(ruleset.split, ruleset.domains, ruleset.overridden, ruleset.fallback, F.col("title"), F.col("analysis_text"), names),
+        "split_words": matcher.match_rules(ruleset.split, F.col("title"), F.col("analysis_text"), names),
     })
-    rows = rows.withColumn("fine", rules.child_label(ruleset.children, ruleset.child_fallbacks, F.col("broad.name"), F.col("broad.reason"), F.col("title"), F.col("analysis_text")))
+    title, body = F.col("title"), F.col("analysis_text")
+    rows = rows.withColumn("broad", rules.content_split(ruleset.split, ruleset.domains, ruleset.overridden, ruleset.fallback, title, body, names, F.col("split_words")))
+    rows = rows.withColumn("child_words", rules.match_children(ruleset.children, F.col("broad.name"), F.col("broad.reason"), title, body))
+    rows = rows.withColumn("fine", rules.child_label(ruleset.children, ruleset.child_fallbacks, F.col("broad.name"), F.col("broad.reason"), title, body, F.col("child_words")))
     reason = F.when(F.col("fine.reason") == "", F.col("broad.reason")).otherwise(F.concat(F.col("broad.reason"), F.lit("; "), F.col("fine.reason")))
     rows = rows.withColumns({"topic_split_reason": reason, "specific": rules.specific_evidence(reason)})
     top1, margin, overlap, coverage, confidence = (F.col(c) for c in ("top1_score", "score_margin", "overlap", "field_coverage", "confidence_score"))

@@ -1,7 +1,7 @@
 """One rule scorer for topic families, content splits and child topics.
 
 Rules are data: a list of Rule, from code or from a JSON-lines file (load_rules). The scorer is one expression over the row's
-texts: no join, no UDF. Of equal scores the rule declared first wins."""
+texts, without a join. For a few words it looks for each by itself; for many, matcher.py finds all of them in one pass. Of equal scores the rule declared first wins."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.functions.lexicons import GENERIC_EVIDENCE
+from folioscope.operators import matcher
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,18 @@ class Rule:
     evidence: tuple[int, int, int] = (5, 5, 4)
 
 
-def score_rule(rule: Rule, low: Column) -> Column:
-    """struct<score double, name string, evidence array<string>>; null where the rule doesn't apply. low: struct of title, body and prior in lower case, the raw title, and latin."""
-    prior_words = rule.prior_words if rule.prior_words is not None else (*rule.title_words, *rule.body_words)
-    parts = [(low["title"], rule.title_words), (low["body"], rule.body_words), (low["prior"], prior_words)]
-    a, b, c = (t.contained(x, w, True, True) for x, w in parts)
-    na, nb, nc = (t.hits(x, w, True, True) for x, w in parts)
+def score_rule(rule: Rule, low: Column, found: Column | None = None) -> Column:
+    """struct<score double, name string, evidence array<string>>; null where the rule doesn't apply. low: struct of title, body and prior in lower case, the raw title, and latin.
+    found: what matcher.match_rules has for the rule; without it, each word is looked for by itself."""
+    if found is not None:
+        na, nb, nc, told, specific = (found[c] for c in ("a", "b", "c", "told", "specific"))
+    else:
+        parts = list(zip((low["title"], low["body"], low["prior"]), matcher.words_of(rule), strict=True))
+        a, b, c = (t.contained(x, w, True, True) for x, w in parts)
+        na, nb, nc = (t.hits(x, w, True, True) for x, w in parts)
+        told = F.array_union(F.array_union(F.slice(a, 1, rule.evidence[0]), F.slice(b, 1, rule.evidence[1])), F.slice(c, 1, rule.evidence[2]))
+        specific = F.size(F.array_except(F.array_union(a, b), F.array(*map(F.lit, rule.generic)))) > 0
     score = na * F.lit(rule.title_weight) + nb * F.lit(rule.body_weight) + nc * F.lit(rule.prior_weight)
-    told = F.array_union(F.array_union(F.slice(a, 1, rule.evidence[0]), F.slice(b, 1, rule.evidence[1])), F.slice(c, 1, rule.evidence[2]))
     for p in rule.patterns:
         found = low["raw"].rlike(f"(?iu){p}")
         score = score + F.when(found, 2.0).otherwise(0.0)
@@ -52,19 +57,19 @@ def score_rule(rule: Rule, low: Column) -> Column:
     if rule.needs_content:
         applies = (na + nb > 0) | bonus
     if rule.generic:
-        applies = applies & (F.size(F.array_except(F.array_union(a, b), F.array(*map(F.lit, rule.generic)))) > 0)
+        applies = applies & specific
     made = t.let(F.round(score * rule.boost, 6), lambda s: F.when(s > 0, F.struct(s.alias("score"), F.lit(rule.name).alias("name"), F.slice(told, 1, 8).alias("evidence"))))
     return F.when(applies, made)
 
 
-def ranked(rules: Sequence[Rule], title: Column, body: Column, prior: Column, latin: Column | None = None) -> Column:
-    """The rules that apply, best first. Texts are put in lower case once for all rules."""
+def ranked(rules: Sequence[Rule], title: Column, body: Column, prior: Column, latin: Column | None = None, found: Column | None = None) -> Column:
+    """The rules that apply, best first. Texts are put in lower case once for all rules. found: a column of matcher.match_rules over the same rules and texts."""
     if not rules:
         return F.array().cast("array<struct<score:double,name:string,evidence:array<string>>>")
     low = F.struct(F.lower(title).alias("title"), F.lower(body).alias("body"), F.lower(prior).alias("prior"), title.alias("raw"), (latin if latin is not None else F.lit(0.0)).alias("latin"))
 
     def order(z: Column) -> Column:
-        placed = F.transform(F.array(*(score_rule(r, z) for r in rules)), lambda x, i: F.struct((-x["score"]).alias("low"), i.alias("i"), x.alias("rule")))
+        placed = F.transform(F.array(*(score_rule(r, z, None if found is None else F.get(found, F.lit(k))) for k, r in enumerate(rules))), lambda x, i: F.struct((-x["score"]).alias("low"), i.alias("i"), x.alias("rule")))
         return F.transform(F.array_sort(F.filter(placed, lambda x: x["rule"].isNotNull())), lambda x: x["rule"])
 
     return t.let(low, order)
@@ -95,8 +100,8 @@ def domain_override(domains: Sequence[tuple[str, Sequence[str], int]], title: Co
     return F.coalesce(*made) if made else F.lit(None).cast("struct<name:string,reason:string>")
 
 
-def content_split(rules: Sequence[Rule], domains: Sequence[tuple[str, Sequence[str], int]], overridden: str, fallback: str, title: Column, body: Column, prior: Column) -> Column:
-    """struct<name, reason> of a document by its content; the rule named ``overridden`` gives way to a domain that the title names."""
+def content_split(rules: Sequence[Rule], domains: Sequence[tuple[str, Sequence[str], int]], overridden: str, fallback: str, title: Column, body: Column, prior: Column, found: Column | None = None) -> Column:
+    """struct<name, reason> of a document by its content; the rule named ``overridden`` gives way to a domain that the title names. found: as in ranked."""
     latin = t.latin_ratio(t.join_nonempty(" ", title, body, prior))
 
     def choose(best: Column) -> Column:
@@ -104,22 +109,34 @@ def content_split(rules: Sequence[Rule], domains: Sequence[tuple[str, Sequence[s
         other = F.when(best["name"] == overridden, domain_override(domains, title))
         return F.coalesce(other, own, F.struct(F.lit(fallback).alias("name"), F.lit("content_fallback").alias("reason")))
 
-    return t.let(F.try_element_at(ranked(rules, title, body, prior, latin), F.lit(1)), choose)
+    return t.let(F.try_element_at(ranked(rules, title, body, prior, latin, found), F.lit(1)), choose)
 
 
-def child_label(rules: Mapping[str, Sequence[Rule]], fallbacks: Mapping[str, str], parent: Column, reason: Column, title: Column, body: Column) -> Column:
-    """struct<name, reason>: the best child rule of the document's parent topic, else the parent's fallback name."""
-    prior = F.concat(parent, F.lit(" "), reason)
+def child_label(rules: Mapping[str, Sequence[Rule]], fallbacks: Mapping[str, str], parent: Column, reason: Column, title: Column, body: Column, found: Column | None = None) -> Column:
+    """struct<name, reason>: the best child rule of the document's parent topic, else the parent's fallback name. found: a column of match_children."""
+    prior = child_prior(parent, reason)
     name = F.concat(parent, F.lit("综合类"))
     for p, f in fallbacks.items():
         name = F.when(parent == p, F.lit(f)).otherwise(name)
     out = F.struct(name.alias("name"), F.coalesce(F.nullif(reason, F.lit("")), F.lit("subtopic_fallback")).alias("reason"))
+    begin = 0
     for p, own in rules.items():
-        best = F.when(parent == p, t.let(F.try_element_at(ranked(own, title, body, prior), F.lit(1)), lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), F.array_join(b["evidence"], "、").alias("reason")))))
+        matched = None if found is None else F.slice(found, begin + 1, len(own))
+        begin += len(own)
+        best = F.when(parent == p, t.let(F.try_element_at(ranked(own, title, body, prior, found=matched), F.lit(1)), lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), F.array_join(b["evidence"], "、").alias("reason")))))
         out = F.coalesce(best, out)
     return out
 
 
+def child_prior(parent: Column, reason: Column) -> Column:
+    return F.concat(parent, F.lit(" "), reason)
+
+
+def match_children(rules: Mapping[str, Sequence[Rule]], parent: Column, reason: Column, title: Column, body: Column) -> Column:
+    """What matcher.match_rules finds for the rules of all parents, one after the other."""
+    return matcher.match_rules([r for own in rules.values() for r in own], title, body, child_prior(parent, reason))
+
+
 def child_rule(name: str, words: Sequence[str], patterns: Sequence[str] = (), boost: float = 1.0) -> Rule:
     return Rule(name, tuple(words), tuple(words), tuple(words), 2.2, 1.0, 0.4, boost, tuple(patterns), evidence=(4, 4, 3))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import display, lexicons
 from folioscope.functions import text as t
 from folioscope.functions import vectors as v
-from folioscope.operators import classify, features, priority, rules, topics, views
+from folioscope.operators import classify, features, matcher, priority, rules, segment, topics, views
 from folioscope.operators import prototypes as proto
 from folioscope.plans import sql
 from folioscope.sources import files
@@ -859,6 +859,62 @@ def topic_number(spark, d):
     return spark.createDataFrame([(FIT.k_min <= k <= FIT.k_max, told[k] == max(told.values()))], "is_in_range boolean, is_the_best boolean")
 
 
+# ---- words of rules in one pass, and of text without blanks
+
+_ALL_RULES = [*SPLIT_RULES, *(r for own in CHILDREN.values() for r in own)]
+_HITS = ", ".join("({})".format(" + ".join(f"CAST(contains(lower({c}), '{w.lower()}') AS INT)" for w in dict.fromkeys(words)) or "0") for r in _ALL_RULES for c, words in (("title", r.title_words), ("body", r.body_words)))
+
+
+@query(f"WITH {DOCS}, h AS (SELECT unnest(range(0, {len(_ALL_RULES)})) AS rule, [{_HITS}] AS n FROM a) SELECT CAST(rule AS INT) AS rule, CAST(sum(n[2 * rule + 1]) AS BIGINT) AS title_words, CAST(sum(n[2 * rule + 2]) AS BIGINT) AS body_words, count(*) FILTER (n[2 * rule + 1] + n[2 * rule + 2] > 0) AS documents FROM h GROUP BY 1")
+def rule_words(spark, d):
+    """The words of all split and child rules, found in one pass over each text."""
+    rows = docs(spark, d)
+    rows = rows.withColumn("body", features.analysis_text(rows, HINTS, True))
+    rows = rows.select(F.posexplode(matcher.match_rules(_ALL_RULES, F.col("title"), F.col("body"), F.lit(""))).alias("rule", "x"))
+    return rows.groupBy("rule").agg(F.sum("x.a").cast("long").alias("title_words"), F.sum("x.b").cast("long").alias("body_words"), F.count_if(F.col("x.a") + F.col("x.b") > 0).alias("documents"))
+
+
+#: The documents without blanks, in Han characters: a-z stand for themselves in another alphabet.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 7 * k) for k in range(26))
+_RUNS = f"han AS (SELECT doc_id, replace(translate(lower(coalesce(text, '')), '{_LETTERS}', '{_HAN}'), ' ', '') AS text FROM documents)"
+_GRAMS = rf"""{_RUNS},
+r AS (SELECT chr(10) || unnest(regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]+')) || chr(10) AS run FROM han),
+k AS (SELECT run, unnest(range(1, least(5, length(run)) + 1)) AS k FROM r),
+g AS (SELECT gram, count(*) AS n FROM (SELECT substring(run, i, k) AS gram FROM (SELECT run, k, unnest(range(1, length(run) - k + 2)) AS i FROM k)) WHERE gram <> chr(10) GROUP BY gram),
+w AS (SELECT gram AS word, n FROM g WHERE length(gram) BETWEEN 2 AND 3 AND n >= 20 AND NOT contains(gram, chr(10))),
+one AS (SELECT sum(n) AS total FROM g WHERE length(gram) = 1),
+c AS (SELECT word, n, unnest(range(1, length(word))) AS k FROM w),
+b AS (SELECT word, c.n, min(ln(c.n::DOUBLE * total / (h.n * t.n))) AS cohesion FROM c JOIN g h ON h.gram = substring(word, 1, k) JOIN g t ON t.gram = substring(word, k + 1), one GROUP BY 1, 2),
+s AS (SELECT substring(gram, 2) AS word, 0 AS side, n FROM g WHERE length(gram) >= 3 UNION ALL SELECT substring(gram, 1, length(gram) - 1), 1, n FROM g WHERE length(gram) >= 3),
+f AS (SELECT word, min(h) AS freedom FROM (SELECT word, side, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM s GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2)"""
+
+
+def han_texts(spark, d):
+    text = F.replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), _LETTERS, _HAN), F.lit(" "), F.lit(""))
+    return texts(spark, d).select("doc_id", text.alias("text"))
+
+
+@query(f"WITH {_GRAMS} SELECT b.word, n, round(cohesion, 4) AS cohesion, round(freedom, 4) AS freedom FROM b JOIN f ON f.word = b.word WHERE cohesion >= 2 AND freedom >= 1")
+def han_words(spark, d):
+    """Words found in text without blanks, by cohesion and freedom."""
+    found = segment.discover_words(han_texts(spark, d), F.col("text"), 3, 20, 2.0, 1.0)
+    return found.select("word", "n", F.round("cohesion", 4).alias("cohesion"), F.round("freedom", 4).alias("freedom"))
+
+
+@query(rf"WITH {_RUNS} SELECT doc_id, len(regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]')) AS characters, true AS is_all_words FROM han")
+def han_segments(spark, d):
+    """What must hold for the best paths through all texts: each character is in one segment, and segments of several characters are words of the dictionary."""
+    rows = han_texts(spark, d)
+    found = segment.discover_words(rows, F.col("text"), 3, 20, 2.0, 1.0).persist()
+    words = segment.dictionary(found)
+    known = F.broadcast(found.agg(F.collect_set("word").alias("known")))
+    cut = rows.select("doc_id", segment.segmented(F.col("text"), words).alias("all")).join(known)
+    han = F.filter("all", lambda w: w.rlike(t.HAN))
+    found.unpersist()
+    long_ = F.filter(han, lambda w: F.length(w) > 1)
+    return cut.select("doc_id", F.aggregate(han, F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("characters"), (F.size(F.array_except(long_, F.col("known"))) == 0).alias("is_all_words"))
+
+
 # ---- reviews
 
 _LATEST = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, spelled out: regex engines differ in what \s means.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-HAN = r"[\x{4e00}-\x{9fff}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# Han characters, punctuation, and the dates that count, in the order in which they are looked for.
+HAN = r"[\x{4e00}-\x{9fff}]"
 PUNCTUATION = r"[，。！？；：,.!?;:\-—()（）\[\]{}<>《》“”\"']"
-# The dates that count, in the order in which they are looked for.
 DATE_PATTERNS = (
     r"20\d{2}[年/-]\d{1,2}[月/-]\d{1,2}日?",
     r"20\d{2}[年/-]\d{1,2}[月/-]?",
@@ -23,6 +23,7 @@ DATE_PATTERNS = (
 FULL_DATE = r"20\d{2}[年/\-.]\d{1,2}[月/\-.]\d{1,2}日?"
 MONEY = r"\d+(?:\.\d+)?\s*(?:亿元|万元|千元|元|人民币|USD|usd|美元)?"
 UNITS = {"亿元": 1e8, "万元": 1e4, "千元": 1e3}
+# End of fixed values.
 
 
 #: The same characters one by one.

@@ -161,19 +161,19 @@ def load_rules(spark: SparkSession, path: str) -> list[Rule]:
 
 # The thirteen topic families with their words and boosts, and the raw names that decide by themselves.
 FAMILIES = [
-    Rule("企业投资与房地产类", tuple("企业 投资 固定资产 房地产 开发 资产 建筑业 施工 利润 成本 营业".split()), boost=1.5),
-    Rule("地区民生与收入消费类", tuple("地区 居民 收入 消费 旅游 零售 生活 服务 客运 冰雪".split()), boost=1.4),
-    Rule("教育科研与学术文献类", tuple("教育 学校 大学 学院 高校 学生 教师 科研 研究 论文 学报 期刊 课题".split()), boost=1.5, patterns=(r"\b(Abstract|Keywords|References|Journal|Paper|Thesis)\b",)),
-    Rule("工业交通与能源通信类", tuple("工业 交通 运输 客运 货运 铁路 公路 港口 邮政 通信 电信 能源 电力 煤炭 石油 物流".split()), boost=1.4),
-    Rule("资源环境与城市建设类", tuple("耕地 土地 水利 生态 环境 城市 地震 气象 基础设施 供水 排水 绿化 监测".split()), boost=1.4),
-    Rule("财政金融与宏观经济类", tuple("生产总值 国内生产总值 财政 金融 预算 决算 税收 货币 贷款 存款 外债 证券 股票 债券 价格 指数 收入 支出".split()), boost=1.5),
-    Rule("人口就业与社会保障类", tuple("人口 就业 失业 年龄 出生 死亡 抚养比 社保 社会保障 民政 养老 社会事业".split()), boost=1.4),
-    Rule("农业农村与土地资源类", tuple("农业 农村 农民 粮食 耕地 农作物 牲畜 畜牧 乡村 水稻 播种".split()), boost=1.4),
-    Rule("科技专利与标准规范类", tuple("科技 技术 专利 发明 实用新型 外观设计 知识产权 标准 规范 规程 检验 检测 认证 质量 指南".split()), boost=1.4),
-    Rule("医药卫生与药品类", tuple("卫生 医疗 医院 诊疗 门诊 床位 医药 药品 药学 处方 医学 健康 疾病 药物".split()), boost=1.4),
-    Rule("文化旅游与居民消费类", tuple("文化 旅游 游客 景区 冰雪 消费 零售 商品 服务业 餐饮 住宿 体育 娱乐 休闲".split()), boost=1.4),
-    Rule("综合统计指标类", tuple("单位 人员 平均 情况 编号 时间 指标 统计 数据 合计 数量 总计 表".split()), boost=1.4),
-    Rule("对外贸易与国际经济类", tuple("进出口 出口 进口 外贸 外资 外汇 国际旅游 贸易 海关 口岸 利用外资 跨境".split()), boost=1.4),
+    Rule("企业投资与房地产类", ("企业", "投资", "固定资产", "房地产", "开发", "资产", "建筑业", "施工", "利润", "成本", "营业"), boost=1.5),
+    Rule("地区民生与收入消费类", ("地区", "居民", "收入", "消费", "旅游", "零售", "生活", "服务", "客运", "冰雪"), boost=1.4),
+    Rule("教育科研与学术文献类", ("教育", "学校", "大学", "学院", "高校", "学生", "教师", "科研", "研究", "论文", "学报", "期刊", "课题"), boost=1.5, patterns=(r"\b(Abstract|Keywords|References|Journal|Paper|Thesis)\b",)),
+    Rule("工业交通与能源通信类", ("工业", "交通", "运输", "客运", "货运", "铁路", "公路", "港口", "邮政", "通信", "电信", "能源", "电力", "煤炭", "石油", "物流"), boost=1.4),
+    Rule("资源环境与城市建设类", ("耕地", "土地", "水利", "生态", "环境", "城市", "地震", "气象", "基础设施", "供水", "排水", "绿化", "监测"), boost=1.4),
+    Rule("财政金融与宏观经济类", ("生产总值", "国内生产总值", "财政", "金融", "预算", "决算", "税收", "货币", "贷款", "存款", "外债", "证券", "股票", "债券", "价格", "指数", "收入", "支出"), boost=1.5),
+    Rule("人口就业与社会保障类", ("人口", "就业", "失业", "年龄", "出生", "死亡", "抚养比", "社保", "社会保障", "民政", "养老", "社会事业"), boost=1.4),
+    Rule("农业农村与土地资源类", ("农业", "农村", "农民", "粮食", "耕地", "农作物", "牲畜", "畜牧", "乡村", "水稻", "播种"), boost=1.4),
+    Rule("科技专利与标准规范类", ("科技", "技术", "专利", "发明", "实用新型", "外观设计", "知识产权", "标准", "规范", "规程", "检验", "检测", "认证", "质量", "指南"), boost=1.4),
+    Rule("医药卫生与药品类", ("卫生", "医疗", "医院", "诊疗", "门诊", "床位", "医药", "药品", "药学", "处方", "医学", "健康", "疾病", "药物"), boost=1.4),
+    Rule("文化旅游与居民消费类", ("文化", "旅游", "游客", "景区", "冰雪", "消费", "零售", "商品", "服务业", "餐饮", "住宿", "体育", "娱乐", "休闲"), boost=1.4),
+    Rule("综合统计指标类", ("单位", "人员", "平均", "情况", "编号", "时间", "指标", "统计", "数据", "合计", "数量", "总计", "表"), boost=1.4),
+    Rule("对外贸易与国际经济类", ("进出口", "出口", "进口", "外贸", "外资", "外汇", "国际旅游", "贸易", "海关", "口岸", "利用外资", "跨境"), boost=1.4),
 ]
 FAMILY_OVERRIDES = {
     "单位、人员、平均类": ("单位人员与平均指标类", "raw_topic_override:单位/人员/平均"),

@@ -27,12 +27,15 @@ MOST_WORDS = 1_000_000
 _RUNS = re.compile(r"([一-鿿]+)|[^\W一-鿿]+")
 
 # Words that say nothing about a topic.
-STOPWORDS = tuple(
-    """的 了 和 是 在 与 及 为 对 将 于 等 及其 以及 有关 进行 通过 根据 关于 其中 一个 一种 我们 你们 他们 本 该 此 其 各 并 或 而 文件 内容 数据 信息 图片 名称 下载 正文 标题 附件 记录 资料
-    url html http https www cn com stats ndsj jpg jpeg png pdf docx txt xlsx gov sj the of and to in for on with at from
-    通知 办法 规定 方案 实施 管理 首页 登录 注册 搜索 导航 菜单 栏目 专题 互动 服务 公开 知识 网页 网站 版权 版权所有 联系 联系方式 地址 电话 邮箱 传真 邮编 微信 微博 手机版 扫一扫 分享 打印 查看 点击 阅读 更多 详情
-    返回 上一页 下一页 来源 作者 记者 通讯员 发布者 发布时间 原文链接 站内搜索 信息公开 友情链接 网站地图""".split()
-)
+STOPWORDS = (
+    "的", "了", "和", "是", "在", "与", "及", "为", "对", "将", "于", "等", "及其", "以及", "有关", "进行", "通过", "根据", "关于", "其中", "一个", "一种", "我们", "你们",
+    "他们", "本", "该", "此", "其", "各", "并", "或", "而", "文件", "内容", "数据", "信息", "图片", "名称", "下载", "正文", "标题", "附件", "记录", "资料",
+    "url", "html", "http", "https", "www", "cn", "com", "stats", "ndsj", "jpg", "jpeg", "png", "pdf", "docx", "txt", "xlsx", "gov", "sj", "the", "of", "and", "to", "in", "for",
+    "on", "with", "at", "from",
+    "通知", "办法", "规定", "方案", "实施", "管理", "首页", "登录", "注册", "搜索", "导航", "菜单", "栏目", "专题", "互动", "服务", "公开", "知识", "网页", "网站", "版权", "版权所有", "联系", "联系方式",
+    "地址", "电话", "邮箱", "传真", "邮编", "微信", "微博", "手机版", "扫一扫", "分享", "打印", "查看", "点击", "阅读", "更多", "详情",
+    "返回", "上一页", "下一页", "来源", "作者", "记者", "通讯员", "发布者", "发布时间", "原文链接", "站内搜索", "信息公开", "友情链接", "网站地图",
+)
 # End of fixed values.
 
 

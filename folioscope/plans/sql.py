@@ -81,8 +81,8 @@ a AS (SELECT doc_id, source, lang, text, title, info, merged, kept, coalesce(nul
 
 
 def money(x: str) -> str:
-    found = rf"regexp_extract_all({norm(x)}, '\d+(?:\.\d+)?\s*(?:亿元|万元|千元|元|人民币|USD|usd|美元)?')"
-    value = r"CAST(regexp_extract(y, '^\d+(?:\.\d+)?') AS DOUBLE) * (CASE WHEN y LIKE '%亿元' THEN 1e8 WHEN y LIKE '%万元' THEN 1e4 WHEN y LIKE '%千元' THEN 1e3 ELSE 1 END)"
+    found = f"regexp_extract_all({norm(x)}, '{t.MONEY}')"
+    value = r"CAST(regexp_extract(y, '^\d+(?:\.\d+)?') AS DOUBLE) * (CASE " + " ".join(f"WHEN y LIKE '%{u}' THEN {n:g}" for u, n in t.UNITS.items()) + " ELSE 1 END)"
     return f"list_filter(list_transform({found}, lambda y: {value}), lambda v: v > 0)"
 
 
@@ -91,7 +91,7 @@ def money_score(values: str) -> str:
 
 
 def urgency(x: str, as_of: str) -> str:
-    found = rf"regexp_extract_all({x}, '20\d{{2}}[年/\-.]\d{{1,2}}[月/\-.]\d{{1,2}}日?')"
+    found = f"regexp_extract_all({x}, '{t.FULL_DATE}')"
     part = lambda k: rf"regexp_extract(y, '(20\d{{2}})[年/\-.](\d{{1,2}})[月/\-.](\d{{1,2}})', {k})"
     day = f"try_cast({part(1)} || '-' || lpad({part(2)}, 2, '0') || '-' || lpad({part(3)}, 2, '0') AS DATE)"
     days = f"list_min(list_filter(list_transform({found}, lambda y: date_diff('day', {as_of}, {day})), lambda v: v >= 0))"

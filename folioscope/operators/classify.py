@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as v
+from folioscope.operators.work import settled
 
-#: Prototypes sent to every task: at most so many, with so many bytes of vectors; the fit's k is 160. More are refused.
+#: Prototypes sent to every task at once: at most so many, with so many bytes of vectors; the fit's k is 160. More go block by block.
 PROTOTYPE_LIMIT, PROTOTYPE_BYTES = 10_000, 256 << 20
 
 
@@ -42,18 +43,30 @@ def centroids(vectors: DataFrame, cluster: str, vector: str) -> DataFrame:
     return made.select("cluster_id", v.unit(F.col("mean")).alias("centroid"), F.col("support").cast("long").alias("support"))
 
 
-def top_prototypes(vectors: DataFrame, prototypes: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
-    """(key, cluster_id, score, rank): the k prototypes of the highest cosine for each row; of equal ones the larger id.
+def top_prototypes(vectors: DataFrame, prototypes: DataFrame, key: str, vector: str, k: int = 3, block: int = PROTOTYPE_LIMIT, block_bytes: int = PROTOTYPE_BYTES) -> DataFrame:
+    """(key, cluster_id, score, rank): the k prototypes of the highest cosine for each row; of equal ones the larger id. No prototypes give no rows.
 
-    The prototypes travel as one literal-sized array per task (their number is checked), and each row ranks them by itself: no row is multiplied and nothing is shuffled."""
+    The prototypes travel as one array per task, and each row ranks them by itself: no row is multiplied and nothing is shuffled. If there are more than ``block``, or more than
+    ``block_bytes`` of vectors, they go block by block; a row keeps its best k so far, written down between blocks, so a task never holds more than one."""
     n, numbers = prototypes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()
-    if n > PROTOTYPE_LIMIT or 8 * numbers > PROTOTYPE_BYTES:
-        raise ValueError(f"{n} prototypes of {8 * numbers} bytes; at most {PROTOTYPE_LIMIT} of {PROTOTYPE_BYTES} bytes can be sent to every task")
-    packed = F.broadcast(prototypes.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("all")))
-    unit = vectors.select(F.col(key), v.unit(v.doubles(F.col(vector))).alias("x")).join(packed)
-    scored = F.transform("all", lambda p: F.struct(v.dot(F.col("x"), p["centroid"]).alias("score"), p["cluster_id"].alias("cluster_id")))
-    best = F.slice(F.reverse(F.array_sort(scored)), 1, k)
-    return unit.select(key, F.posexplode(best).alias("i", "p")).select(key, F.col("p.cluster_id").alias("cluster_id"), F.col("p.score").alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
+    blocks = max(1, -(-n // block), -(-8 * numbers // block_bytes))
+    place = F.pmod(F.xxhash64("cluster_id"), F.lit(blocks))
+    if blocks > 1:  # hashes don't fill blocks evenly: some more of them, so that the fullest is within the limits
+        while True:
+            place = F.pmod(F.xxhash64("cluster_id"), F.lit(blocks))
+            fullest = prototypes.groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("centroid")).alias("s")).agg(F.max("n"), F.max("s")).first()
+            if blocks >= n or (fullest[0] <= block and 8 * fullest[1] <= block_bytes):
+                break
+            blocks += max(1, blocks // 4)
+    best = vectors.select(F.col(key), v.unit(v.doubles(F.col(vector))).alias("x"), F.expr("cast(array() as array<struct<score:double,cluster_id:bigint>>)").alias("best"))
+    for b in range(blocks):
+        part = prototypes if blocks == 1 else prototypes.filter(place == b)
+        packed = F.broadcast(part.agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid"))).alias("all")))  # one row
+        scored = F.transform("all", lambda p: F.struct(v.dot(F.col("x"), p["centroid"]).alias("score"), p["cluster_id"].alias("cluster_id")))
+        best = best.join(packed).select(key, "x", F.slice(F.reverse(F.array_sort(F.concat("best", scored))), 1, k).alias("best"))
+        if blocks > 1:
+            best = settled(best)
+    return best.select(key, F.posexplode("best").alias("i", "p")).select(key, F.col("p.cluster_id").alias("cluster_id"), F.col("p.score").alias("score"), (F.col("i") + 1).cast("long").alias("rank"))
 
 
 def ranking(top: DataFrame, key: str) -> DataFrame:

@@ -12,14 +12,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.functions import vectors as v
 from folioscope.operators import classify, matcher, rules, topics
+from folioscope.operators.reduce import right_singular_vectors
+from folioscope.operators.work import settled as settled_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -107,10 +107,9 @@ def _project(weights: DataFrame, key: str, terms: list[str], rows: int, dims: in
     if rows <= 2 or len(terms) <= 2:
         return None
     named = weights.join(F.broadcast(weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")), "term")
-    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x")).select("x")
-    n = len(terms)
-    matrix = RowMatrix(lists.rdd.map(lambda r: OldVectors.sparse(n, [(e["i"], e["weight"]) for e in r[0]])))
-    return matrix.computeSVD(max(2, min(dims, rows - 1, n - 1))).V.toArray()
+    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
+    sparse = settled_rows(lists.select(F.transform("x", lambda e: e["i"]).alias("indices"), F.transform("x", lambda e: e["weight"]).alias("values")))
+    return right_singular_vectors(sparse, len(terms), max(2, min(dims, rows - 1, len(terms) - 1)))[0]
 
 
 def build(records: DataFrame, assignments: DataFrame, summary: DataFrame, tokens: Callable[[Column], Column], config: ClassifierConfig = ClassifierConfig()) -> Model:

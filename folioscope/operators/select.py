@@ -16,7 +16,7 @@ BUCKETS, FEW, SENT = 1024, 10_000, 100_000
 
 def _bucket(x: Column, lo: Column, hi: Column) -> Column:
     """The bucket of a value between the bounds; it never falls as the value rises. Bounds far apart are cut by the logarithm."""
-    share = F.when((lo > 0) & (hi > BUCKETS * lo), F.log(x / lo) / F.log(hi / lo)).otherwise((x / 2 - lo / 2) / (hi / 2 - lo / 2))
+    share = F.when((lo > 0) & (hi > BUCKETS * lo), (F.log(x) - F.log(lo)) / (F.log(hi) - F.log(lo))).otherwise((x / 2 - lo / 2) / (hi / 2 - lo / 2))
     return F.when(lo == hi, 0).otherwise(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
 
 

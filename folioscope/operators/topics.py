@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
+from folioscope.operators import features, kmeans
+from folioscope.operators.reduce import right_singular_vectors
+from folioscope.operators.select import medians
+from folioscope.operators.work import settled
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class TopicConfig:
     k_min: int = 160
     k_max: int = 160
     starts: int = 8
+    silhouette_rows: int = 1000
     seed: int = 42
     stopwords: tuple[str, ...] = field(default=())
 
@@ -56,14 +58,9 @@ def weigh(df: DataFrame, key: str, tokens: Column, words: DataFrame) -> DataFram
 
 
 def tfidf(df: DataFrame, key: str, tokens: Column, min_df: int = 2, max_df: float = 0.85, features: int = 4000) -> DataFrame:
-    """(key, term, weight): counts times smoothed idf, rows at unit length; terms by corpus frequency, then alphabet."""
-    rows = df.select(F.col(key), F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.count()
-    terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    words = F.broadcast(terms.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    raw = rows.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(key, term, weight): counts times smoothed idf, rows at unit length; terms by corpus frequency, then alphabet. Only terms of the vocabulary are counted for each row."""
+    rows = df.select(F.col(key), tokens.alias("tokens"))
+    return weigh(rows, key, F.col("tokens"), vocabulary(rows, F.col("tokens"), min_df, max_df, features))
 
 
 def top_terms(weights: DataFrame, cluster: str, sizes: DataFrame, k: int = 10) -> DataFrame:
@@ -79,7 +76,7 @@ def topic_name(terms: Column) -> Column:
 
 def distance_confidence(rows: DataFrame, cluster: str, distance: str) -> DataFrame:
     """Adds exp(-distance / median of the cluster); the median is 1e-6 at least."""
-    scale = rows.groupBy(cluster).agg(F.greatest(F.median(distance), F.lit(1e-6)).alias("scale"))
+    scale = medians(rows, cluster, distance).select(cluster, F.greatest("median", F.lit(1e-6)).alias("scale"))
     return rows.join(scale, cluster).withColumn("confidence", F.exp(-F.col(distance) / F.col("scale"))).drop("scale")
 
 
@@ -90,70 +87,92 @@ def representatives(rows: DataFrame, cluster: str, distance: str, key: str, n: i
 
 
 def cluster_summary(rows: DataFrame, cluster: str, distance: str) -> DataFrame:
-    n = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.median(distance), 6).alias("median_distance"))
+    n = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    n = n.join(medians(rows, cluster, distance).select(cluster, F.round("median", 6).alias("median_distance")), cluster)
     total = n.agg(F.sum("size").alias("total"))
     return n.join(F.broadcast(total)).withColumn("share", F.round(F.col("size") / F.col("total"), 6)).drop("total")
 
 
+def sparse_rows(tokens: Column, terms: list[str], idf: np.ndarray) -> Column:
+    """struct<indices, values>: the known terms of a list of tokens, counts times idf, at unit length. terms and idf are bounded by the number of features."""
+
+    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+    def run(column: pa.Array) -> pa.Array:
+        import pyarrow.compute  # noqa: F401
+
+        at = pa.compute.index_in(column.flatten(), value_set=pa.array(terms, pa.string()))
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        of = pa.compute.list_parent_indices(column).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+        entries, times = np.unique(of * len(terms) + at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        row, i = np.divmod(entries, max(len(terms), 1))
+        w = times * idf[i]
+        w = w / np.sqrt(np.bincount(row, w * w, minlength=len(column)))[row]
+        cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))]), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (i.astype(np.int32), w)], ["indices", "values"])
+
+    return run(tokens)
+
+
+def projected(sparse: Column, v: np.ndarray) -> Column:
+    """Sparse rows times v (features x dims), at unit length; a row without a known term stays zero."""
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        import pyarrow.compute  # noqa: F401
+
+        ids, values = (column.field(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+        of = pa.compute.list_parent_indices(column.field(0)).to_numpy(zero_copy_only=False)
+        y = np.zeros((len(column), v.shape[1]))
+        for a in range(0, len(ids), 1 << 16):
+            k = slice(a, a + (1 << 16))
+            np.add.at(y, of[k], values[k, None] * v[ids[k]])
+        size = np.linalg.norm(y, axis=1, keepdims=True)
+        y = y / np.where(size > 0, size, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * v.shape[1], pa.int32()), pa.array(y.ravel()))
+
+    return run(sparse)
+
+
 def embed(df: DataFrame, tokens: Column, config: TopicConfig = TopicConfig()) -> DataFrame:
-    """Adds column ``embedding``: TF-IDF, reduced to config.dims dimensions, at unit length. One partition would hold the whole product: input is spread first."""
-    rows = df.withColumn("tokens", tokens).repartition(max(df.sparkSession.sparkContext.defaultParallelism, 2))
-    counts = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=config.features, minDF=config.min_df, maxDF=config.max_df).fit(rows)
-    x = counts.transform(rows)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(x).idf.toArray()
-    x = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="tf", outputCol="raw").transform(x)
-    x = Normalizer(inputCol="raw", outputCol="unit").transform(x)
-    n, width = x.count(), len(counts.vocabulary)
-    if n <= 2 or width <= 2:
-        return x.withColumn("embedding", vector_to_array("unit")).drop("tokens", "tf", "raw", "unit")
-    dims = max(2, min(config.dims, n - 1, width - 1))
-    matrix = RowMatrix(x.select("unit").rdd.map(lambda r: OldVectors.sparse(r[0].size, r[0].indices, r[0].values)))
-    v = matrix.computeSVD(dims).V.toArray()
-    return _project(x, v).drop("tokens", "tf", "raw", "unit")
-
-
-def _project(x: DataFrame, v) -> DataFrame:
-    """unit times v, by Arrow batches (v is bounded by features times dims)."""
-    @F.pandas_udf("array<double>")
-    def project(index: pd.Series, value: pd.Series) -> pd.Series:
-        out = []
-        for i, w in zip(index, value, strict=True):
-            y = np.asarray(w, float) @ v[np.asarray(i, int)] if len(i) else np.zeros(v.shape[1])
-            size = np.linalg.norm(y)
-            out.append((y / size if size else y).tolist())
-        return pd.Series(out)
-
-    dense = vector_to_array("unit")
-    places = F.filter(F.transform(dense, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"] != 0)
-    return x.withColumn("__p", places).withColumn("embedding", project(F.transform("__p", lambda e: e["i"]), F.transform("__p", lambda e: e["w"]))).drop("__p")
-
-
-def cluster(df: DataFrame, k: int, config: TopicConfig = TopicConfig()) -> tuple[DataFrame, object, float]:
-    """The best of several k-means fits by cost: (rows with cluster_id and distance, model, cost)."""
-    rows = df.withColumn("features", array_to_vector("embedding")).persist()
-    best = None
-    for s in range(config.starts):
-        model = KMeans(k=k, seed=config.seed + s).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    centers = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in best.clusterCenters()))
-    out = best.transform(rows).withColumn("cluster_id", F.col("prediction"))
-    gap = F.zip_with("embedding", F.get(centers, F.col("cluster_id")), lambda a, b: (a - b) * (a - b))
-    out = out.withColumn("distance_to_centroid", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)))
-    return out.drop("features", "prediction"), best, best.summary.trainingCost
-
-
-def choose_k(df: DataFrame, config: TopicConfig = TopicConfig()) -> tuple[int, dict[int, float]]:
-    """The k of the best silhouette, the smallest of equal ones; 1 for fewer than three rows."""
+    """Adds column ``embedding``: TF-IDF, reduced to config.dims dimensions, at unit length. Where there is too little to reduce, the weights of all terms. An empty table gives an empty result."""
+    sparse, n, width, v = _reduced(df, tokens, config)
+    if v is None:
+        v = np.eye(max(width, 1))
+    return sparse.withColumn("embedding", projected(F.col("__sparse"), v)).drop("__sparse")
+
+
+def _reduced(df: DataFrame, tokens: Column, config: TopicConfig) -> tuple[DataFrame, int, int, np.ndarray | None]:
+    """The rows with their sparse weights, written down; how many rows and terms there are; the directions to project on."""
+    rows = features.spread(df).withColumn("__tokens", tokens)
+    n = rows.count()
+    words = vocabulary(rows, F.col("__tokens"), config.min_df, config.max_df, config.features).orderBy("term").collect()
+    terms, idf = [r["term"] for r in words], np.array([r["idf"] for r in words])
+    sparse = settled(rows.withColumn("__sparse", sparse_rows(F.col("__tokens"), terms, idf)).drop("__tokens"))
+    if n <= 2 or len(terms) <= 2:
+        return sparse, n, len(terms), None
+    dims = max(2, min(config.dims, n - 1, len(terms) - 1))
+    return sparse, n, len(terms), right_singular_vectors(sparse.select("__sparse.*"), len(terms), dims, config.seed)[0]
+
+
+def cluster(df: DataFrame, k: int, config: TopicConfig = TopicConfig(), key: str | None = None) -> tuple[DataFrame, kmeans.Fit, float]:
+    """The best of several mini-batch k-means fits by cost: (rows with cluster_id and distance_to_centroid, fit, cost). key: the column that batches are drawn by; without it, they are by the vectors."""
+    found = kmeans.fit(df, key, "embedding", k, config.starts, config.seed)
+    out = df.withColumn("__near", kmeans.nearest(F.col("embedding"), found.centers))
+    return out.withColumns({"cluster_id": F.col("__near.cluster_id"), "distance_to_centroid": F.col("__near.distance")}).drop("__near"), found, found.cost
+
+
+def choose_k(df: DataFrame, config: TopicConfig = TopicConfig(), key: str | None = None) -> tuple[int, dict[int, float]]:
+    """The k of the best mean silhouette (Euclidean, of a sample), the smallest of equal ones, from 2 on; 1 for fewer than three rows. Each k is fitted with all of its starts. key: a column
+    that tells rows apart; without it, they are numbered."""
     n = df.count()
     if n < 3:
         return 1, {}
-    rows = df.withColumn("features", array_to_vector("embedding"))
+    if key is None:
+        df, key = settled(df.withColumn("__row", F.monotonically_increasing_id())), "__row"
     told = {}
-    for k in range(min(config.k_min, n - 1), min(config.k_max, n - 1) + 1):
-        found = KMeans(k=k, seed=config.seed).fit(rows).transform(rows)
-        told[k] = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(found) if k > 1 else 0.0
-    return max(told, key=lambda k: (told[k], -k)), told
+    for k in range(max(2, min(config.k_min, n - 1)), max(2, min(config.k_max, n - 1)) + 1):
+        told[k] = silhouette(cluster(df, k, config, key)[0], key, "cluster_id", "embedding", config.silhouette_rows).first()["silhouette"]
+    return max(told, key=lambda k: (told[k] if told[k] is not None else -1.0, -k)), told
 
 
 def default_tokens(column: str, config: TopicConfig = TopicConfig()) -> Column:

@@ -102,3 +102,11 @@ def test_tables_find_similar_pairs(similarity, least):
     """The chance that two sets share a sketch of each collection, as the tables need."""
     one = 1 - (1 - similarity**minhash.ROWS) ** minhash.SKETCHES
     assert one * one > least
+
+
+def test_parity_sketches_never_differ_more_than_the_sets():
+    rng = random.Random(8)
+    for _ in range(50):
+        a, b = ({f"s{rng.randrange(400)}" for _ in range(rng.randrange(1, 300))} for _ in range(2))
+        x, y = (minhash.parity(np.sort(np.concatenate([shingle_set(w.encode(), 1) for w in s]))) for s in (a, b))
+        assert sum(int(k).bit_count() for k in (x ^ y).view(np.uint64)) <= len(a ^ b)

@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from folioscope.llm import quality, toxicity
 from folioscope.llm.decontam import contamination
 from folioscope.llm.exact_dedup import exact_groups
@@ -88,6 +87,8 @@ def op13_token_align(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # the other queries don't need it
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -241,6 +242,3 @@ WITH words AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
-
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -30,6 +30,20 @@ def ahp_weights(matrix: Sequence[Sequence[float]] = AHP) -> dict[str, float]:
     return {"risk": x[0], "necessity": x[1], "urgency": x[2], "lambda_max": eigen, "consistency_index": index, "consistency_ratio": index / RANDOM_INDEX}
 
 
+def ahp_struct(first: Column, second: Column, third: Column, rounds: int = 200) -> Column:
+    """The same for three criteria in each row, as struct<risk, necessity, urgency, lambda_max, consistency_ratio>: how much more the first weighs than the second, the first than the third, and the second than the third."""
+
+    def step(w: Column, _: Column) -> Column:
+        a = w["a"] + first * w["b"] + second * w["c"]
+        b = w["a"] / first + w["b"] + third * w["c"]
+        c = w["a"] / second + w["b"] / third + w["c"]
+        return F.struct((a / (a + b + c)).alias("a"), (b / (a + b + c)).alias("b"), (c / (a + b + c)).alias("c"), (a + b + c).alias("l"))
+
+    equal = F.struct(*(F.lit(1.0 / 3).alias(x) for x in "abc"), F.lit(3.0).alias("l"))
+    told = lambda w: F.struct(w["a"].alias("risk"), w["b"].alias("necessity"), w["c"].alias("urgency"), w["l"].alias("lambda_max"), ((w["l"] - 3) / 2 / RANDOM_INDEX).alias("consistency_ratio"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), equal, step, told)
+
+
 def signal_score(f: DataFrame) -> Column:
     flag = lambda k: t.safe_int(f[f"{k}_signal"])
     score = 0.35 * flag("money") + 0.25 * flag("approval") + 0.20 * flag("review") + 0.10 * flag("business") + 0.10 * flag("policy")

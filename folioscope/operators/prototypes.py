@@ -137,10 +137,16 @@ def build(records: DataFrame, assignments: DataFrame, summary: DataFrame, tokens
         raise ValueError(f"{len(order)} centroids of {width} numbers are more than {MODEL_BYTES} bytes")
     model = Model(terms, idf, projection, [], np.zeros((len(order), width)))
     means = weights.join(rows.select("doc_id", "cluster_id"), "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("w"))
-    sums = means.collect() if projection is None else rows.select("cluster_id", F.posexplode(vectors(F.col("tokens"), model)).alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("w")).collect()
-    place, row = {w: i for i, w in enumerate(terms)}, {c: i for i, c in enumerate(order)}
-    for r in sums:
-        model.centroids[row[r["cluster_id"]], place[r["term"]] if projection is None else r["i"]] = r["w"] / support[r["cluster_id"]]
+    if projection is None:
+        numbered = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "i int, term string"))
+        sums = means.join(numbered, "term").select("cluster_id", "i", "w")
+    else:
+        sums = rows.select("cluster_id", F.posexplode(vectors(F.col("tokens"), model)).alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("w"))
+    # an array of places and one of numbers for each prototype: what comes to the driver is about the model itself, whose size is checked above
+    packed = sums.groupBy("cluster_id").agg(F.collect_list(F.struct("i", "w")).alias("x")).select("cluster_id", F.transform("x", lambda e: e["i"]).alias("i"), F.transform("x", lambda e: e["w"]).alias("w")).toArrow()
+    row = {c: i for i, c in enumerate(order)}
+    for c, i, w in zip(packed["cluster_id"].to_pylist(), packed["i"], packed["w"], strict=True):
+        model.centroids[row[c], i.values.to_numpy()] = w.values.to_numpy() / support[c]
     model.centroids = _unit(model.centroids)
     sizes = spark.createDataFrame(sorted(support.items()), "cluster_id long, n long")
     scored = means.join(F.broadcast(sizes), "cluster_id").withColumn("mean", F.round(F.col("w") / F.col("n"), 9)).filter("mean > 0")
@@ -181,8 +187,9 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         rows = rows.filter("false")
     schema = "all array<struct<cluster_id:long,topic_name:string,raw_topic_name:string,terms:array<string>,support:long>>"
     packed = [tuple(p[c] for c in ("cluster_id", "topic_name", "raw_topic_name", "dictionary_terms", "support")) for p in model.prototypes]
-    rows = rows.join(F.broadcast(spark.createDataFrame([(packed,)], schema)))  # one row
+    # the dictionary comes after the Python columns, or each row would carry it through their queues
     rows = rows.withColumns({f"cos_{f}": vectors(tokens(F.col(f)), model, model.centroids) for f in fields})
+    rows = rows.join(F.broadcast(spark.createDataFrame([(packed,)], schema)))  # one row
     hits = lambda f: F.transform("all", lambda p: F.filter(p["terms"], lambda w: (F.col(f) != "") & F.contains(F.col(f), w)))
     rows = rows.withColumns({f"hit_{f}": hits(f) for f in fields})
     active = sum((F.when(F.col(f) != "", w).otherwise(0.0) for f, w in config.weights.items()), F.lit(0.0))
@@ -205,10 +212,12 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         "top1_score": F.col("a.score"), "score_margin": F.col("a.score") - F.col("b.score"), "confidence_score": v.softmax_first(F.transform("top", lambda x: x["score"])), "text_length": sum((F.length(f) for f in fields), F.lit(0)),
         "overlap": t.let(whole, lambda x: F.when(F.size(F.col("one.terms")) > 0, F.size(F.filter(F.col("one.terms"), lambda w: F.contains(x, w))) / F.size(F.col("one.terms"))).otherwise(0.0)),
         "found": F.flatten(F.array(*(F.get(F.col(f"hit_{f}"), F.col("a")["i"]) for f in fields))),
-        "split_words": matcher.match_rules(ruleset.split, F.col("title"), F.col("analysis_text"), names),
+        "candidates": F.array_join(F.transform("top", lambda x: F.concat(F.get(F.col("all"), x["i"])["topic_name"], F.lit(":"), F.format_string("%.4f", x["score"]))), " | "),
+        "names": names,
     })
+    rows = rows.drop("all", "top", *(f"{x}_{f}" for x in ("cos", "hit") for f in fields)).withColumn("split_words", matcher.match_rules(ruleset.split, F.col("title"), F.col("analysis_text"), F.col("names")))
     title, body = F.col("title"), F.col("analysis_text")
-    rows = rows.withColumn("broad", rules.content_split(ruleset.split, ruleset.domains, ruleset.overridden, ruleset.fallback, title, body, names, F.col("split_words")))
+    rows = rows.withColumn("broad", rules.content_split(ruleset.split, ruleset.domains, ruleset.overridden, ruleset.fallback, title, body, F.col("names"), F.col("split_words")))
     rows = rows.withColumn("child_words", rules.match_children(ruleset.children, F.col("broad.name"), F.col("broad.reason"), title, body))
     rows = rows.withColumn("fine", rules.child_label(ruleset.children, ruleset.child_fallbacks, F.col("broad.name"), F.col("broad.reason"), title, body, F.col("child_words")))
     reason = F.when(F.col("fine.reason") == "", F.col("broad.reason")).otherwise(F.concat(F.col("broad.reason"), F.lit("; "), F.col("fine.reason")))
@@ -234,7 +243,7 @@ def classify_documents(model: Model, records: DataFrame, ruleset: RuleSet, token
         F.col("two.cluster_id").alias("top2_cluster_id"), F.col("two.topic_name").alias("top2_topic_name"), F.col("b.score").alias("top2_score"), F.col("three.cluster_id").alias("top3_cluster_id"), F.col("three.topic_name").alias("top3_topic_name"), F.col("c.score").alias("top3_score"),
         "score_margin", "confidence_score", "risk_score", "risk_level", F.when(F.col("risk_level") == "low", 0).otherwise(1).alias("review_flag"), classify.review_priority(F.col("risk_level")).alias("review_priority"), classify.decision(F.col("risk_level")).alias("review_decision"), "review_reason",
         F.array_join(F.slice(F.array_distinct(F.when(F.size("found") > 0, F.col("found")).otherwise(F.slice(F.col("one.terms"), 1, 6))), 1, 6), "、").alias("evidence_terms"),
-        F.array_join(F.transform("top", lambda x: F.concat(F.get(F.col("all"), x["i"])["topic_name"], F.lit(":"), F.format_string("%.4f", x["score"]))), " | ").alias("candidate_topics"),
+        F.col("candidates").alias("candidate_topics"),
     )
     return settled(out)
 

@@ -266,10 +266,20 @@ def resource_plan(spark, d):
     return priority.allocate(spark, ranked(spark, d), SCENARIOS)[1]
 
 
-@query("WITH RECURSIVE x(i, a, b, c, l) AS (SELECT 0, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 3.0::DOUBLE UNION ALL SELECT i + 1, (a + 2 * b + 3 * c) / s, (a / 2 + b + 2 * c) / s, (a / 3 + b / 2 + c) / s, s FROM (SELECT *, (a + 2 * b + 3 * c) + (a / 2 + b + 2 * c) + (a / 3 + b / 2 + c) AS s FROM x WHERE i < 200)) SELECT round(a, 9) AS risk, round(b, 9) AS necessity, round(c, 9) AS urgency, round(l, 9) AS lambda_max, round((l - 3) / 2 / 0.58::DOUBLE, 9) AS consistency_ratio FROM x WHERE i = 200")
+_JUDGED = "SELECT source, count(*) FILTER (n_chars >= 3000) + 1 AS n1, count(*) FILTER (n_chars >= 1000 AND n_chars < 3000) + 1 AS n2, count(*) FILTER (n_chars < 1000) + 1 AS n3 FROM documents GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE j AS (SELECT source, least(9.0::DOUBLE, greatest(1.0::DOUBLE / 9, round(n1::DOUBLE / n2))) AS p, least(9.0::DOUBLE, greatest(1.0::DOUBLE / 9, round(n1::DOUBLE / n3))) AS q, least(9.0::DOUBLE, greatest(1.0::DOUBLE / 9, round(n2::DOUBLE / n3))) AS r FROM ({_JUDGED})),
+x(source, p, q, r, i, a, b, c, l) AS (SELECT source, p, q, r, 0, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 3.0::DOUBLE FROM j UNION ALL
+SELECT source, p, q, r, i + 1, y1 / (y1 + y2 + y3), y2 / (y1 + y2 + y3), y3 / (y1 + y2 + y3), y1 + y2 + y3 FROM (SELECT *, a + p * b + q * c AS y1, a / p + b + r * c AS y2, a / q + b / r + c AS y3 FROM x WHERE i < 200))
+SELECT source, round(a, 6) AS risk, round(b, 6) AS necessity, round(c, 6) AS urgency, round(l, 6) AS lambda_max, round((l - 3) / 2 / 0.58::DOUBLE, 6) AS consistency_ratio FROM x WHERE i = 200""")
 def ahp_weights(spark, d):
-    w = priority.ahp_weights()
-    return spark.createDataFrame([tuple(round(w[k], 9) for k in ("risk", "necessity", "urgency", "lambda_max", "consistency_ratio"))], "risk double, necessity double, urgency double, lambda_max double, consistency_ratio double")
+    """Weights of three criteria for each source, compared by how many of its documents are long, middling and short."""
+    n = F.col("n_chars")
+    rows = table(spark, d, "documents").groupBy("source").agg(*((F.count_if(c) + 1).alias(k) for k, c in (("n1", n >= 3000), ("n2", (n >= 1000) & (n < 3000)), ("n3", n < 1000))))
+    judged = lambda a, b: F.least(F.lit(9.0), F.greatest(F.lit(1.0 / 9), F.round(F.col(a).cast("double") / F.col(b))))
+    w = priority.ahp_struct(judged("n1", "n2"), judged("n1", "n3"), judged("n2", "n3"))
+    return rows.select("source", w.alias("w")).select("source", *(F.round(f"w.{c}", 6).alias(c) for c in ("risk", "necessity", "urgency", "lambda_max", "consistency_ratio")))
 
 
 # ---- joins and reports
@@ -807,7 +817,7 @@ _DIST = f"{_CENTROIDS}, ds AS (SELECT u.vec_id, u.label, round(sqrt(sum((u.x - c
 
 def distances(spark, d):
     c = prototypes(spark, d)
-    x = table(spark, d, "embeddings").join(F.broadcast(c), F.col("label") == F.col("cluster_id"))
+    x = table(spark, d, "embeddings").join(c, F.col("label") == F.col("cluster_id"))
     return x.select("vec_id", "label", F.round(v.distance(v.unit(v.doubles(F.col("embedding"))), F.col("centroid")), 9).alias("dist"))
 
 

@@ -11,14 +11,16 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
+from folioscope.operators.work import bound_batches, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,20 +104,82 @@ def han_tokens(words: Mapping[str, float], stopwords: Iterable[str] = STOPWORDS)
     return tokens
 
 
+#: Characters of text whose runs are counted at once.
+AT_ONCE = 1 << 22
+
+
+def _counted(most: int):
+    """Rows of texts -> (gram, n) of some megabytes of text at a time. A gram is a number: its characters' places in the batch's alphabet, in which 0 is a line end."""
+
+    def piece(texts: list[str]) -> Iterator[pa.RecordBatch]:
+        points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+        han = (points >= 0x4E00) & (points <= 0x9FFF)
+        if not han.any():
+            return
+        near = han.copy()  # of what isn't a Han character, only line ends beside one matter
+        near[1:] |= han[:-1]
+        near[:-1] |= han[1:]
+        # between two runs that one character parts, it is both the end of the first and the begin of the second
+        points, han = np.where(han, points, 0)[near], han[near]
+        alphabet = np.concatenate([np.array([0], np.uint32), np.unique(points[han])])
+        at, size = np.searchsorted(alphabet, points).astype(np.int64), len(alphabet)
+        base, based, high = alphabet[:, None], 1, size  # the characters of the numbers' first part, how many these are, and a bound of all numbers
+        codes, inner = at, np.ones(len(at), bool)
+        for k in range(1, most + 1):
+            if k > 1:
+                if len(codes) < 2:
+                    return
+                if high > (1 << 62) // size:  # numbered anew, so that the next character fits
+                    own, codes = np.unique(codes, return_inverse=True)
+                    base, based, high = letters(own, base, based, k - 1, alphabet), k - 1, len(own)
+                codes, high = codes[:-1] * size + at[k - 1 :], high * size
+                inner = inner[:-1] & han[k - 2 : -1] if k > 2 else inner[:-1]
+            good = han if k == 1 else (han[:-1] | han[1:]) if k == 2 else inner
+            some = codes[good]
+            if high <= 4 * len(some):
+                n = np.bincount(some, minlength=0)
+                own = np.flatnonzero(n)
+                n = n[own]
+            else:
+                own, n = np.unique(some, return_counts=True)
+            if len(own):
+                told = np.where((c := letters(own, base, based, k, alphabet)) == 0, ord("\n"), c).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(told).view(f"<U{k}").ravel().tolist(), pa.string()), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    def letters(own: np.ndarray, base: np.ndarray, based: int, k: int, alphabet: np.ndarray) -> np.ndarray:
+        out, left = np.empty((len(own), k), np.uint32), own.copy()
+        for j in range(k - 1, based - 1, -1):
+            left, last = np.divmod(left, len(alphabet))
+            out[:, j] = alphabet[last]
+        out[:, :based] = base[left]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[str] = []
+        size = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                kept.append(text or "")
+                size += len(kept[-1])
+                if size >= AT_ONCE:
+                    yield from piece(kept)
+                    kept, size = [], 0
+        yield from piece(kept)
+
+    return run
+
+
 def grams(df: DataFrame, text: str, most: int) -> DataFrame:
     """(gram, n): how often each run of 1 to ``most`` Han characters occurs, summed where it is read before it is shuffled. The two ends of a run of Han characters count as a character
     of their own, a line end, in longer grams."""
-    runs = df.select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"({t.HAN}+)"), F.lit(1))).alias("run")).select(F.concat(F.lit("\n"), "run", F.lit("\n")).alias("run"))
-    # a sequence counts down where its end is before its begin: only lengths that fit are taken
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.length("run")))
-    pieces = runs.select("run", F.explode(sizes).alias("k")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("k") + 1), lambda i: F.substring("run", i, F.col("k")))).alias("gram"))
-    return pieces.filter("gram <> '\n'").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    bound_batches(df.sparkSession)
+    return df.select(F.col(text) if isinstance(text, str) else text).mapInArrow(_counted(most), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discover_words(df: DataFrame, text: str, longest: int = 4, least: int = 5, cohesion: float = 3.0, freedom: float = 0.5) -> DataFrame:
     """(word, n, cohesion, freedom) of runs of 2 to ``longest`` Han characters that occur ``least`` times or more. cohesion: ln of how many times as often as by chance its two parts meet, at the
     worst cut; freedom: the entropy of the characters before or after it, whichever is less. Texts without Han characters, null ones too, have no words."""
-    counts = grams(df, text, longest + 2)
+    counts = settled(grams(df, text, longest + 1))  # once: it is read six times below
     inner = counts.filter((F.length("gram") <= longest) & ~F.contains("gram", F.lit("\n")))
     total = inner.filter(F.length("gram") == 1).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     words = inner.filter((F.length("gram") >= 2) & (F.col("n") >= least))

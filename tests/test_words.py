@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from itertools import product
 
@@ -147,3 +148,24 @@ def test_words_are_found(spark):
     own = segment.dictionary(found)
     assert own == {w: float(x[0]) for w, x in got.items()}
     assert segment.discover_words(df.limit(0), F.col("text")).count() == 0
+
+
+def test_grams_in_batches_against_plain_counts(spark, monkeypatch):
+    """Whole texts, whatever the alphabet: the numbers of longer grams overflow 64 bits and are made anew."""
+    rng = random.Random(11)
+    letters = [chr(0x4E00 + rng.randrange(0x5200)) for _ in range(3000)]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.9 else rng.choice(" \n，a😀") for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "  ", letters[0]]
+    want = Counter()
+    for run in (f"\n{r}\n" for x in texts for r in re.findall("[一-鿿]+", x or "")):
+        want.update(run[i : i + k] for k in range(1, 8) for i in range(len(run) - k + 1) if run[i : i + k] != "\n")
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for size in (1 << 22, 500):
+        monkeypatch.setattr(segment, "AT_ONCE", size)
+        assert {r.gram: r.n for r in segment.grams(df, "text", 7).collect()} == want
+
+
+def test_texts_are_read_once_for_words(spark, tmp_path):
+    """The counts are written down once; the steps after them don't count the texts again."""
+    spark.createDataFrame([("天地玄黄" * 9,)], "text string").write.parquet(str(tmp_path / "t"))
+    found = segment.discover_words(spark.read.parquet(str(tmp_path / "t")), F.col("text"), 3, 2, 0.0, 0.0)
+    assert "FileScan" not in found._jdf.queryExecution().toString() and "parquet" not in found._jdf.queryExecution().toString().lower()

@@ -125,3 +125,39 @@ def test_blocks_of_prototypes(spark):
     assert key(classify.top_prototypes(df, table, "id", "x", 3, block_bytes=6 * 8 * 4)) == whole
     assert key(classify.top_prototypes(df, table.limit(2), "id", "x", 3, block=1)) == key(classify.top_prototypes(df, table.limit(2), "id", "x", 3))
     assert classify.top_prototypes(df, table.limit(0), "id", "x", 3).count() == 0
+
+
+def test_weights_are_formed_where_rows_lie(spark):
+    """No shuffle of (row, term) pairs; rows of one key are one row, as before, and rows without a key go."""
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import topics
+
+    rows = [(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["c", "x"]), (None, ["a"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    words = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 3.0)], "term string, idf double")
+    got = {(r.id, r.term): round(r.weight, 9) for r in topics.weigh(df, "id", F.col("tokens"), words).collect()}
+    one, two = (16 + 1) ** 0.5, (1 + 36) ** 0.5
+    assert got == {k: round(v, 9) for k, v in {(1, "a"): 4 / one, (1, "b"): 1 / one, (2, "b"): 1 / two, (2, "c"): 6 / two}.items()}
+    plan = topics.weigh(df.filter("id <> 2"), "id", F.col("tokens"), words)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    told = {r.term: round(r.idf, 9) for r in topics.vocabulary(df, F.col("tokens"), 2, 1.0).collect()}
+    assert set(told) == {"a", "b", "c"}
+
+
+def test_characters_and_tokens_without_a_match_each(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from folioscope.functions import text as t
+
+    texts = ["", "ab  12\t\tc3 . é1 1é ÉÉ a_ _1 1_a 汉1 汉 😀x9 \x0b \f q\t", " \n\n\n\n x", "𝟘𝟙 12ab", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for kind in ("[A-Za-z]", r"\p{Nd}", t.PUNCTUATION, f"[{t.SPACE}]", t.HAN):
+        assert all(r[0] == r[1] for r in df.select(t.count(F.col("x"), kind), t.count_chars(F.col("x"), kind)).collect())
+    assert "regexp_extract_all" not in df.select(t.latin_ratio(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    old = F.filter(F.regexp_extract_all(F.lower("x"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: w.rlike(r"[a-z]|" + t.HAN))
+    assert all(r[0] == r[1] for r in df.select(old, t.tokens(F.col("x"))).collect())
+    for r in df.select("x", t.normalize(F.col("x")).alias("n")).collect():
+        assert r.n == re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\f\x0b]+", " ", r.x or "")).strip()

@@ -161,3 +161,14 @@ def test_characters_and_tokens_without_a_match_each(spark):
     assert all(r[0] == r[1] for r in df.select(old, t.tokens(F.col("x"))).collect())
     for r in df.select("x", t.normalize(F.col("x")).alias("n")).collect():
         assert r.n == re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\f\x0b]+", " ", r.x or "")).strip()
+
+
+def test_classifier_has_few_workers_and_small_batches(spark, sf):
+    """One Python step for all fields, one for split and one for child rules; fields aren't made a second time for the filter on them."""
+    from folioscope.plans import registry
+
+    df = registry.QUERIES["risk_score"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 3
+    assert not any("regexp_replace" in line for line in plan.splitlines() if line.lstrip(" :+-*()0123456789").startswith(("Filter", "FileScan")))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m" and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
